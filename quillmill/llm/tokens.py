@@ -1,59 +1,115 @@
 """Token ids of whole texts by a public tokenizer file, at the speed of a dictionary look-up per word.
 
-A text is cut at spaces where the tokenizer is certain to cut as well; each different word goes
-through the ``tokenizers`` library once per worker and its ids are kept as packed bytes. The result
-is the library's own for the whole text.
+A text is cut at spaces where the tokenizer is certain to cut as well. A plain word (Latin letters, then
+perhaps punctuation) is looked up by its letters and by its punctuation, each of which the file's own
+model has tokenized once; any other word goes through the whole tokenizer. The ids of words are kept as
+packed bytes. The result is the library's own for the whole text.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
+#: Behind a word's letters these make one piece of their own, whichever of them and however many.
+PUNCTUATION = ".,!?;:*#$%&|"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte: itself where it is visible, else the next free code from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
 
 class WordTokenizer:
     """``encode(texts)`` gives per text the ids as packed unsigned integers of ``width`` bytes.
 
     leading_space: the tokenizer puts a space in front of a word into the word's first token
-    (byte-level BPE) rather than dropping white space. Strings of special tokens inside a text are
-    ordinary text. The cache holds at most ``cache_size`` words and starts anew beyond that.
+    (byte-level BPE) rather than dropping white space and case. Strings of special tokens inside a text
+    are ordinary text. Each cache holds at most ``cache_size`` entries and starts anew beyond that.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # a normalizer that collapses white space marks the kind that drops it
-        self.leading_space = not self.tokenizer.encode("a b", add_special_tokens=False).ids == [
-            i for w in ("a", "b") for i in self.tokenizer.encode(w, add_special_tokens=False).ids
-        ]
+        one = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
+        self.leading_space = one("a b") != one("a") + one("b")
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.cache_size = cache_size
         self.words: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        sample = " Ábc, x.\nDéf!! ß" if self.leading_space else "Ábc, x. Déf!! ß"
+        self.plain = True
+        by_piece = b"".join(self._plain_word(w, " " if i and self.leading_space else "") or b"?" for i, w in enumerate(sample.split(" ")) if w)
+        if self.leading_space:
+            sample = sample[1:]
+            by_piece = b"".join(self._plain_word(w, " " if i else "") or b"?" for i, w in enumerate(sample.split(" ")))
+        self.plain = by_piece == self.pack(one(sample))
 
     def pack(self, ids) -> bytes:
-        return np.asarray(ids, dtype=self.dtype).tobytes()
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            mapped = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+            found = self.pieces[piece] = self.pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
+        return found
+
+    def _plain_word(self, word: str, prefix: str) -> bytes | None:
+        """The ids of a word of the plain kind, else None."""
+        out = b""
+        for k, line in enumerate(word.split("\n") if "\n" in word else (word,)):
+            core = line.rstrip(PUNCTUATION)
+            if not core.isalpha() or not (core.isascii() or max(core) < "ɐ"):
+                return None
+            tail = line[len(core) :]
+            if not self.leading_space:
+                core = core.lower()
+                if not core.isascii() and not (core.isalpha() and unicodedata.is_normalized("NFC", core)):
+                    return None
+            elif k:
+                out += self._piece("\n")
+            else:
+                core = prefix + core
+            out += self._piece(core)
+            if tail:
+                out += self._piece(tail)
+        return out
 
-    def _learn(self, cache: dict[str, bytes], keys: list[str], prefix: str) -> None:
+    def _learn(self, cache: dict[str, bytes], keys, prefix: str) -> None:
+        other = []
+        for key in keys:
+            found = self._plain_word(key, prefix) if self.plain else None
+            if found is None:
+                other.append(key)
+            else:
+                cache[key] = found
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(keys), 4096):
-            part = keys[at : at + 4096]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
             for key, found in zip(part, batch([prefix + k for k in part], add_special_tokens=False)):
                 cache[key] = self.pack(found.ids)
 
-    def _pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
+    def _cut(self, text: str) -> list[str]:
         if not self.leading_space:
-            return parts
-        last = len(parts) - 1
-        for i, p in enumerate(parts):
-            if not p or (i and p[0].isspace()) or (i < last and p[-1].isspace()):
-                return self._merged(parts)
+            return text.replace("\n", " ").split(" ")
+        parts = text.split(" ")
+        if "  " in text or text[:1].isspace() or text[-1:].isspace() or " \n" in text or "\n " in text:
+            return self._merged(parts)
+        if not text.isascii() or "\t" in text or "\r" in text:
+            for p in parts:
+                if p and (p[0].isspace() or p[-1].isspace()):
+                    return self._merged(parts)
         return parts
 
     @staticmethod
@@ -72,7 +128,7 @@ class WordTokenizer:
         """Yields per text its packed ids; about ``at_once`` characters are cut at a time."""
         block, size = [], 0
         for t in texts:
-            block.append(t)
+            block.append(t or "")
             size += len(t or "")
             if size >= at_once:
                 yield from self._encode(block)
@@ -80,25 +136,19 @@ class WordTokenizer:
         yield from self._encode(block)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t or "") for t in texts]
-        if len(self.words) + len(self.heads) > self.cache_size:
-            self.words.clear()
-            self.heads.clear()
-        if self.leading_space:
-            fresh = {p[0] for p in cut}.difference(self.heads)
-            self._learn(self.heads, list(fresh), "")
-            fresh = set()
-            for p in cut:
-                fresh.update(p[1:])
-            self._learn(self.words, list(fresh.difference(self.words)), " ")
-            word, head = self.words.__getitem__, self.heads
-            return [head[p[0]] + b"".join(map(word, p[1:])) for p in cut]
-        fresh = set()
+        cut = [self._cut(t) for t in texts]
+        for cache in (self.words, self.heads, self.pieces):
+            if len(cache) > self.cache_size:
+                cache.clear()
+        heads = {p[0] for p in cut}.difference(self.heads)
+        self._learn(self.heads, heads, "")
+        fresh: set[str] = set()
         for p in cut:
-            fresh.update(p)
-        self._learn(self.words, list(fresh.difference(self.words)), "")
-        word = self.words.__getitem__
-        return [b"".join(map(word, p)) for p in cut]
+            fresh.update(p[1:])
+        fresh.difference_update(self.words)
+        self._learn(self.words, fresh, " " if self.leading_space else "")
+        word, head = self.words.__getitem__, self.heads
+        return [head[p[0]] + b"".join(map(word, p[1:])) for p in cut]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
