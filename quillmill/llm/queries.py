@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import packing, records
+from quillmill.llm import packing, pii, quality, records
 from quillmill.llm.shared import read
 
 
@@ -22,13 +22,27 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Stands for a secret that a deployment takes from its vault.
+PII_KEY = "quillmill-demo-key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.replace_pii(read(spark, sf_dir, "documents"), PII_KEY)
+    return rows.select("doc_id", "text", "n_entities")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "q_evidence", "q_path", "q_posterior", "q_keep")
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records.round_trip(read(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op6_token_records)}
+    return {f.__name__: f for f in (op1_packing, op5_pii, op6_token_records, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
