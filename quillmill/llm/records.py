@@ -98,6 +98,12 @@ def _put(uri: str, data: bytes) -> None:
     files.move(own, path)
 
 
+def _get(uri: str) -> bytes:
+    files, path = _open(uri)
+    with files.open_input_stream(path) as source:
+        return source.read()
+
+
 def write_records(
     df: DataFrame,
     tokenizer_path: str,
@@ -171,20 +177,16 @@ def write_records(
 def read_records(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """All records of the shards: ``doc_id, start`` (ids before it, over all shards), ``n_tokens, ids`` (little-endian u32).
 
-    The files come through Spark's binary reader, and every checksum is verified.
+    The manifest is dealt to the tasks, which open the shards through their indexes; every checksum is verified.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.rec").load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-        .join(manifest.select("file", "first_token"), "file")
-    )
+    shards = manifest.select(F.col("file"), "first_token").repartition(max(1, manifest.count()))
 
     def parse(batches):
         for batch in batches:
-            for content, first in zip(batch.column("content"), batch.column("first_token").to_pylist()):
+            for name, first in zip(batch.column("file").to_pylist(), batch.column("first_token").to_pylist()):
                 docs, starts, sizes, ids = [], [], [], []
                 at, held = first, 0
-                for doc, packed, width in read_shard(content.as_buffer().to_pybytes()):
+                for doc, packed, width in read_shard(_get(f"{folder}/{name}"), _get(f"{folder}/{name[:-4]}.idx")):
                     wide = packed if width == 4 else np.frombuffer(packed, f"<u{width}").astype("<u4").tobytes()
                     docs.append(doc), starts.append(at), sizes.append(len(wide) // 4), ids.append(wide)
                     at += len(wide) // 4
@@ -195,7 +197,7 @@ def read_records(spark: SparkSession, folder: str, manifest: DataFrame) -> DataF
                 if docs:
                     yield _record_batch(docs, starts, sizes, ids)
 
-    return files.mapInArrow(parse, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.mapInArrow(parse, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _record_batch(docs, starts, sizes, ids) -> pa.RecordBatch:
