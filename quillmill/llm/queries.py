@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import packing, pii, quality, records, substrings
+from quillmill.llm import bagminhash, packing, pii, quality, records, substrings
 from quillmill.llm.shared import read
 
 
@@ -31,6 +31,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "n_entities")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "class_id", "copy_of")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substrings.remove_repeats(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -47,7 +52,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op5_pii, op6_token_records, op8_substring_dedup, op9_quality)}
+    return {f.__name__: f for f in (op1_packing, op5_pii, op6_token_records, op7_minhash, op8_substring_dedup, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
