@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bagminhash, packing, pii, quality, records, substrings
+from quillmill.llm import bagminhash, html_model, packing, pii, quality, records, sentencepieces, substrings
 from quillmill.llm.shared import read
 
 
@@ -22,6 +22,20 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public("piece_bpe_32k.model")
+    rows = sentencepieces.decode(sentencepieces.encode(read(spark, sf_dir, "documents"), model), model)
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+        F.length("decoded").cast("long").alias("n_chars"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+    )
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_model.extract(read(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: Stands for a secret that a deployment takes from its vault.
 PII_KEY = "quillmill-demo-key"
 
@@ -52,7 +66,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op5_pii, op6_token_records, op7_minhash, op8_substring_dedup, op9_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_sentencepiece, op4_html, op5_pii, op6_token_records, op7_minhash, op8_substring_dedup, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
