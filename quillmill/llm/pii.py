@@ -38,26 +38,31 @@ SYLLABLES = {
 
 NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 _ALL_GIVEN = "|".join(sorted({n for names in GIVEN.values() for n in names}))
+_INITIALS = "".join(sorted({n[0] for names in GIVEN.values() for n in names}))
+_TITLE_INITIALS = "".join(sorted({t[0] for kind in TITLES.values() for t in kind}))
 _ALL_TITLES = "|".join(t.replace(".", r"\.") for kind in TITLES.values() for t in kind)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
-#: In the order in which they are tried at one place. Every pattern is bounded, so no text makes it backtrack far.
+_KEYWORD = r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) {0,2}[:=] {0,2}[\x22']?"
+_LONE_SECRET = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{40}|[0-9a-f]{64}"
+#: In the order in which they are tried at one place. Every pattern is bounded and looks first at the character
+#: it starts with, so no text makes it backtrack far.
 PATTERNS = {
-    "SECRET": r"(?<=\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) {0,2}[:=] {0,2}[\x22']?)[^\s\x22'|]{8,200}"
-    r"|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{40}|[0-9a-f]{64})\b",
-    "EMAIL": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,6}\p{L}{2,24}",
-    "MAC": r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b",
-    "IPV6": r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b",
-    "IPV4": rf"(?<![\p{{N}}\p{{L}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}\p{{L}}]|\.\d)",
-    "IBAN": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "SSN": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
-    "PHONE": r"(?<![\p{N}\p{L}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\p{N})"
-    r"|(?<![\p{N}\p{L}])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\p{N})",
-    "CARD": r"(?<![\p{N}\p{L}-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\p{N})",
-    "PERSON": rf"(?<=(?<!\p{{L}})(?:{_ALL_TITLES}) ){NAME}(?: {NAME}){{0,2}}|(?<!\p{{L}})(?:{_ALL_GIVEN}) {NAME}(?!\p{{L}})",
+    "SECRET": rf"(?<=[\x22'=:]|[=:] )(?=[^\s\x22'|]{{8}})(?<={_KEYWORD})[^\s\x22'|]{{8,200}}|(?:{_LONE_SECRET})(?![\p{{L}}\p{{N}}])",
+    "EMAIL": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,6}\p{L}{2,24}",
+    "MAC": r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}])",
+    "IPV6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}])",
+    "IPV4": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}\p{{L}}]|\.\d)",
+    "IBAN": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "SSN": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{N}-])",
+    "PHONE": r"(?<!\+)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\p{N})|(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\p{N})",
+    "CARD": r"(?<!-)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\p{N})",
+    "PERSON": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_ALL_TITLES}) ){NAME}(?: {NAME}){{0,2}}|(?=[{_INITIALS}])(?:{_ALL_GIVEN}) {NAME}(?!\p{{L}})",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Any text with an entity matches this cheap one.
-GUARD = rf"[0-9@]|[=:]|(?:{_ALL_TITLES}|{_ALL_GIVEN}) "
+#: All entities start behind something that is no letter or digit.
+ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+#: Any text with an entity matches one of these cheap ones: its characters, or a name's beginning.
+GUARD = r"[0-9@=:]"
+NAME_GUARD = rf"(?<!\p{{L}})(?:(?=[{_INITIALS}])(?:{_ALL_GIVEN})|(?=[{_TITLE_INITIALS}])(?:{_ALL_TITLES})) \p{{Lu}}"
 NUMBERS = ("CARD", "PHONE", "SSN", "IPV4", "IBAN", "MAC", "IPV6")
 
 
@@ -220,8 +225,7 @@ class _Sql:
 def kind_of(e: str, before: str) -> str:
     """The type of a found entity, tried in the order of PATTERNS; ``before`` is the text in front of it."""
     whole = {k: f"^(?:{p})$" for k, p in PATTERNS.items() if k not in ("SECRET", "PERSON")}
-    after_key = r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) {0,2}[:=] {0,2}[\x22']?$"
-    lone = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{40}|[0-9a-f]{64})$"
+    after_key, lone = f"{_KEYWORD}$", f"^(?:{_LONE_SECRET})$"
     cases = [f"when {before} rlike {_q(after_key)} or {e} rlike {_q(lone)} then 'SECRET'"]
     cases += [f"when {e} rlike {_q(p)} then '{k}'" for k, p in whole.items()]
     return f"case {' '.join(cases)} else 'PERSON' end"
@@ -231,7 +235,7 @@ def found(text: str = "text") -> Column:
     """``array<struct<kind, entity, before, behind>>`` of a text column; ``before``: up to 40 characters in front."""
     m, g = f"regexp_extract_all({text}, {_q(ENTITY)}, 0)", f"split({text}, {_q(ENTITY)}, -1)"
     return F.expr(
-        f"if({text} rlike {_q(GUARD)}, element_at(transform(array(named_struct('m', {m}, 'g', {g})), x -> transform(x.m, (e, i) -> named_struct("
+        f"if({text} rlike {_q(GUARD)} or {text} rlike {_q(NAME_GUARD)}, element_at(transform(array(named_struct('m', {m}, 'g', {g})), x -> transform(x.m, (e, i) -> named_struct("
         f"'kind', {kind_of('e', 'right(x.g[i], 40)')}, 'entity', e, 'before', right(x.g[i], 40), 'behind', x.g[i + 1], 'first', if(i = 0, x.g[0], '')))), 1),"
         f" cast(array() as array<struct<kind: string, entity: string, before: string, behind: string, first: string>>))"
     )
@@ -241,7 +245,7 @@ def hashed_width(df: DataFrame, key: str, text_col: str = "text", widest: int =
     """The least width at which no two different entities of the table share a surrogate and none is an entity that occurs."""
     ents = (
         df.select(F.col(text_col).alias("text"))
-        .where(F.col("text").rlike(GUARD))
+        .where(F.col("text").rlike(GUARD) | F.col("text").rlike(NAME_GUARD))
         .select(F.explode(found()).alias("x"))
         .select("x.kind", "x.entity", F.when(F.col("x.kind") == "PERSON", F.col("x.before")).otherwise("").alias("before"))
         .where(~F.col("kind").isin(*NUMBERS))
