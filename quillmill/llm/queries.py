@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bagminhash, html_model, packing, pii, quality, records, sentencepieces, substrings
+from quillmill.llm import bagminhash, html_model, mtree, packing, pii, quality, records, sentencepieces, substrings, vptree
 from quillmill.llm.shared import read
 
 
@@ -31,6 +31,18 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    found = mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    found = vptree.neighbours(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = html_model.extract(read(spark, sf_dir, "pages"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -66,7 +78,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_sentencepiece, op4_html, op5_pii, op6_token_records, op7_minhash, op8_substring_dedup, op9_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_sentencepiece, op3_topk, op4_html, op5_pii, op6_token_records, op7_minhash, op8_substring_dedup, op9_quality, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
