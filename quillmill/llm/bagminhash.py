@@ -28,8 +28,11 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 COMPONENTS = BANDS * ROWS
-#: Members of a bucket up to so many are compared with each other; larger ones first with centres.
+#: Buckets of more members are compared with a centre first.
 SMALL = 16
+#: Members of a block, two of which meet in a task.
+BLOCK = 256
+LEAST_ALIKE = 33
 DOC_BITS = 1 << 23
 
 
@@ -168,21 +171,9 @@ def similar(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def enough(x: pa.Array, y: pa.Array) -> pa.Array:
-        out, last, left = [], None, None
-        for p, q in zip(x, y):
-            q = q.as_buffer()
-            if last is None or not last.equals(q):
-                last, left = q, np.frombuffer(q, "<u4")
-            right = np.frombuffer(p.as_buffer(), "<u4")
-            least, most = sorted((len(left), len(right)))
-            if not least or least < threshold * most:
-                out.append(False)
-                continue
-            few, many = (left, right) if len(left) < len(right) else (right, left)
-            at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-            both = int((many[at] == few).sum())
-            out.append(both >= threshold * (least + most - both))
-        return pa.array(out)
+        left = [np.frombuffer(p.as_buffer(), "<u4") for p in x]
+        right = [np.frombuffer(q.as_buffer(), "<u4") for q in y]
+        return pa.array([min(len(p), len(q)) >= threshold * max(len(p), len(q)) and overlap(p, q) >= threshold for p, q in zip(left, right)], pa.bool_())
 
     one = pairs.join(items.select(F.col("id").alias("b"), F.col("items").alias("b_items")), "b")
     two = one.join(items.select(F.col("id").alias("a"), F.col("items").alias("a_items")), "a")
@@ -204,29 +195,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         bands.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets"
     )
     members = materialize(bands.join(buckets, "key"), "members")
-    stars = members.where((F.col("n") > SMALL) & (F.col("id") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    few = members.where(F.col("n") <= SMALL).select("key", "id")
-    each = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
-    pairs = materialize(stars.unionByName(each).distinct(), "pairs")
     items = materialize(
         multisets(df, id_col, text_col, members.select("id").distinct()).dropDuplicates(["id"]), "multisets"
     )
-    edges = materialize(similar(pairs, items, threshold), "links")
+    # in large buckets most members are near the centre, which leaves little to compare with each other
+    stars = members.where((F.col("n") > SMALL) & (F.col("id") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    edges = materialize(similar(materialize(stars.distinct(), "pairs"), items, threshold), "links")
+    label = components(edges)
+    edges = edges.unionByName(materialize(_within_groups(members, label, reps, items, threshold), "links"))
     label = components(edges)
-    # a large bucket whose members are not yet in one class: the member with most links as another centre, then all pairs across classes
-    big = members.where(F.col("n") > SMALL).select("key", "id", "n")
-    for across in (_hubs, _across):
-        now = big.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        rows = materialize(now.join(open_, "key"), "open")
-        if rows.isEmpty():
-            break
-        more = across(rows, edges, reps)
-        done = pairs
-        more = materialize(more.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(similar(more, items, threshold), "links")
-        pairs, edges = pairs.unionByName(more), materialize(edges.unionByName(found).distinct(), "links")
-        label = components(edges)
     classes = reps.select("t1", "t2", F.col("id").alias("copy_of")).join(label.withColumnRenamed("id", "copy_of"), "copy_of", "left")
     classes = materialize(classes.select("t1", "t2", "copy_of", F.coalesce("label", "copy_of").alias("class_id")), "classes")
     linked = known.select("id", "t1", "t2").join(classes, ["t1", "t2"]).select("id", "class_id", "copy_of")
@@ -234,34 +211,72 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return linked.unionByName(alone)
 
 
-def _hubs(rows: DataFrame, edges: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of each member with its bucket's member of most links, across classes."""
-    degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    ranked = rows.join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    hub = ranked.groupBy("key").agg(F.max(F.struct("links", (-F.col("id")).alias("id"), "label")).alias("h"))
-    hub = hub.select("key", (-F.col("h.id")).alias("hub"), F.col("h.label").alias("hub_label"))
-    return (
-        rows.join(materialize(hub, "hubs"), "key").where("label != hub_label")
-        .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    )
-
+def _within_groups(members: DataFrame, label: DataFrame, reps: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Links ``a, b`` between different classes of documents that buckets bring together.
 
-def _across(rows: DataFrame, edges: DataFrame, reps: DataFrame) -> DataFrame:
-    """All pairs of a bucket across classes whose signatures leave the threshold possible."""
+    Buckets with several classes join their members to groups. A group is dealt to blocks of a bounded
+    number, and each task compares two blocks: signatures all at once, then the multisets of what they leave
+    possible. It returns links that join classes not yet joined in the task, so no more than members.
+    """
+    now = members.select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    now = materialize(now, "labelled")
+    open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("centre")).where("lo != hi")
+    rows = materialize(now.join(materialize(open_.select("key", "centre"), "open"), "key"), "open")
+    group = components(rows.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    group = materialize(group.withColumnRenamed("label", "g"), "groups")
+    sizes = materialize(group.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    dealt = (
+        group.join(sizes, "g").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .join(rows.select("id", "label").distinct(), "id").join(reps.select("id", "sig"), "id").join(items, "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "sig", "items")
+    )
 
-    @F.arrow_udf("boolean")
-    def likely(x: pa.Array, y: pa.Array) -> pa.Array:
-        p = np.frombuffer(b"".join(x.to_pylist()), "<u4").reshape(-1, COMPONENTS)
-        q = np.frombuffer(b"".join(y.to_pylist()), "<u4").reshape(-1, COMPONENTS)
-        # at a similarity of 0.8, 33 or fewer of 64 components agree once in 10 million
-        return pa.array((p == q).sum(1) > 33)
-
-    signed = rows.join(reps.select("id", "sig"), "id")
-    main = signed.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"))
-    main = main.select("key", F.col("m.label").alias("main"))
-    rest = signed.join(materialize(main, "main"), "key").where("label != main")
-    pair = rest.select("key", F.col("id").alias("x"), F.col("label").alias("xl"), F.col("sig").alias("xs")).join(
-        signed.select("key", F.col("id").alias("y"), F.col("label").alias("yl"), F.col("sig").alias("ys")), "key"
-    )
-    pair = pair.where("xl != yl").where(likely("xs", "ys"))
-    return pair.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def compare(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        ids, labels, block = (table.column(c).to_pylist() for c in ("id", "label", "block"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, COMPONENTS)
+        sets = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("items")]
+        order = sorted(range(len(ids)), key=lambda k: ids[k])
+        left, right = [k for k in order if block[k] == i], [k for k in order if block[k] == j]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        found: list[tuple[int, int]] = []
+        if len(set(labels)) > 1 and left and right:
+            numbers = np.array(labels)
+            sizes = np.array([len(x) for x in sets])
+            right_at = np.array(right)
+            for x in left:
+                y = right_at[(numbers[right_at] != labels[x])]
+                if i == j:
+                    y = y[np.array(ids)[y] > ids[x]] if len(y) else y
+                if not len(y):
+                    continue
+                alike = (sig[y] == sig[x]).sum(1)
+                fit = np.minimum(sizes[y], sizes[x]) >= threshold * np.maximum(sizes[y], sizes[x])
+                # at a similarity of 0.8, 33 or fewer of 64 components agree once in 10 million
+                y = y[(alike > LEAST_ALIKE) & fit][np.argsort(-alike[(alike > LEAST_ALIKE) & fit], kind="stable")]
+                for k in y.tolist():
+                    if find(labels[x]) != find(labels[k]) and overlap(sets[x], sets[k]) >= threshold:
+                        root[find(labels[x])] = find(labels[k])
+                        found.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+
+    return dealt.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> float:
+    """The Jaccard similarity of two sorted sets."""
+    few, many = (x, y) if len(x) < len(y) else (y, x)
+    if not len(few):
+        return 0.0
+    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    both = int((many[at] == few).sum())
+    return both / (len(x) + len(y) - both)
