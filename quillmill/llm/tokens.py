@@ -42,7 +42,7 @@ class WordTokenizer:
     are ordinary text. Each cache holds at most ``cache_size`` entries and starts anew beyond that.
     """
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
