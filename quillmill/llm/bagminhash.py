@@ -31,7 +31,7 @@ COMPONENTS = BANDS * ROWS
 #: Buckets of more members are compared with a centre first.
 SMALL = 16
 #: Members of a block, two of which meet in a task.
-BLOCK = 256
+BLOCK = 128
 LEAST_ALIKE = 33
 DOC_BITS = 1 << 23
 

@@ -43,10 +43,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """64-bit hash of each word; starts anew beyond 300,000 words."""
+    """64-bit hash of each word; starts anew beyond 150,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -60,7 +60,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64, kept between calls."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
+        have = np.full(max(n, 1 << 18), base, np.uint64)
         have[0] = 1
         have = _POWERS[base] = np.cumprod(have)
     return have[:n]
@@ -119,7 +119,7 @@ class Block:
         return path, start, mix(self._runs(start, self.k) ^ self.minimizer[path])
 
 
-def blocks(batches, *columns: str, at_once: int = 2_000_000):
+def blocks(batches, *columns: str, at_once: int = 1_000_000):
     """Rows of the batches in runs of about ``at_once`` characters: a list for each column, the first holding the texts."""
     for batch in batches:
         lists = [batch.column(c).to_pylist() for c in columns]
