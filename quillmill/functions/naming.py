@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,16 +30,13 @@ def canonical_stem(name: Column) -> Column:
     """The stem without scan endings, each taken off once in order, in lower case and stripped."""
     out = stem(name)
     for end in OCR_ENDINGS:
-        out = F.when(F.endswith(F.lower(out), F.lit(end)), F.substring(out, F.lit(1), F.length(out) - len(end))).otherwise(out)
+        out = F.regexp_replace(out, "(?i)" + re.escape(end) + "$", "")
     return F.regexp_replace(F.lower(out), r"(?U)^\s+|\s+$", "")
 
 
 def is_ocr(name: Column) -> Column:
     low = F.lower(stem(name))
-    hit = F.lit(False)
-    for end in OCR_ENDINGS:
-        hit = hit | F.endswith(low, F.lit(end))
-    return hit
+    return low.rlike("(?:" + "|".join(map(re.escape, OCR_ENDINGS)) + ")$")
 
 
 def extension_rank(ext: Column) -> Column:

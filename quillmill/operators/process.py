@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import caselaw, chunks, classify, dates, naming, spans, text
+from quillmill.functions.once import once
 
 STRIPPED, RAG, FINETUNE = ("private", "uncertain"), ("caselaw", "published"), ("private", "uncertain", "published")
 
 
 def classified(docs: DataFrame, text_col: str = "raw") -> DataFrame:
     """``docs (filename, ext, raw)`` with ``doc_type`` and ``confidence``, from the text before cleaning."""
-    scored = docs.withColumn("__scores", classify.raw_scores(F.col(text_col)))
-    found = scored.withColumn("__c", classify.classification(F.col("ext"), F.col("__scores")))
+    scored = once(docs, __scores=classify.raw_scores(F.col(text_col)))
+    found = once(scored, __c=classify.classification(F.col("ext"), F.col("__scores")))
     return found.withColumns({"doc_type": F.col("__c.doc_type"), "confidence": F.col("__c.confidence")}).drop("__c", "__scores")
 
 
 def cleaned(docs: DataFrame, text_col: str = "raw") -> DataFrame:
-    return docs.withColumn("clean", text.clean(F.col(text_col)))
+    return once(docs, clean=text.clean(F.col(text_col)))
 
 
 def detected(docs: DataFrame, adapter: Callable | None = None) -> DataFrame:
@@ -29,7 +30,7 @@ def detected(docs: DataFrame, adapter: Callable | None = None) -> DataFrame:
     if adapter:
         found = F.concat(found, adapter(F.col("clean")))
     empty = F.expr(f"cast(array() as {spans.TYPE})")
-    return docs.withColumn("spans", F.when(F.col("doc_type").isin(*STRIPPED), found).otherwise(empty))
+    return once(docs, spans=F.when(F.col("doc_type").isin(*STRIPPED), found).otherwise(empty))
 
 
 def redacted(docs: DataFrame, excluded_col: str | None = None, mode: str = "finetune") -> DataFrame:
@@ -38,16 +39,21 @@ def redacted(docs: DataFrame, excluded_col: str | None = None, mode: str = "fine
     ``substitutions`` counts spans before overlaps are removed.
     """
     found = spans.without(F.col("spans"), F.col(excluded_col)) if excluded_col else F.col("spans")
-    out = docs.withColumn("__use", spans.redactable(found)).withColumn("__kept", spans.disjoint(F.col("__use")))
+    out = once(docs, __found=found)
+    out = once(out, __use=spans.redactable(F.col("__found")))
+    out = once(out, __kept=spans.disjoint(F.col("__use")))
     kept = F.col("__kept")
-    values = spans.tokens(kept) if mode == "rag" else spans.surrogates(kept, dates.offset_days(F.col("clean")))
-    return out.withColumns(
-        {
-            "text": F.when(F.size(kept) == 0, F.col("clean")).otherwise(spans.replaced(F.col("clean"), kept, values)),
-            "substitutions": F.size("__use"),
-            "review_flags": spans.review_flags(F.col("clean"), F.col("filename"), found),
-        }
-    ).drop("__use", "__kept")
+    if mode == "rag":
+        out = once(out, __values=spans.tokens(kept))
+    else:
+        days = F.when(F.size(kept) > 0, dates.offset_days(F.col("clean")))
+        out = once(once(out, __days=days), __values=spans.surrogates(kept, F.col("__days"))).drop("__days")
+    return once(
+        out,
+        text=F.when(F.size(kept) == 0, F.col("clean")).otherwise(spans.replaced(F.col("clean"), kept, F.col("__values"))),
+        substitutions=F.size("__use"),
+        review_flags=spans.review_flags(F.col("clean"), F.col("filename"), F.col("__found")),
+    ).drop("__found", "__use", "__kept", "__values")
 
 
 def chunked(docs: DataFrame, count: Callable[[str], int] = chunks.word_tokens) -> DataFrame:

@@ -214,7 +214,7 @@ def score_tiers(spark, d):
     return rows.groupBy("e.entity_type", spans.tier(F.col("e.score")).alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query(f"{S.FULL} SELECT doc_id, len(usable) AS before, len(kept_spans) AS after, list_sum(list_transform(kept_spans, lambda e: e.start)) AS starts FROM kept WHERE len(usable) > 0")
+@query(f"{S.FULL} SELECT doc_id, len(usable) AS before, len(kept_spans) AS after, CAST(list_sum(list_transform(kept_spans, lambda e: e.start)) AS BIGINT) AS starts FROM kept WHERE len(usable) > 0")
 def overlap_dedup(spark, d):
     use = _detected(spark, d).withColumn("use", spans.redactable(F.col("spans"))).where(F.size("use") > 0).withColumn("kept", spans.disjoint(F.col("use")))
     return use.select("doc_id", F.size("use").cast("long").alias("before"), F.size("kept").cast("long").alias("after"), F.aggregate("kept", F.lit(0).cast("long"), lambda a, e: a + e["start"]).alias("starts"))
@@ -254,7 +254,14 @@ def finetune_replace(spark, d):
 
 _DATES = " UNION ALL ".join(
     f"SELECT doc_id, strftime(DATE '2020-01-15' + to_days(CAST(doc_id % 5000 AS INT)), '{f}') AS found, strftime(DATE '{b}' + to_days(CAST(doc_id % 5000 + 200 AS INT)), '{f}') AS shifted FROM documents"
-    for f, b in (("%B %-d, %Y", "2020-01-15"), ("%b. %-d, %Y", "2020-01-15"), ("%Y-%m-%d", "2020-01-15"), ("%-m/%-d/%Y", "2020-01-15"), ("%m-%d-%Y", "2020-01-15"), ("%-d %B %Y", "2020-01-15"))
+    for f, b in (("%B %-d, %Y", "2020-01-15"), ("%b. %-d, %Y", "2020-01-15"), ("%Y-%m-%d", "2020-01-15"), ("%m-%d-%Y", "2020-01-15"), ("%-d %B %Y", "2020-01-15"))
+)
+
+
+#: Slashed numbers keep their own width: of two digits stay of two.
+_DATES += (
+    " UNION ALL SELECT doc_id, strftime(o, '%-m/%-d/%Y') AS found, CASE WHEN month(o) > 9 THEN strftime(o + to_days(200), '%m') ELSE strftime(o + to_days(200), '%-m') END || '/' || CASE WHEN day(o) > 9 THEN strftime(o + to_days(200), '%d') ELSE strftime(o + to_days(200), '%-d') END || strftime(o + to_days(200), '/%Y') AS shifted"
+    " FROM (SELECT doc_id, DATE '2020-01-15' + to_days(CAST(doc_id % 5000 AS INT)) AS o FROM documents)"
 )
 
 
@@ -277,7 +284,7 @@ def review_flags(spark, d):
     return _log(spark, d).select("flag_id", "file", "entity_type", "original_text", "confidence", "context", "action")
 
 
-@query(f"{S.FULL} SELECT doc_type, sum(len(usable)) AS substitutions, sum(len(kept_spans)) AS replaced FROM kept GROUP BY doc_type")
+@query(f"{S.FULL} SELECT doc_type, CAST(sum(len(usable)) AS BIGINT) AS substitutions, CAST(sum(len(kept_spans)) AS BIGINT) AS replaced FROM kept GROUP BY doc_type")
 def substitution_counts(spark, d):
     rows = _redacted(spark, d).withColumn("kept", spans.disjoint(spans.redactable(F.col("spans"))))
     return rows.groupBy("doc_type").agg(F.sum("substitutions").alias("substitutions"), F.sum(F.size("kept")).alias("replaced"))
@@ -362,9 +369,9 @@ def provenance_files(spark, d):
 
 
 @query(
-    f"""{S.FULL}, {_VALUES}, {_MANIFEST} SELECT count(*) AS total_files, count_if(NOT skipped) AS processed_files, count_if(skipped) AS skipped_files, CAST(sum(token_count) FILTER (NOT skipped) AS BIGINT) AS total_tokens,
- count_if(NOT skipped AND doc_type = 'caselaw') AS caselaw_files, count_if(NOT skipped AND doc_type = 'published') AS published_files, count_if(NOT skipped AND doc_type = 'private') AS private_files,
- count_if(NOT skipped AND doc_type = 'uncertain') AS uncertain_files, count_if(NOT skipped AND ocr) AS ocr_files, count_if(skip_reason = 'ocr_confidence_low') AS review_queue_files, CAST(sum(review_flags) FILTER (NOT skipped) AS BIGINT) AS pii_review_flags FROM manifest"""
+    f"""{S.FULL}, {_VALUES}, {_MANIFEST} SELECT count(*) AS total_files, count(*) FILTER (NOT skipped) AS processed_files, count(*) FILTER (skipped) AS skipped_files, CAST(sum(token_count) FILTER (NOT skipped) AS BIGINT) AS total_tokens,
+ count(*) FILTER (NOT skipped AND doc_type = 'caselaw') AS caselaw_files, count(*) FILTER (NOT skipped AND doc_type = 'published') AS published_files, count(*) FILTER (NOT skipped AND doc_type = 'private') AS private_files,
+ count(*) FILTER (NOT skipped AND doc_type = 'uncertain') AS uncertain_files, count(*) FILTER (NOT skipped AND ocr) AS ocr_files, count(*) FILTER (skip_reason = 'ocr_confidence_low') AS review_queue_files, CAST(sum(review_flags) FILTER (NOT skipped) AS BIGINT) AS pii_review_flags FROM manifest"""
 )
 def provenance_summary(spark, d):
     return provenance.summary(provenance.provenance_files(_results(spark, d), _sidecar(spark, d)))
@@ -431,12 +438,12 @@ def exclusion_map(spark, d):
     return review.exclusions(_decided(spark, d)).select("file", F.array_join("excluded", "|").alias("excluded"))
 
 
-@query(f"{_D} SELECT count(*) AS total_flags_reviewed, count_if(NOT restore) AS approved_keep_redacted, count_if(restore) AS restored_original FROM decided")
+@query(f"{_D} SELECT count(*) AS total_flags_reviewed, count(*) FILTER (NOT restore) AS approved_keep_redacted, count(*) FILTER (restore) AS restored_original FROM decided")
 def audit_counts(spark, d):
     return review.audit(_decided(spark, d))
 
 
-@query(f"{_D} SELECT count_if(decision = 'approve') AS approved, count_if(decision = 'restore') AS restored, count_if(decision IS NULL) AS pending FROM decided")
+@query(f"{_D} SELECT count(*) FILTER (decision = 'approve') AS approved, count(*) FILTER (decision = 'restore') AS restored, count(*) FILTER (decision IS NULL) AS pending FROM decided")
 def decision_counters(spark, d):
     return review.counters(_decided(spark, d))
 
@@ -588,9 +595,9 @@ def blocklist_merge(spark, d):
 
 
 _P = r"""patterns AS (SELECT place, token, CASE WHEN regexp_matches(value, '^\w') THEN '\b' ELSE '' END || regexp_escape(value) || CASE WHEN regexp_matches(value, '\w$') THEN '\b' ELSE '' END AS pattern FROM merged)"""
-_R = f"""{_B.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_P}, steps AS (SELECT doc_id, ext, raw AS t, 0 AS n, 0 AS at FROM corpus UNION ALL
- SELECT doc_id, ext, regexp_replace(t, '(?i)' || p.pattern, p.token, 'g'), n + len(regexp_extract_all(t, '(?i)' || p.pattern)), at + 1 FROM steps JOIN patterns p ON p.place = steps.at + 1),
-done AS (SELECT doc_id, ext, t, n FROM steps WHERE at = (SELECT max(place) FROM merged))"""
+_R = f"""{_B.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_P}, steps AS (SELECT doc_id, ext, raw AS t, 0 AS n, 0 AS step FROM corpus UNION ALL
+ SELECT doc_id, ext, regexp_replace(t, '(?i)' || p.pattern, p.token, 'g'), n + len(regexp_extract_all(t, '(?i)' || p.pattern)), step + 1 FROM steps JOIN patterns p ON p.place = steps.step + 1),
+done AS (SELECT doc_id, ext, t, n FROM steps WHERE step = (SELECT max(place) FROM merged))"""
 
 
 def _second(spark, d) -> DataFrame:
@@ -603,7 +610,7 @@ def second_pass_apply(spark, d):
     return _second(spark, d).select("doc_id", F.md5("text").alias("text_md5"), "substitutions")
 
 
-@query(f"{_R} SELECT ext AS file, count(*) AS records, count_if(n > 0) AS records_changed, CAST(sum(n) AS BIGINT) AS substitutions FROM done GROUP BY ext")
+@query(f"{_R} SELECT ext AS file, count(*) AS records, count(*) FILTER (n > 0) AS records_changed, CAST(sum(n) AS BIGINT) AS substitutions FROM done GROUP BY ext")
 def second_pass_stats(spark, d):
     return second_pass.stats(_second(spark, d))
 
