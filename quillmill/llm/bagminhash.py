@@ -188,30 +188,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     class if their texts do. An empty table gives an empty one.
     """
     drawn = materialize(sketch(df, id_col, text_col), "sketches")
+    rows = drawn.count()
     known = drawn.where("n > 0 and id is not null")
-    reps = materialize(known.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "classes")
+    reps = materialize(known.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "classes", rows)
     bands = reps.select("id", F.explode("keys").alias("key"))
     buckets = materialize(
-        bands.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets"
+        bands.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets", rows
     )
-    members = materialize(bands.join(buckets, "key"), "members")
+    members = materialize(bands.join(buckets, "key"), "members", BANDS * rows)
     items = materialize(
         multisets(df, id_col, text_col, members.select("id").distinct()).dropDuplicates(["id"]), "multisets"
     )
     # in large buckets most members are near the centre, which leaves little to compare with each other
     stars = members.where((F.col("n") > SMALL) & (F.col("id") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    edges = materialize(similar(materialize(stars.distinct(), "pairs"), items, threshold), "links")
-    label = components(edges)
-    edges = edges.unionByName(materialize(_within_groups(members, label, reps, items, threshold), "links"))
-    label = components(edges)
+    edges = materialize(similar(materialize(stars.distinct(), "pairs", rows), items, threshold), "links", rows)
+    label = components(edges, rows)
+    edges = edges.unionByName(materialize(_within_groups(members, label, reps, items, threshold, rows), "links", rows))
+    label = components(edges, rows)
     classes = reps.select("t1", "t2", F.col("id").alias("copy_of")).join(label.withColumnRenamed("id", "copy_of"), "copy_of", "left")
-    classes = materialize(classes.select("t1", "t2", "copy_of", F.coalesce("label", "copy_of").alias("class_id")), "classes")
+    classes = materialize(classes.select("t1", "t2", "copy_of", F.coalesce("label", "copy_of").alias("class_id")), "classes", rows)
     linked = known.select("id", "t1", "t2").join(classes, ["t1", "t2"]).select("id", "class_id", "copy_of")
     alone = drawn.where("n = 0 or id is null").select("id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"))
     return linked.unionByName(alone)
 
 
-def _within_groups(members: DataFrame, label: DataFrame, reps: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+def _within_groups(members: DataFrame, label: DataFrame, reps: DataFrame, items: DataFrame, threshold: float, rows: int) -> DataFrame:
     """Links ``a, b`` between different classes of documents that buckets bring together.
 
     Buckets with several classes join their members to groups. A group is dealt to blocks of a bounded
@@ -219,16 +220,16 @@ def _within_groups(members: DataFrame, label: DataFrame, reps: DataFrame, items:
     possible. It returns links that join classes not yet joined in the task, so no more than members.
     """
     now = members.select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    now = materialize(now, "labelled")
+    now = materialize(now, "labelled", BANDS * rows)
     open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("centre")).where("lo != hi")
-    rows = materialize(now.join(materialize(open_.select("key", "centre"), "open"), "key"), "open")
-    group = components(rows.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
-    group = materialize(group.withColumnRenamed("label", "g"), "groups")
-    sizes = materialize(group.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    seen = materialize(now.join(materialize(open_.select("key", "centre"), "open", rows), "key"), "open", BANDS * rows)
+    group = components(seen.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), rows)
+    group = materialize(group.withColumnRenamed("label", "g"), "groups", rows)
+    sizes = materialize(group.groupBy("g").agg(F.count("*").alias("n")), "sizes", rows)
     dealt = (
         group.join(sizes, "g").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .join(rows.select("id", "label").distinct(), "id").join(reps.select("id", "sig"), "id").join(items, "id")
+        .join(seen.select("id", "label").distinct(), "id").join(reps.select("id", "sig"), "id").join(items, "id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "sig", "items")
     )

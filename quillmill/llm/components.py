@@ -8,26 +8,20 @@ from pyspark.sql import functions as F
 from quillmill.llm.shared import materialize
 
 
-def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``id, label``: for each id of ``edges (a, b)`` the least id that it reaches.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """``id, label``: for each id of ``edges (a, b)`` the least id that it reaches. ``rows``: about how many ids there can be.
 
-    ``labels`` may give labels of an earlier run on some of the edges. Every round writes its labels
-    into the shared folder, so no lineage grows; sums over neighbours start in the tasks that hold the
-    edges, so a hub is no bottleneck. Rounds follow the logarithm of the longest path.
+    Every round writes its labels into the shared folder, so no lineage grows; sums over neighbours start
+    in the tasks that hold the edges, so a hub is no bottleneck. Rounds follow the logarithm of the longest path.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", rows)
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id")
-    if labels is not None:
-        # an earlier label is an id reached; it is followed as an edge
-        old = labels.where("id != label").select(F.col("id").alias("a"), F.col("label").alias("b"))
-        both = materialize(both.unionByName(old).unionByName(old.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-        label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id")
-    label = materialize(label, "labels")
+    label = materialize(label, "labels", rows)
     while True:
         near = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         least = label.join(near, label["id"] == near["a"]).select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = label.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = materialize(least.join(jump, "label").select("id", F.least("label", "further").alias("label"), "was"), "labels")
+        new = materialize(least.join(jump, "label").select("id", F.least("label", "further").alias("label"), "was"), "labels", rows)
         if new.where("label != was").isEmpty():
             return new.select("id", "label")
         label = new.select("id", "label")

@@ -30,9 +30,19 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table into the shared folder and read it from there."""
+#: Rows of a file where their number is known.
+FILE_ROWS = 50_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as a table into the shared folder and read it from there.
+
+    ``rows``: about how many narrow rows there can be; then they are dealt anew to no more files than they
+    fill, as many small files are slow to write and to list.
+    """
     path = fresh_dir(df.sparkSession, name)
+    if rows is not None:
+        df = df.repartition(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -16,6 +16,7 @@ is that of comparing all windows. Equality is that of two 64-bit hashes together
 
 from __future__ import annotations
 
+import ctypes
 from itertools import chain
 
 import numpy as np
@@ -119,18 +120,38 @@ class Block:
         return path, start, mix(self._runs(start, self.k) ^ self.minimizer[path])
 
 
-def blocks(batches, *columns: str, at_once: int = 1_000_000):
-    """Rows of the batches in runs of about ``at_once`` characters: a list for each column, the first holding the texts."""
+def blocks(batches, *columns: str, at_once: int = 700_000, rows: int = 128):
+    """Rows of the batches in runs of about ``at_once`` characters: a list for each column, the first holding the texts.
+
+    Only the rows of a run are Python objects at a time, and memory goes back to the system after each batch.
+    """
     for batch in batches:
-        lists = [batch.column(c).to_pylist() for c in columns]
-        size = at = 0
-        for i, t in enumerate(lists[0]):
-            size += len(t or "")
+        held: list[list] = [[] for _ in columns]
+        size = 0
+        for at in range(0, batch.num_rows, rows):
+            for into, c in zip(held, columns):
+                into += batch.column(c).slice(at, rows).to_pylist()
+            size += sum(len(t or "") for t in held[0][-min(rows, batch.num_rows - at) :])
             if size >= at_once:
-                yield [x[at : i + 1] for x in lists]
-                size, at = 0, i + 1
-        if at < len(lists[0]):
-            yield [x[at:] for x in lists]
+                yield held
+                held, size = [[] for _ in columns], 0
+        if held[0]:
+            yield held
+        del held
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory of the allocators back to the system; workers live long and share a limit with their executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not the GNU C library
+    _trim = None
 
 
 def _signed(x: np.ndarray) -> pa.Array:
