@@ -67,4 +67,4 @@ def write(style: Column, day: Column, original: Column) -> Column:
 def shift(text: Column, days: Column) -> Column:
     """The text's date that many days later in its own style; a text without a date as it is."""
     day = F.date_add(parse(text), days)
-    return F.coalesce(write(style_of(text), day, text), text)
+    return F.when(day.isNull(), text).otherwise(write(style_of(text), day, text))
