@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import components
-from quillmill.llm.shared import materialize
+from quillmill.llm.shared import materialize, small_batches
 from quillmill.llm.substrings import _WORDS, blocks, mix
 
 SHINGLE = 5
@@ -187,6 +187,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are rows without an id, whose class is null; rows of one id count as one document each but share a
     class if their texts do. An empty table gives an empty one.
     """
+    small_batches(df.sparkSession)
     drawn = materialize(sketch(df, id_col, text_col), "sketches")
     rows = drawn.count()
     known = drawn.where("n > 0 and id is not null")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.shared import small_batches
 from quillmill.llm.html_tree import BIT, GROUPS, INLINE, TAG, TAGS, Page
 
 KINDS = len(GROUPS)
@@ -252,6 +253,7 @@ def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", model
 
     Rows and all other columns stay; a column named like ``text_col`` is replaced.
     """
+    small_batches(df.sparkSession)
     model = model or default_model()
 
     @F.arrow_udf("string")

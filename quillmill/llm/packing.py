@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.shared import text_bytes
+from quillmill.llm.shared import small_batches, text_bytes
 from quillmill.llm.tokens import tokenizer
 
 GROUP_BYTES = 8_000_000  # of text in a group, on average
@@ -127,6 +127,7 @@ def pack(
     id is kept as it is; rows with the same id and text are packed one by one; an empty table gives
     an empty result. Other columns of ``df`` are ignored, whatever their names.
     """
+    small_batches(df.sparkSession)
     groups = max(1, -(-text_bytes(df, text_col) // group_bytes))
     source = df.select(
         F.col(id_col).cast("long").alias("doc_id"),

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quillmill.llm.shared import materialize
+from quillmill.llm.shared import materialize, small_batches
 
 #: Labelled documents used for the fit at most: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -155,6 +155,7 @@ def quality(
     Null hosts and paths are sites of their own. Null and empty texts have no evidence and are not kept.
     Repeated rows count as often as they occur. Without any label every evidence is 0.
     """
+    small_batches(df.sparkSession)
     model = fit(df, labels, id_col, text_col, label_col, sample)
     path = F.col(path_col) if path_col else F.lit("")
     keyed = df.withColumn("__host", F.xxhash64(F.col(host_col))).withColumn("__path", F.xxhash64(F.col(host_col), path))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.shared import fresh_dir, text_bytes
+from quillmill.llm.shared import fresh_dir, small_batches, text_bytes
 from quillmill.llm.tokens import tokenizer
 
 MAGIC = b"QMREC1"
@@ -121,6 +121,7 @@ def write_records(
     equal ones. Columns of ``df`` besides the two named play no part.
     """
     spark = df.sparkSession
+    small_batches(spark)
     shards = max(1, -(-text_bytes(df, text_col) // shard_text_bytes))
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cuts: list[int] = []

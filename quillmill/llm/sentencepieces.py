@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillmill.llm.shared import small_batches
+
 SPACE = "▁"
 #: Words of more characters are merged one by one with a heap.
 LONG = 60
@@ -66,6 +68,13 @@ class Pieces:
         self.codes = np.zeros((len(texts), self.depth), np.int64)
         for k, t in enumerate(texts):
             self.codes[k, : len(t)] = [ord(c) + 1 for c in t]
+        #: characters that are part of no longer piece stand alone whatever is around them
+        joined = {c for t in texts if len(t) > 1 for c in t}
+        self.alone = "".join(c for c in "\n\t!\"#$%&*+,;<=>?@[]^`{|}~" if c not in joined)
+        letters = {a for t in texts for a, b in zip(t, t[1:]) if a.isalpha() and b == "."}
+        #: a full stop behind a letter is a border where no piece has that pair
+        self.stops = bool(texts) and not letters
+        self.cut = re.compile(f"([{re.escape(self.alone)}]+)") if self.alone else None
         #: a border inside a run of pieces is one before a space mark unless a piece has one inside
         self.by_word = all(SPACE not in t[1:] or not t.strip(SPACE) for t in texts)
 
@@ -193,46 +202,59 @@ class Pieces:
             out[k] = array("I", self._plain(words[k], list(parts))).tobytes()
 
     def _edges(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All occurrences of all pieces: start, end, id."""
+        """All occurrences of all pieces: start, end, id.
+
+        The suffix array is sorted as deep as the longest piece. Characters are numbered anew, so several fit
+        into one sort key, and so do those of the pieces; a search for a piece is one for its keys.
+        """
         n = len(code)
-        # rank by ever longer prefixes up to the longest piece; a separator ends a prefix, as the end does
-        rank = np.unique(code, return_inverse=True)[1].astype(np.int64)
-        length = 1
-        while length < self.depth:
-            ahead = np.zeros(n, np.int64)
-            ahead[: max(0, n - length)] = rank[length:] + 1
-            rank = np.unique(rank * (n + 2) + ahead, return_inverse=True)[1].astype(np.int64)
-            length *= 2
-        suffix = np.argsort(rank, kind="stable")
-        # all pieces at once: a binary search by columns of characters narrows each piece's range
-        low, high = np.zeros(len(self.codes), np.int64), np.full(len(self.codes), n, np.int64)
-        padded = np.concatenate([code, np.zeros(self.depth, np.int64)])
-        for d in range(self.depth):
-            active = (self.lengths > d) & (low < high)
-            if not active.any():
-                break
-            want = self.codes[active, d]
-            lo, hi = low[active], high[active]
-            low[active] = self._bound(padded, suffix, d, want, lo, hi, False)
-            high[active] = self._bound(padded, suffix, d, want, lo, hi, True)
+        # numbers from 1 for the characters that occur; 0 ends a word and fills keys below, the top value above
+        there = np.zeros(max(int(code.max()), int(self.codes.max(initial=0))) + 1, bool)
+        there[code] = True
+        there[0] = False
+        renumber = np.cumsum(there)
+        kinds = int(renumber[-1])
+        bits = next(b for b in (8, 16, 21) if kinds + 2 < 1 << b)
+        width = 64 // bits
+        number = np.where(there, renumber, 0).astype(np.uint64)
+        text = np.concatenate([number[code], np.zeros(width * -(-self.depth // width), np.uint64)])
+
+        def keys(rows: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(rows), np.uint64)
+            for column in range(rows.shape[1]):
+                out = (out << np.uint64(bits)) | rows[:, column]
+            return out
+
+        levels = -(-self.depth // width)
+        windows = np.lib.stride_tricks.sliding_window_view(text, width)
+        first = keys(windows[:n])
+        packed = [first] + [keys(windows[level * width : level * width + n]) for level in range(1, levels)]
+        suffix = np.lexsort(packed[::-1]) if levels > 1 else np.argsort(first, kind="stable")
+        packed = [p[suffix] for p in packed]
+        # a piece with a character that does not occur has no occurrence
+        codes = np.where(self.codes > 0, number[np.minimum(self.codes, len(number) - 1)], 0)
+        possible = np.flatnonzero(((codes > 0) == (self.codes > 0)).all(1))
+        lengths = self.lengths[possible]
+        top = np.uint64((1 << bits) - 1)
+        padded = np.zeros((len(possible), levels * width), np.uint64)
+        padded[:, : self.depth] = codes[possible]
+        inside = np.arange(levels * width) < lengths[:, None]
+        lows, highs = np.where(inside, padded, 0), np.where(inside, padded, top)
+        low = np.searchsorted(packed[0], keys(lows[:, :width]), "left")
+        high = np.searchsorted(packed[0], keys(highs[:, :width]), "right")
+        for level in range(1, levels):
+            # only longer pieces look further, each inside the range of its first keys
+            deep = np.flatnonzero((lengths > level * width) & (low < high))
+            part = slice(level * width, (level + 1) * width)
+            below, above = keys(lows[deep, part]), keys(highs[deep, part])
+            for k, x, y in zip(deep.tolist(), below, above):
+                run = packed[level][low[k] : high[k]]
+                low[k], high[k] = low[k] + np.searchsorted(run, x, "left"), low[k] + np.searchsorted(run, y, "right")
         count = np.maximum(high - low, 0)
         which = np.repeat(np.arange(len(count)), count)
         place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
         start = suffix[place]
-        return start, start + self.lengths[which], self.order[which]
-
-    @staticmethod
-    def _bound(code, suffix, depth, want, low, high, after) -> np.ndarray:
-        lo, hi = low.copy(), high.copy()
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                return lo
-            mid = (lo + hi) >> 1
-            got = code[suffix[np.minimum(mid, len(suffix) - 1)] + depth]
-            right = open_ & ((got <= want) if after else (got < want))
-            lo = np.where(right, mid + 1, lo)
-            hi = np.where(open_ & ~right, mid, hi)
+        return start, start + lengths[which], self.order[possible][which]
 
     def _plain(self, word: str, parts: list[tuple[int, int, int]]) -> list[int]:
         """Ids of parts (start, end, piece or -1); what has no piece becomes bytes or unknown."""
@@ -395,6 +417,7 @@ def encode(df, model_path: str, text_col: str = "text", ids_col: str = "ids"):
     def run(texts: pa.Array) -> pa.Array:
         return pa.array(list(pieces(model_path).encode(texts.to_pylist())), pa.binary())
 
+    small_batches(df.sparkSession)
     return df.withColumn(ids_col, run(F.col(text_col)))
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.shared import materialize
+from quillmill.llm.shared import materialize, small_batches
 
 WINDOW = 20
 ANCHOR = 8
@@ -260,6 +260,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     against smaller ids and themselves, not against each other; an empty table gives an empty one. All
     other columns stay.
     """
+    small_batches(df.sparkSession)
     found = repeated_windows(df, id_col, text_col, k)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     joined = df.withColumn("__key", key).join(found.withColumnRenamed("id", "__key"), "__key", "left")
