@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillmill.functions.once import once
 from quillmill.llm.shared import small_batches
 
 SPACE = "▁"
@@ -68,13 +69,12 @@ class Pieces:
         self.codes = np.zeros((len(texts), self.depth), np.int64)
         for k, t in enumerate(texts):
             self.codes[k, : len(t)] = [ord(c) + 1 for c in t]
-        #: characters that are part of no longer piece stand alone whatever is around them
-        joined = {c for t in texts if len(t) > 1 for c in t}
-        self.alone = "".join(c for c in "\n\t!\"#$%&*+,;<=>?@[]^`{|}~" if c not in joined)
-        letters = {a for t in texts for a, b in zip(t, t[1:]) if a.isalpha() and b == "."}
-        #: a full stop behind a letter is a border where no piece has that pair
-        self.stops = bool(texts) and not letters
-        self.cut = re.compile(f"([{re.escape(self.alone)}]+)") if self.alone else None
+        pairs = {x for t in texts for x in zip(t, t[1:])}
+        #: behind a letter these are a certain border, as no piece holds such a pair
+        self.tails = "".join(c for c in ".,!?;:*#$%&|" if not any(a.isalpha() and b == c for a, b in pairs))
+        self.newline_alone = not any("\n" in x for x in pairs)
+        self.parts: dict[str, bytes] = {}
+        self._common(texts, ids)
         #: a border inside a run of pieces is one before a space mark unless a piece has one inside
         self.by_word = all(SPACE not in t[1:] or not t.strip(SPACE) for t in texts)
 
@@ -114,11 +114,66 @@ class Pieces:
         word = self.words.__getitem__
         return [b"".join(map(word, c if plain else map(_odd, c))) for c, plain in zip(cut, marked)]
 
+    def _common(self, texts: list[str], ids: list[int]) -> None:
+        """Numbers of one byte for the characters of most pieces, and the search keys of the pieces made of these alone."""
+        often: dict[str, int] = {}
+        for t in texts:
+            for c in t:
+                often[c] = often.get(c, 0) + 1
+        chosen = sorted(often, key=lambda c: (-often[c], c))[:250]
+        self.number = np.full(0x110002, 251, np.uint8)  # 251: any other character
+        self.number[0] = 0
+        for k, c in enumerate(chosen, 1):
+            self.number[ord(c) + 1] = k
+        codes = np.where(self.codes > 0, self.number[self.codes], 0)
+        whole = np.flatnonzero(~(codes == 251).any(1) & (self.lengths <= 16))
+        self.all_short = bool((self.lengths <= 16).all())
+        self.c_length, self.c_id = self.lengths[whole], np.array(ids)[whole] if len(whole) else np.zeros(0, np.int64)
+        padded = np.zeros((len(whole), 16), np.uint8)
+        wide = min(16, codes.shape[1])
+        padded[:, :wide] = codes[whole][:, :wide]
+        inside = np.arange(16) < self.c_length[:, None]
+        key = lambda x: np.ascontiguousarray(x).view(">u8").astype(np.uint64)
+        low, high = key(padded), key(np.where(inside, padded, 255))
+        self.c_low, self.c_high, self.c_low2, self.c_high2 = low[:, 0].copy(), high[:, 0].copy(), low[:, 1].copy(), high[:, 1].copy()
+
     def _learn(self, words: list[str]) -> None:
-        """``words``: as after their space mark, or a whole chunk behind ``\\0``."""
-        for at in range(0, len(words), 40_000):
-            part = words[at : at + 40_000]
-            self.words.update(zip(part, self.match([w[1:] if w[:1] == "\0" else SPACE + w for w in part])))
+        """``words``: as after their space mark, or a whole chunk behind ``\\0``.
+
+        A word is cut at certain borders, so that its letters are looked up whatever stands behind them.
+        """
+        if len(self.parts) > self.cache_size:
+            self.parts.clear()
+        cut: list[list[str]] = []
+        fresh: set[str] = set()
+        tails = self.tails
+        for w in words:
+            word = w[1:] if w[:1] == "\0" else SPACE + w
+            if self.newline_alone and "\n" in word:
+                out = []
+                for k, line in enumerate(word.split("\n")):
+                    if k:
+                        out.append("\n")
+                    if line:
+                        out += self._tail(line, tails)
+            else:
+                out = self._tail(word, tails)
+            cut.append(out)
+            fresh.update(out)
+        new = [x for x in fresh if x not in self.parts]
+        for at in range(0, len(new), 8_000):
+            part = new[at : at + 8_000]
+            self.parts.update(zip(part, self.match(part)))
+        ready = self.parts.__getitem__
+        for w, parts in zip(words, cut):
+            self.words[w] = ready(parts[0]) if len(parts) == 1 else b"".join(map(ready, parts))
+
+    @staticmethod
+    def _tail(word: str, tails: str) -> list[str]:
+        core = word.rstrip(tails)
+        if len(core) == len(word) or not core or not core[-1].isalpha():
+            return [word]
+        return [core, word[len(core) :]]
 
     def match(self, words: list[str]) -> list[bytes]:
         """The ids of each word, packed."""
@@ -126,7 +181,8 @@ class Pieces:
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
         bounds = np.cumsum([len(w) + 1 for w in words]) - 1
         code[bounds] = 0  # no character of a piece
-        start, end, piece = self._edges(code)
+        small = self.number[code]
+        start, end, piece = self._edges_common(small) if self.all_short and not (small == 251).any() else self._edges(code)
         long = np.diff(bounds, prepend=-1) > LONG
         out: list[bytes | None] = [None] * len(words)
         one_by_one = range(len(words))
@@ -256,6 +312,32 @@ class Pieces:
         start = suffix[place]
         return start, start + lengths[which], self.order[possible][which]
 
+    def _edges_common(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for a text of one-byte numbers, with the keys of the pieces at hand."""
+        n = len(text)
+        padded = np.concatenate([text, np.zeros(24, np.uint8)])
+        keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: n + 8]).view(">u8").ravel().astype(np.uint64)
+        first, second = keys[:n], keys[8 : n + 8]
+        suffix = np.argsort(first)
+        ordered = first[suffix]
+        # equal first halves are put in order by their second halves
+        tied = np.zeros(n, bool)
+        same = ordered[1:] == ordered[:-1]
+        tied[1:] |= same
+        tied[:-1] |= same
+        at = np.flatnonzero(tied)
+        suffix[at] = suffix[at][np.lexsort((second[suffix[at]], ordered[at]))]
+        low, high = np.searchsorted(ordered, self.c_low, "left"), np.searchsorted(ordered, self.c_high, "right")
+        deep = np.flatnonzero((self.c_length > 8) & (low < high))
+        for k in deep.tolist():
+            run = second[suffix[low[k] : high[k]]]
+            low[k], high[k] = low[k] + np.searchsorted(run, self.c_low2[k], "left"), low[k] + np.searchsorted(run, self.c_high2[k], "right")
+        count = np.maximum(high - low, 0)
+        which = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
+        start = suffix[place]
+        return start, start + self.c_length[which], self.c_id[which]
+
     def _plain(self, word: str, parts: list[tuple[int, int, int]]) -> list[int]:
         """Ids of parts (start, end, piece or -1); what has no piece becomes bytes or unknown."""
         out, gap = [], False
@@ -418,7 +500,8 @@ def encode(df, model_path: str, text_col: str = "text", ids_col: str = "ids"):
         return pa.array(list(pieces(model_path).encode(texts.to_pylist())), pa.binary())
 
     small_batches(df.sparkSession)
-    return df.withColumn(ids_col, run(F.col(text_col)))
+    # computed once, though a decoder and a checksum may both use the ids
+    return once(df.withColumn(ids_col, run(F.col(text_col))), **{ids_col: F.col(ids_col)})
 
 
 def decode(df, model_path: str, ids_col: str = "ids", text_col: str = "decoded"):
