@@ -13,8 +13,6 @@ connected component of the pairs that reach the threshold; exact copies join as
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.components import components
 from quillmill.llm.shared import materialize, small_batches
-from quillmill.llm.substrings import _WORDS, blocks, mix
+from quillmill.llm.substrings import blocks, mix, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -40,11 +38,9 @@ class Shingles:
     """The different shingles of a block of texts: text number, hash, count, and the sizes of the texts."""
 
     def __init__(self, texts: list[str | None], size: int = SHINGLE):
-        words = [(t or "").encode().split() for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
+        w, sizes = word_hashes(texts)
         begins = np.cumsum(sizes) - sizes
-        n = int(sizes.sum())
-        w = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(words)), np.uint64, n)
+        n = len(w)
         padded = np.concatenate([w, np.zeros(size, np.uint64)])
         owner = np.repeat(np.arange(len(texts)), sizes)
         ends = np.repeat(begins + sizes, sizes)

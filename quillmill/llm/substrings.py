@@ -17,11 +17,9 @@ is that of comparing all windows. Equality is that of two 64-bit hashes together
 from __future__ import annotations
 
 import ctypes
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,17 +41,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """64-bit hash of each word; starts anew beyond 150,000 words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -67,21 +54,45 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of all texts, and the number of words of each text.
+
+    Words are runs of other bytes than ASCII white space. A word's hash is a polynomial of random numbers
+    for its bytes, from the difference of two running sums, so no word becomes an object.
+    """
+    coded = [(t or "").encode() for t in texts]
+    text = np.frombuffer(b" ".join(coded) + b" ", np.uint8)
+    limits = np.cumsum([len(c) + 1 for c in coded])
+    n = len(text)
+    space = _SPACE[text]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if n and not space[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[::2], edge[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[text] * _powers(_BASE, n), out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * _powers(_INVERSE, n + 1)[starts])
+    return hashes, np.diff(np.searchsorted(starts, limits), prepend=0)
+
+
 class Block:
     """The paths of a few documents: per path the document's number, its first and last window, its minimizer and hash."""
 
     def __init__(self, texts: list[str | None], k: int = WINDOW, a: int = ANCHOR):
         self.k = k
-        self.words = [(t or "").encode().split() for t in texts]
-        sizes = np.array([len(w) for w in self.words], np.int64)
+        w, sizes = word_hashes(texts)
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
-        n = int(self.ends[-1]) if len(sizes) else 0
+        n = len(w)
         self.path_doc = self.first = self.last = np.empty(0, np.int64)
         self.minimizer = self.hash = np.empty(0, np.uint64)
         if not (sizes >= k).any():
             return
-        w = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(self.words)), np.uint64, n)
         # sums of w[j] * base**j: a run's hash is a difference of two, taken back by base**-start
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(w * _powers(_BASE, n), out=self.sums[1:])
@@ -307,7 +318,8 @@ def _cut_block(texts: list, paths: list, windows: list, k: int) -> list[dict]:
         np.subtract.at(drop, starts + k, 1)
     dropped = np.cumsum(drop[:-1]) > 0
     out = []
-    for words, begin, end in zip(b.words, b.begins, b.ends):
+    for text, begin, end in zip(texts, b.begins, b.ends):
+        words = (text or "").encode().split()
         mask = dropped[begin:end]
         if mask.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
