@@ -14,8 +14,8 @@ def numbered(log: DataFrame, *order: str) -> DataFrame:
 def by_type(log: DataFrame) -> DataFrame:
     """Flags per type, most first, with their share in percent and the first flag for ties."""
     counted = log.groupBy("entity_type").agg(F.count("*").alias("n"), F.min("flag_id").alias("first_flag"))
-    total = log.agg(F.count("*").alias("total"))
-    return counted.join(F.broadcast(total)).select("entity_type", "n", F.round(100 * F.col("n") / F.col("total"), 1).alias("pct"), "first_flag")
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # over a row per type
+    return counted.select("entity_type", "n", F.round(100 * F.col("n") / total, 1).alias("pct"), "first_flag")
 
 
 def by_file(log: DataFrame, top: int = 4, joiner: str = ": ") -> DataFrame:
