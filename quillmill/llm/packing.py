@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.shared import small_batches, text_bytes
+from quillmill.llm.substrings import give_back
 from quillmill.llm.tokens import tokenizer
 
-GROUP_BYTES = 8_000_000  # of text in a group, on average
+GROUP_BYTES = 2_000_000  # of text in a group, on average
 SEQUENCE = 1024
 
 
@@ -139,12 +140,15 @@ def pack(
         end = tok.pack([end_id])
         for batch in batches:
             ids = [x + end for x in tok.encode(batch.column("text").to_pylist())]
+            width = pa.array([tok.width] * len(ids), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("grp"), pa.array(ids, pa.binary())], ["doc_id", "grp", "packed"]
+                [batch.column("doc_id"), batch.column("grp"), width, pa.array(ids, pa.binary())], ["doc_id", "grp", "width", "packed"]
             )
+            del ids
+            give_back()
 
     def pack_group(table: pa.Table) -> pa.Table:
-        dtype = tokenizer(tokenizer_path).dtype
+        dtype = np.dtype(f"<u{table.column('width')[0].as_py()}")
         table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("packed", "ascending")])
         docs, packed = table.column("doc_id").to_pylist(), table.column("packed").to_pylist()
         first = table.column("grp")[0].as_py() << 24
@@ -158,9 +162,12 @@ def pack(
                     rows[key].append(v)
                 offset += n
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
+        out = pa.table([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
+        rows.clear()
+        give_back()
+        return out
 
-    encoded = source.mapInArrow(encode, "doc_id long, grp long, packed binary")
+    encoded = source.mapInArrow(encode, "doc_id long, grp long, width int, packed binary")
     return encoded.groupBy("grp").applyInArrow(
         pack_group,
         "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",

@@ -139,29 +139,30 @@ def write_records(
             ids = [squeeze.compress(x + end) for x in tok.encode(batch.column("text").to_pylist())]
             docs = batch.column("doc_id")
             shard = np.searchsorted(bounds, docs.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
+            width = pa.array([tok.width] * len(ids), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [docs, pa.array(shard.astype(np.int32)), pa.array(ids, pa.binary())], ["doc_id", "shard", "packed"]
+                [docs, pa.array(shard.astype(np.int32)), width, pa.array(ids, pa.binary())], ["doc_id", "shard", "width", "packed"]
             )
 
     def store(key, table):
         import zstandard
 
-        tok, shard = tokenizer(tokenizer_path), key[0].as_py()
+        width, shard = table.column("width")[0].as_py(), key[0].as_py()
         open_up = zstandard.ZstdDecompressor()
         rows = [(d is not None, d or 0, open_up.decompress(p)) for d, p in zip(table["doc_id"].to_pylist(), table["packed"].to_pylist())]
         rows.sort()
-        content, index = shard_bytes([payload_of(d if known else None, p) for known, d, p in rows], tok.width)
+        content, index = shard_bytes([payload_of(d if known else None, p) for known, d, p in rows], width)
         name = f"shard-{shard:08d}"
         _put(f"{folder}/{name}.rec", content)
         _put(f"{folder}/{name}.idx", index)
-        tokens = sum(len(p) for _, _, p in rows) // tok.width
+        tokens = sum(len(p) for _, _, p in rows) // width
         values = [[shard], [f"{name}.rec"], [len(rows)], [tokens], [len(content)]]
         types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.table([pa.array(v, t) for v, t in zip(values, types)], names=["shard", "file", "records", "tokens", "bytes"])
 
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
     written = (
-        source.mapInArrow(encode, "doc_id long, shard int, packed binary")
+        source.mapInArrow(encode, "doc_id long, shard int, width int, packed binary")
         .groupBy("shard")
         .applyInArrow(store, "shard int, file string, records long, tokens long, bytes long")
     )
