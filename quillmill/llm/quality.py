@@ -162,16 +162,16 @@ def quality(
     keyed = keyed.withColumn("__logit", F.round(_logit(model, F.col(text_col)), 9))
     keyed = keyed.withColumn("__p", 1 / (1 + F.exp(-F.col("__logit"))))
     site, strength = site_priors(keyed.select("__host", "__path", "__p"))
-    site = materialize(site.select(F.col("__path"), "n", "s", "hm"), "priors")
+    site = materialize(site.select("__path", F.col("n").alias("__n"), F.col("s").alias("__s"), F.col("hm").alias("__hm")), "priors")
     if site.count() <= BROADCAST_ROWS:
         joined = keyed.join(F.broadcast(site), "__path")
     else:
         salted = keyed.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)))
         joined = salted.join(site.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["__path", "__salt"]).drop("__salt")
     k, prior = strength["path"], strength["mean"]
-    rest_n, rest_s = F.col("n") - 1, F.greatest(F.col("s") - F.col("__p"), F.lit(0.0))
+    rest_n, rest_s = F.col("__n") - 1, F.greatest(F.col("__s") - F.col("__p"), F.lit(0.0))
     # alone on its path, a document stands under its host's mean
-    site_mean = F.least(F.greatest((rest_s + k * F.col("hm")) / (rest_n + k), F.lit(1e-4)), F.lit(1 - 1e-4))
+    site_mean = F.least(F.greatest((rest_s + k * F.col("__hm")) / (rest_n + k), F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = F.col("__logit") - math.log(prior / (1 - prior)) + F.log(site_mean / (1 - site_mean))
     empty = F.coalesce(F.trim(F.col(text_col)), F.lit("")) == ""
     return (
@@ -179,5 +179,5 @@ def quality(
         .withColumn("q_path", F.round(site_mean, 9))
         .withColumn("q_posterior", F.round(F.when(empty, 0.0).otherwise(1 / (1 + F.exp(-odds))), 9))
         .withColumn("q_keep", F.col("q_posterior") >= threshold)
-        .drop("__host", "__path", "__logit", "__p", "n", "s", "hm")
+        .drop("__host", "__path", "__logit", "__p", "__n", "__s", "__hm")
     )

@@ -31,7 +31,7 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 #: Rows of a file where their number is known.
-FILE_ROWS = 50_000
+FILE_ROWS = 200_000
 
 
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:

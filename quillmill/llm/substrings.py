@@ -222,7 +222,7 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = materialize(again.join(met, "m").where("not single or id > first"), "paths")
 
     branch = seen.where("not single").select("id", "m", "h")
-    firsts = materialize(branch.groupBy("m", "h").agg(F.min("id").alias("first")), "firsts")
+    firsts = materialize(branch.groupBy("m", "h").agg(F.min("id").alias("first")), "firsts", met.count())
     later = seen.where("single").select("id", "h").unionByName(
         branch.join(firsts, ["m", "h"]).where("id > first").select("id", "h")
     )
