@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.shared import materialize
 
 
+def _forest(batches):
+    """Of a task's edges those that join what its earlier ones have not joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    for batch in batches:
+        kept = []
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                kept.append((a, b))
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], ["a", "b"])
+
+
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``id, label``: for each id of ``edges (a, b)`` the least id that it reaches. ``rows``: about how many ids there can be.
 
     Every round writes its labels into the shared folder, so no lineage grows; sums over neighbours start
     in the tasks that hold the edges, so a hub is no bottleneck. Rounds follow the logarithm of the longest path.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", rows)
+    thin = materialize(edges.select("a", "b").distinct(), "edges", rows).mapInArrow(_forest, "a long, b long")
+    thin = materialize(thin, "edges", rows)
+    both = thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id")
     label = materialize(label, "labels", rows)
     while True:
