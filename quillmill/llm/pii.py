@@ -4,13 +4,14 @@ One regular expression finds the entities. Each is replaced by a keyed surrogate
 format. Numbers (cards, phones, social security numbers, addresses, account numbers) go through a keyed
 permutation of their digits (a Feistel network), so different numbers can never meet. Names, mail
 addresses and secrets get surrogates from keyed hashes; a check over all different entities of the
-table looks for collisions, between surrogates and with entities that occur, and lengthens the hashed
-part until there is none. A surrogate depends on the key and the entity alone, so the same entity reads
-the same in every document.
+table looks for collisions, between surrogates and with entities that occur, and draws anew for those,
+as often as it takes. The same entity reads the same in every document.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,14 @@ TITLES = {
     "f": ["Mrs.", "Ms.", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra.", "г-жа", "κα."],
     "n": ["Dr.", "Prof."],
 }
+#: The letters and digits of secrets' surrogates by what they stand for; anything else becomes a symbol.
+SECRET_ALPHABETS = {
+    "^[0-9]": "0123456789", "^[a-z]": "abcdefghijklmnopqrstuvwxyz", "^[A-Z]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    r"^(?=\p{IsCyrillic})\p{Lu}": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", r"^(?=\p{IsCyrillic})\p{L}": "абвгдежзийклмнопрстуфхцчшщъыьэюя",
+    r"^(?=\p{IsGreek})\p{Lu}": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"^(?=\p{IsGreek})\p{L}": "αβγδεζηθικλμνξοπρστυφχψω",
+    r"^\p{Lu}": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^\p{L}": "abcdefghijklmnopqrstuvwxyz", r"^\p{N}": "0123456789",
+}
+SECRET_SYMBOLS = "-_.~!*$%&+#?/@^:"
 SYLLABLES = {
     "Latin": "ba be bo bra da de do dri fa fe ga go ha he jo ka ke ki la le li lo ma mi na no pa ra ro sa ti va".split(),
     "Cyrillic": "ба бе бо бра да де до дри фа фе га го ха хе жо ка ке ки ла ле ли ло ма ми на но па ра ро са ти ва".split(),
@@ -37,7 +46,8 @@ SYLLABLES = {
 }
 
 NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
-_ALL_GIVEN = "|".join(sorted({n for names in GIVEN.values() for n in names}))
+KNOWN = {n for names in GIVEN.values() for n in names}
+_ALL_GIVEN = "|".join(sorted(KNOWN))
 _INITIALS = "".join(sorted({n[0] for names in GIVEN.values() for n in names}))
 _TITLE_INITIALS = "".join(sorted({t[0] for kind in TITLES.values() for t in kind}))
 _ALL_TITLES = "|".join(t.replace(".", r"\.") for kind in TITLES.values() for t in kind)
@@ -75,11 +85,37 @@ def _words(words: list[str]) -> str:
     return "array(" + ", ".join(map(_q, words)) + ")"
 
 
+class Draws(NamedTuple):
+    """What keeps the hashed surrogates of a table apart."""
+
+    #: Grows the names and mail addresses made.
+    width: int = 0
+    #: Characters that every secret's surrogate has beyond the secret's length.
+    longer: int = 0
+    #: Known given names that get a made one, since the list's would meet an entity that occurs.
+    names: frozenset = frozenset()
+    #: How often the entity of a keyed hash was drawn anew.
+    again: tuple = ()
+
+
 class _Sql:
-    """Builds the expressions for one key and one width of the hashed surrogates."""
+    """Builds the expressions for one key and one set of draws of the hashed surrogates."""
 
-    def __init__(self, key: str, width: int):
-        self.key, self.width = key, width
+    def __init__(self, key: str, draws: Draws | int):
+        self.key, self.draws = key, draws if isinstance(draws, Draws) else Draws(draws)
+        self.width = self.draws.width
+
+    def entity_hash(self, e: str) -> str:
+        return f"xxhash64({_q(self.key)}, {e})"
+
+    def drawn(self, e: str) -> str:
+        """How often the entity was drawn anew."""
+        if not self.draws.again:
+            return "0"
+        by_count: dict[int, list[str]] = {}
+        for h, n in self.draws.again:
+            by_count.setdefault(n, []).append(f"{h}L" if h != -(1 << 63) else "bigint('-9223372036854775808')")
+        return f"case {' '.join(f'when {self.entity_hash(e)} in ({chr(44).join(hs)}) then {n}' for n, hs in sorted(by_count.items()))} else 0 end"
 
     def number(self, *parts: str) -> str:
         """A keyed 60-bit number of the parts."""
@@ -164,55 +200,63 @@ class _Sql:
         return f"element_at(transform(array(named_struct('t', {turned}, 'z', {self.permuted('IBAN', d)})), y -> {self.poured('y.t', 'y.z')}), 1)"
 
     def secret(self, e: str) -> str:
-        """Characters of the same classes, from a keyed hash; hexadecimal stays hexadecimal."""
-        bits = f"cast(conv(substring(sha2(concat_ws('\\u0001', {_q(self.key)}, 'SECRET', {e}, cast(i div 16 as string), '{self.width}'), 256), 1 + 4 * (i % 16), 4), 16, 10) as int)"
-        c = f"substring({e}, i + 1, 1)"
-        letters = f"if({e} rlike '^[0-9a-f]+$', 6, 26)"
-        any_hex = f"{e} rlike '^[0-9a-f]+$'"
-        new = (
-            f"case when {any_hex} then lower(hex({bits} % 16)) when {c} between '0' and '9' then cast({bits} % 10 as string)"
-            f" when {c} between 'a' and 'z' then char(97 + {bits} % {letters}) when {c} between 'A' and 'Z' then char(65 + {bits} % 26) else {c} end"
-        )
-        return f"array_join(transform(sequence(0, length({e}) - 1), i -> {new}), '')"
+        """Characters of the same classes, from a keyed hash; hexadecimal stays hexadecimal. A third draw and later ones make it longer."""
+        seed = f"sha2(concat_ws('\\u0001', {_q(self.key)}, 'SECRET', {e}, cast({self.drawn(e)} as string)), 256)"
+        start = f"named_struct('h', {e} rlike '^[0-9a-f]+$', 'seed', {seed}, 'extra', {self.draws.longer} + greatest(0, {self.drawn(e)} - 2))"
+        blocks = "transform(sequence(0, (length({e}) - 1) div 16), b -> sha2(concat_ws('\\u0001', y.seed, cast(b as string)), 256))".format(e=e)
+        bits = "cast(conv(substring(bs[i div 16], 1 + 4 * cast(i % 16 as int), 4), 16, 10) as int)"
+        of = lambda alphabet: f"substring({_q(alphabet)}, {bits} % {len(alphabet)} + 1, 1)"
+        new = f"case when y.h then {of('0123456789abcdef')}" + "".join(f" when c rlike {_q(p)} then {of(a)}" for p, a in SECRET_ALPHABETS.items()) + f" else {of(SECRET_SYMBOLS)} end"
+        chars = f"array_join(flatten(transform(array({blocks}), bs -> transform(split({e}, ''), (c, i) -> {new}))), '')"
+        return f"element_at(transform(array({start}), y -> concat({chars}, substring(sha2(concat(y.seed, 'MORE'), 256), 1, y.extra))), 1)"
 
     def email(self, e: str) -> str:
         """A name and a keyed number at a domain of the reserved kind; the same domain stays the same."""
         local, domain = f"substring_index({e}, '@', 1)", f"lower(substring_index({e}, '@', -1))"
         names = _words([n.lower() for n in GIVEN["Latin", "f"] + GIVEN["Latin", "m"] if n.isascii()])
         n = self.number("'EMAIL'", f"lower({local})", domain)
-        digits = 8 + 4 * self.width
+        digits = min(8 + 4 * self.width, 64)
         tail = f"substring(sha2(concat_ws('\\u0001', {_q(self.key)}, 'EMAILTAIL', lower({e})), 256), 1, {digits})"
-        host = f"substring(sha2(concat_ws('\\u0001', {_q(self.key)}, 'HOST', {domain}), 256), 1, {6 + 2 * self.width})"
+        host = f"substring(sha2(concat_ws('\\u0001', {_q(self.key)}, 'HOST', {domain}), 256), 1, {min(6 + 2 * self.width, 64)})"
         return f"concat(element_at({names}, cast({n} % size({names}) as int) + 1), '.', {tail}, '@h', {host}, '.example')"
 
     @staticmethod
     def script(w: str) -> str:
         return f"case when {w} rlike '\\\\p{{IsCyrillic}}' then 'Cyrillic' when {w} rlike '\\\\p{{IsGreek}}' then 'Greek' else 'Latin' end"
 
-    def surname(self, w: str) -> str:
-        """Syllables of the word's script."""
+    def surname(self, w: str, salt: str) -> str:
+        """Syllables of the word's script, the same for a word in capitals; any other change of case makes another word."""
         count = 4 + 2 * self.width
-        of = lambda s: f"element_at({_words(SYLLABLES[s])}, cast(pmod(shiftright(n, 5 * i), 32) as int) + 1)"
+        of = lambda s: f"element_at({_words(SYLLABLES[s])}, cast(pmod(shiftright(n[i div 12], cast(5 * (i % 12) as int)), 32) as int) + 1)"
         pick = f"case {self.script(w)} when 'Cyrillic' then {of('Cyrillic')} when 'Greek' then {of('Greek')} else {of('Latin')} end"
-        made = f"element_at(transform(array({self.number(_q('NAME'), f'lower({w})')}), n -> initcap(array_join(transform(sequence(0, {min(count, 12) - 1}), i -> {pick}), ''))), 1)"
+        word = f"if({w} = initcap(lower({w})) or {w} = upper(lower({w})), lower({w}), {w})"
+        numbers = ", ".join(self.number(_q(f"NAME{k or ''}"), word, salt) for k in range((count + 11) // 12))
+        made = f"element_at(transform(array(array({numbers})), n -> initcap(array_join(transform(sequence(0, {count - 1}), i -> {pick}), ''))), 1)"
         return f"if({w} rlike '^[^\\\\p{{Ll}}]{{2,}}$', upper({made}), {made})"
 
-    def given(self, w: str, gender: str) -> str:
-        """A known name moves along the names of its script and gender; others end as their gender does."""
+    def given(self, w: str, gender: str, salt: str, surname: str) -> str:
+        """A known name moves along the names of its script and gender while that is free; others end as their gender does."""
         cases = []
+        made = lambda end: f"concat({surname}, {end})"
         for (script, g), names in GIVEN.items():
             step = f"(1 + pmod({self.number(_q('GIVEN' + script + g))}, {len(names) - 1}))"
             here = f"array_position({_words(names)}, {w})"
+            again = " or ".join([f"{salt} <> ''"] * bool(self.draws.again) + [f"array_contains({_words(sorted(taken))}, {w})" for taken in [self.draws.names & set(names)] if taken])
+            if again:
+                ending = {"f": "'a'", "m": "'o'"}[g] if script == "Latin" else "''"
+                cases.append(f"when {here} > 0 and ({again}) then {made(ending)}")
             cases.append(f"when {here} > 0 then element_at({_words(names)}, cast(pmod({here} - 1 + {step}, {len(names)}) as int) + 1)")
         ending = f"case {gender} when 'f' then 'a' when 'm' then 'o' else 'e' end"
-        return f"case {' '.join(cases)} when {self.script(w)} = 'Latin' then concat({self.surname(w)}, {ending}) else {self.surname(w)} end"
+        return f"case {' '.join(cases)} when {self.script(w)} = 'Latin' then {made(ending)} else {surname} end"
 
     def person(self, e: str, before: str) -> str:
         ends = lambda g: "(" + " or ".join(f"endswith({before}, {_q(t + ' ')})" for t in TITLES[g]) + ")"
         gender = f"case when {ends('f')} then 'f' when {ends('m')} then 'm' else 'n' end"
         words = f"split({e}, ' ')"
-        known = f"array_contains({_words(sorted({n for x in GIVEN.values() for n in x}))}, w)"
-        return f"array_join(transform({words}, (w, k) -> if(k < size({words}) - 1 or {known}, {self.given('w', gender)}, {self.surname('w')})), ' ')"
+        known = f"array_contains({_words(sorted(KNOWN))}, w)"
+        salt = f"if({self.drawn(e)} = 0, '', concat({e}, '\\u0001', {self.drawn(e)}))" if self.draws.again else "''"
+        new = f"element_at(transform(array({self.surname('w', 'z')}), m -> if(k < size({words}) - 1 or {known}, {self.given('w', gender, 'z', 'm')}, m)), 1)"
+        return f"element_at(transform(array({salt}), z -> array_join(transform({words}, (w, k) -> {new}), ' ')), 1)"
 
     def surrogate(self, kind: str, e: str, before: str) -> str:
         made = {
@@ -241,8 +285,16 @@ def found(text: str = "text") -> Column:
     )
 
 
-def hashed_width(df: DataFrame, key: str, text_col: str = "text", widest: int = 8) -> int:
-    """The least width at which no two different entities of the table share a surrogate and none is an entity that occurs."""
+#: Entities that are drawn anew one by one; where more collide, all of their kind grow.
+ONE_BY_ONE = 10_000
+
+
+def hashed_width(df: DataFrame, key: str, text_col: str = "text") -> Draws:
+    """Draws at which no two different entities of the table share a surrogate and none is an entity that occurs.
+
+    Known given names that collide get made ones wherever they stand; names and mail addresses grow up to a
+    width; whatever else collides is drawn anew by itself. Every round changes or lengthens all that still collide.
+    """
     ents = (
         df.select(F.col(text_col).alias("text"))
         .where(F.col("text").rlike(GUARD) | F.col("text").rlike(NAME_GUARD))
@@ -253,16 +305,35 @@ def hashed_width(df: DataFrame, key: str, text_col: str = "text", widest: int =
         .groupBy("kind", "entity").agg(F.min("before").alias("before"))
     )
     ents = materialize(ents, "entities")
-    for width in range(widest):
-        made = ents.select("kind", "entity", F.expr(_Sql(key, width).surrogate("kind", "entity", "before")).alias("s"))
-        shared = made.groupBy("kind", "s").agg(F.count("*").alias("n"), F.max(F.lit(0)).alias("occurs")).where("n > 1")
-        real = made.join(ents.select("kind", F.col("entity").alias("s")), ["kind", "s"], "left_semi")
-        if shared.select("s").unionByName(real.select("s")).isEmpty():
-            return width
-    raise ValueError("surrogates keep colliding; choose another key")
-
-
-def replace_pii(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities", width: int | None = None) -> DataFrame:
+    draws = Draws()
+    while True:
+        sql = _Sql(key, draws)
+        made = ents.select("kind", "entity", F.expr(sql.surrogate("kind", "entity", "before")).alias("s"))
+        taken = made.groupBy("kind", "s").count().where("count > 1").select("kind", "s").unionByName(ents.select("kind", F.col("entity").alias("s")))
+        bad = made.join(taken, ["kind", "s"], "left_semi").select("kind", F.when(F.col("kind") == "PERSON", F.col("entity")).alias("name"), F.expr(sql.entity_hash("entity")).alias("h"))
+        rows = bad.limit(ONE_BY_ONE + 1).collect()
+        if not rows:
+            return draws
+        draws = _next(draws, rows)
+
+
+def _next(draws: Draws, rows: list) -> Draws:
+    """The draws after those with which ``rows`` collide."""
+    kinds, names, again = {r["kind"] for r in rows}, set(draws.names), dict(draws.again)
+    many = len(rows) + len(again) > ONE_BY_ONE
+    wider = many and bool(kinds - {"SECRET"}) or "EMAIL" in kinds
+    for r in rows:
+        fresh = KNOWN.intersection((r["name"] or "").split(" ")) - draws.names
+        if fresh:
+            names |= fresh
+        elif r["kind"] == "PERSON" and draws.width < 8:
+            wider = True
+        elif r["kind"] != "EMAIL" and not many:
+            again[r["h"]] = again.get(r["h"], 0) + 1
+    return Draws(draws.width + wider, draws.longer + (many and "SECRET" in kinds), frozenset(names), tuple(sorted(again.items())))
+
+
+def replace_pii(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities", width: Draws | int | None = None) -> DataFrame:
     """``df`` with every entity in ``text_col`` replaced by its surrogate; ``count_col`` gets the number replaced.
 
     A null text stays null with 0 entities, an empty one stays empty; every other column and row is kept

@@ -260,6 +260,32 @@ def test_collisions_lengthen_surrogates(spark):
     assert pii.replace_pii(df, "key", width=width).select("text").distinct().count() == df.select("text").distinct().count()
 
 
+def replaced(spark, texts, key="key"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.replace_pii(df, key).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])], [r["n_entities"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_entities_that_never_got_free(spark):
+    texts = ["password: ********", "password: ########", "password: пароль-секрет", "password: ключключ", "Mr. Mcdonald", "Mr. McDonald"]
+    people = ["Martin", "Thomas", "Henry", "Mark", "Daniel", "John"]
+    texts += [f"Mr. {n}" for n in people] + ["Mr. Martin Weber", "Mr. Weber", "Mr. WEBER"]
+    out, n = replaced(spark, texts, queries.PII_KEY)
+    assert n == [1] * len(texts) and len(set(out)) == len(out) and not set(out) & set(texts)
+    made = dict(zip(texts, out))
+    assert made["Mr. Martin Weber"] == made["Mr. Martin"] + made["Mr. Weber"][3:] and made["Mr. WEBER"] == "Mr. " + made["Mr. Weber"][4:].upper()
+    assert all(len(made[t]) == len(t) for t in texts[:4])
+
+
+@pytest.mark.parametrize("limit", [10_000, 2])
+def test_crowded_secrets_are_drawn_again(spark, monkeypatch, limit):
+    monkeypatch.setattr(pii, "SECRET_SYMBOLS", "-_")
+    monkeypatch.setattr(pii, "ONE_BY_ONE", limit)
+    texts = ["password: " + f"{k:08b}".replace("0", "-").replace("1", "_") for k in range(60)]
+    out, _ = replaced(spark, texts)
+    assert len(set(out)) == len(out) and not set(out) & set(texts)
+
+
 def test_pii_of_nothing(spark, empty):
     assert pii.replace_pii(empty, "key").count() == 0
 
