@@ -53,11 +53,11 @@ _TITLE_INITIALS = "".join(sorted({t[0] for kind in TITLES.values() for t in kind
 _ALL_TITLES = "|".join(t.replace(".", r"\.") for kind in TITLES.values() for t in kind)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
 _KEYWORD = r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) {0,2}[:=] {0,2}[\x22']?"
-_LONE_SECRET = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{40}|[0-9a-f]{64}"
-#: In the order in which they are tried at one place. Every pattern is bounded and looks first at the character
-#: it starts with, so no text makes it backtrack far.
+_LONE_SECRET = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+|[0-9a-f]{40}|[0-9a-f]{64}"
+#: In the order in which they are tried at one place. Every pattern is bounded or possessive and looks first at the
+#: character it starts with, so no text makes it backtrack far.
 PATTERNS = {
-    "SECRET": rf"(?<=[\x22'=:]|[=:] )(?=[^\s\x22'|]{{8}})(?<={_KEYWORD})[^\s\x22'|]{{8,200}}|(?:{_LONE_SECRET})(?![\p{{L}}\p{{N}}])",
+    "SECRET": rf"(?<=[\x22'=:]|[=:] )(?=[^\s\x22'|]{{8}})(?<={_KEYWORD})[^\s\x22'|]{{8,}}+|(?:{_LONE_SECRET})(?![\p{{L}}\p{{N}}])",
     "EMAIL": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,6}\p{L}{2,24}",
     "MAC": r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}])",
     "IPV6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}])",

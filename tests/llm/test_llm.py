@@ -286,6 +286,15 @@ def test_crowded_secrets_are_drawn_again(spark, monkeypatch, limit):
     assert len(set(out)) == len(out) and not set(out) & set(texts)
 
 
+def test_long_secrets_go_whole(spark):
+    jwt = "eyJ" + ".".join(hashlib.sha256(bytes([k])).hexdigest() for k in range(15))
+    secrets = [jwt, "sk-" + "Ab1" * 30, "ghp_" + "Zz9" * 20, "Ab.1" * 50_000]
+    out, n = replaced(spark, [f"token={jwt} end", f"see {secrets[1]} end", f"see {secrets[2]} end", f"token={secrets[3]} end"])
+    assert n == [1] * 4
+    for text, secret in zip(out, secrets):
+        assert text.endswith(" end") and not any(secret[k : k + 24] in text for k in range(0, len(secret), 24))
+
+
 def test_pii_of_nothing(spark, empty):
     assert pii.replace_pii(empty, "key").count() == 0
 
