@@ -57,7 +57,7 @@ _LONE_SECRET = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,
 #: In the order in which they are tried at one place. Every pattern is bounded or possessive and looks first at the
 #: character it starts with, so no text makes it backtrack far.
 PATTERNS = {
-    "SECRET": rf"(?<=[\x22'=:]|[=:] )(?=[^\s\x22'|]{{8}})(?<={_KEYWORD})[^\s\x22'|]{{8,}}+|(?:{_LONE_SECRET})(?![\p{{L}}\p{{N}}])",
+    "SECRET": rf"(?<=[\x22'=:]|[=:] |[=:]  )(?=[^\s\x22'|]{{8}})(?<={_KEYWORD})[^\s\x22'|]{{8,}}+|(?:{_LONE_SECRET})(?![\p{{L}}\p{{N}}])",
     "EMAIL": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,6}\p{L}{2,24}",
     "MAC": r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}])",
     "IPV6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}])",
@@ -71,7 +71,7 @@ PATTERNS = {
 #: All entities start behind something that is no letter or digit.
 ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: Any text with an entity matches one of these cheap ones: its characters, or a name's beginning.
-GUARD = r"[0-9@=:]"
+GUARD = r"[0-9@=:]|AKIA|gh[pousr]_|sk-|[a-f]{40}"
 NAME_GUARD = rf"(?<!\p{{L}})(?:(?=[{_INITIALS}])(?:{_ALL_GIVEN})|(?=[{_TITLE_INITIALS}])(?:{_ALL_TITLES})) \p{{Lu}}"
 NUMBERS = ("CARD", "PHONE", "SSN", "IPV4", "IBAN", "MAC", "IPV6")
 

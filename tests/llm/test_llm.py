@@ -295,6 +295,16 @@ def test_long_secrets_go_whole(spark):
         assert text.endswith(" end") and not any(secret[k : k + 24] in text for k in range(0, len(secret), 24))
 
 
+def test_the_guard_loses_nothing(spark):
+    keys = ["AKIA" + "ABCDEFGHIJKLMNOP", "gho_" + "abcdefghi" * 4, "sk-" + "abcdefghij" * 2, "abcdef" * 6 + "abcd"]
+    texts = [f"see {k} there" for k in keys] + ["token:  abcdefgh1234", "secret  =  abcdefghijkl", "token: abcdefgh1234", "g-n Mr. Nobody", "2001:db8::1", "Peter Nobody"]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    bare = df.selectExpr(f"regexp_extract_all(text, {pii._q(pii.ENTITY)}, 0) as e").collect()
+    guarded = df.select(pii.found().alias("x")).collect()
+    assert [[x["entity"] for x in r["x"]] for r in guarded] == [r["e"] for r in bare]
+    assert [r["e"] for r in bare][:7] == [[k] for k in keys] + [["abcdefgh1234"], ["abcdefghijkl"], ["abcdefgh1234"]]
+
+
 def test_pii_of_nothing(spark, empty):
     assert pii.replace_pii(empty, "key").count() == 0
 
