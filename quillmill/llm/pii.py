@@ -52,7 +52,8 @@ _INITIALS = "".join(sorted({n[0] for names in GIVEN.values() for n in names}))
 _TITLE_INITIALS = "".join(sorted({t[0] for kind in TITLES.values() for t in kind}))
 _ALL_TITLES = "|".join(t.replace(".", r"\.") for kind in TITLES.values() for t in kind)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
-_KEYWORD = r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key) {0,2}[:=] {0,2}[\x22']?"
+_KEYWORD = r"(?:(?<![\p{L}\p{N}])|(?<=\p{Ll})(?=\p{Lu}))(?i:token|secret(?:[_-]?key)?|password|passwd|api[_-]?key|access[_-]?key)[\x22']? {0,2}[:=] {0,2}[\x22']?"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 _LONE_SECRET = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+|[0-9a-f]{40}|[0-9a-f]{64}"
 #: In the order in which they are tried at one place. Every pattern is bounded or possessive and looks first at the
 #: character it starts with, so no text makes it backtrack far.
@@ -60,12 +61,12 @@ PATTERNS = {
     "SECRET": rf"(?<=[\x22'=:]|[=:] |[=:]  )(?=[^\s\x22'|]{{8}})(?<={_KEYWORD})[^\s\x22'|]{{8,}}+|(?:{_LONE_SECRET})(?![\p{{L}}\p{{N}}])",
     "EMAIL": r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,6}\p{L}{2,24}",
     "MAC": r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\p{L}\p{N}])",
-    "IPV6": r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}])",
+    "IPV6": rf"(?:{_GROUP}:){{7}}{_GROUP}(?![\p{{L}}\p{{N}}])|(?=[0-9A-Fa-f:])(?<!:)(?!(?:[0-9A-Fa-f]{{0,4}}:){{9}})(?:(?:{_GROUP}:){{1,7}}:(?:{_GROUP}(?::{_GROUP}){{0,6}})?|::{_GROUP}(?::{_GROUP}){{0,6}})(?![\p{{L}}\p{{N}}]|:[0-9A-Fa-f:]|\.\d)",
     "IPV4": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}\p{{L}}]|\.\d)",
     "IBAN": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "SSN": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "PHONE": r"(?<!\+)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\p{N})|(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\p{N})",
-    "CARD": r"(?<!-)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\p{N})",
+    "CARD": r"(?<!-)(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{4,5})(?!\p{N})",
     "PERSON": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_ALL_TITLES}) ){NAME}(?: {NAME}){{0,2}}|(?=[{_INITIALS}])(?:{_ALL_GIVEN}) {NAME}(?!\p{{L}})",
 }
 #: All entities start behind something that is no letter or digit.
@@ -177,19 +178,21 @@ class _Sql:
 
     def hexes(self, kind: str, e: str) -> str:
         """Hexadecimal groups: each half of at most 16 digits is added a keyed number of the other, then the same back."""
-        d = f"lower(regexp_replace({e}, '[^0-9A-Fa-f]', ''))"
-        full = f"array_join(transform(split(lower({e}), ':'), g -> lpad(g, {4 if kind == 'IPV6' else 2}, '0')), '')"
-        size = 8 if kind == "IPV6" else 3  # quarters of IPv6, halves of MAC
+        groups = f"split(lower({e}), ':')"
+        if kind == "IPV6":  # a double colon stands for the groups that are missing
+            side = lambda k: f"filter(split(substring_index(lower({e}), '::', {k}), ':'), g -> g <> '')"
+            groups = f"if({e} like '%::%', concat({side(1)}, array_repeat('0', 8 - size({side(1)}) - size({side(-1)})), {side(-1)}), {groups})"
+        full = f"array_join(transform({groups}, g -> lpad(g, {4 if kind == 'IPV6' else 2}, '0')), '')"
         base = 16**8 if kind == "IPV6" else 16**6
-        del d, size
         n = 8 if kind == "IPV6" else 6
-        val = lambda i: f"cast(conv(substring({full}, {i * n + 1}, {n}), 16, 10) as bigint)"
+        val = lambda i: f"cast(conv(substring(f, {i * n + 1}, {n}), 16, 10) as bigint)"
         hexed = lambda x: f"lower(lpad(hex({x}), {n}, '0'))"
         joined = "concat(" + ", ".join(
             f"element_at(transform(array({self.feistel(kind + str(i), val(i), val(i + 1), f'{base}L', f'{base}L')}), p -> concat({hexed('p.a')}, {hexed('p.b')})), 1)"
             for i in range(0, 4 if kind == "IPV6" else 2, 2)
         ) + ")"
         step = 4 if kind == "IPV6" else 2
+        joined = f"element_at(transform(array({full}), f -> {joined}), 1)"
         return f"element_at(transform(array({joined}), z -> array_join(transform(sequence(0, {7 if kind == 'IPV6' else 5}), i -> substring(z, i * {step} + 1, {step})), ':')), 1)"
 
     def iban(self, e: str) -> str:

@@ -305,6 +305,24 @@ def test_the_guard_loses_nothing(spark):
     assert [r["e"] for r in bare][:7] == [[k] for k in keys] + [["abcdefgh1234"], ["abcdefghijkl"], ["abcdefgh1234"]]
 
 
+def test_usual_forms_are_found(spark):
+    secret = "Hunter2-abcdef"
+    texts = [s + secret for s in ("Password: ", "API_KEY=", "access_token=", "client_secret: ", "DB_PASSWORD=", "clientSecret = ", "SECRET_KEY=")]
+    texts += ['{"password": "' + secret + '"}', "{'Token' : '" + secret + "'}"]
+    addresses = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8::", "1:2:3:4:5:6:7::", "2001:0DB8::1:0:0:1", "dead::beef"]
+    cards = ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904"]
+    texts += [f"at {a}, so" for a in addresses] + [f"card {c}." for c in cards]
+    out, n = replaced(spark, texts)
+    assert n == [1] * len(texts) and not any(secret in x for x in out)
+    assert out[7].startswith('{"password": "') and out[7].endswith('"}')
+    for x, text in zip(out[9:], addresses + cards):
+        assert text not in x
+    assert all(re.fullmatch(r"at (?:[0-9a-f]{4}:){7}[0-9a-f]{4}, so", x) for x in out[9:16])
+    assert [re.sub(r"\d", "0", x) for x in out[16:]] == [re.sub(r"\d", "0", f"card {c}.") for c in cards]
+    same, n = replaced(spark, ["at 2001:db8::1", "at 2001:DB8:0:0:0:0:0:1", "std::vector a::xyz", "secretary: somebody here", "at 10:30 :: so", "at 2001:db8::1: so"])
+    assert same[0] == same[1] and n == [1, 1, 0, 0, 0, 1]
+
+
 def test_pii_of_nothing(spark, empty):
     assert pii.replace_pii(empty, "key").count() == 0
 
