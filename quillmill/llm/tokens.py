@@ -38,8 +38,8 @@ class WordTokenizer:
     """``encode(texts)`` gives per text the ids as packed unsigned integers of ``width`` bytes.
 
     leading_space: the tokenizer puts a space in front of a word into the word's first token
-    (byte-level BPE) rather than dropping white space and case. Strings of special tokens inside a text
-    are ordinary text. Each cache holds at most ``cache_size`` entries and starts anew beyond that.
+    (byte-level BPE) rather than dropping white space and case. A text that holds the string of an added
+    token goes through the library as a whole, which gives that token's id. Each cache holds at most ``cache_size`` entries and starts anew beyond that.
     """
 
     def __init__(self, path: str, cache_size: int = 600_000):
@@ -47,7 +47,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         one = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
         self.leading_space = one("a b") != one("a") + one("b")
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
@@ -176,6 +177,14 @@ class WordTokenizer:
         yield from self._encode(block)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        whole = {k for k, t in enumerate(texts) if self.added.search(t)} if self.added else ()
+        if whole:
+            rest = iter(self._ordinary([t for k, t in enumerate(texts) if k not in whole]))
+            return [self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if k in whole else next(rest) for k, t in enumerate(texts)]
+        return self._ordinary(texts)
+
+    def _ordinary(self, texts: list[str]) -> list[bytes]:
+        """Of texts without the string of an added token."""
         if self.fast:
             out = [None if _FAR.search(t) else self.pack(self.fast(t)) for t in texts]
             rest = iter(self._by_words([t for t, x in zip(texts, out) if x is None]))

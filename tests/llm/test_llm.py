@@ -42,6 +42,16 @@ def test_token_ids_are_the_librarys(spark, path):
         assert np.frombuffer(got, t.dtype).tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_inside_a_text_have_their_ids(path):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(path)
+    t = WordTokenizer(path)
+    texts = ["see <|endoftext|> here", "plain", "<|startoftext|>a<|endoftext|>b", "<|ENDOFTEXT|> x", "<|endof\ntext|>", "漢字 <|endoftext|>", ""]
+    assert [np.frombuffer(x, t.dtype).tolist() for x in t.encode(texts)] == [fresh.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 # ---- packing
 
 
