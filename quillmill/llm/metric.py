@@ -21,22 +21,28 @@ from quillmill.llm.shared import fresh_dir, materialize
 
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 512
+#: Points that clusters lie around: at most so many a length of vectors, lengths, and bytes altogether.
+PIVOTS, LENGTHS, PIVOT_BYTES = 256, 64, 16 << 20
+#: Rows of a table that goes to all tasks, counted first; a larger one is joined by its key.
+BROADCAST_ROWS = 200_000
+#: Tasks of a costly stage at most.
+TASKS = 4096
 
 
 class Best:
-    """The k best (score, id) so far: higher scores first, smaller ids among equals."""
+    """The k best (score, id) so far: higher scores first, smaller ids among equals; nothing below ``floor`` counts."""
 
-    def __init__(self, k: int):
-        self.k, self.heap = k, []
+    def __init__(self, k: int, floor: float = -np.inf):
+        self.k, self.floor, self.heap = k, floor, []
 
     @property
     def worst(self) -> float:
-        return self.heap[0][0] if len(self.heap) == self.k else -np.inf
+        return self.heap[0][0] if len(self.heap) == self.k else self.floor
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         heap, k = self.heap, self.k
-        if scores.min() == -np.inf:
-            scores, ids = scores[few := scores > -np.inf], ids[few]
+        if scores.min() < self.floor or scores.min() == -np.inf:
+            scores, ids = scores[few := (scores >= self.floor) & (scores > -np.inf)], ids[few]
             if not len(scores):
                 return
         if len(heap) == k:
@@ -106,70 +112,164 @@ def _matrix(table) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _pivots(data: DataFrame, shard_rows: int) -> dict[int, tuple[np.ndarray, float]]:
+    """Per frequent length of vectors: points that its clusters lie around, and the largest square of its vectors.
+
+    At most ``LENGTHS`` lengths, the most frequent ones of more rows than a shard, with ``PIVOT_BYTES`` of points
+    altogether; a length beyond these is one cluster. The points are the different vectors of the least hash.
+    """
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    lengths = (
+        data.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("most"))
+        .where(F.col("n") > shard_rows).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()
+    )
+    out = {}
+    for r in lengths:
+        number = min(PIVOTS, -(-r["n"] // shard_rows), PIVOT_BYTES // (8 * r["dim"] * len(lengths)))
+        if number > 1 and np.isfinite(r["most"]):
+            # some 20 times as many rows as points are looked at, so that equal vectors leave enough
+            share = min(1 << 30, (20 * number << 30) // r["n"] + 1)
+            some = data.where((F.size("v") == r["dim"]) & (F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share))
+            points = [x["v"] for x in some.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(number).collect()]
+            if len(points) > 1:
+                out[r["dim"]] = (np.array(points), r["most"])
+    return out
+
+
+def _raised(v: np.ndarray, most: float) -> np.ndarray:
+    return np.hstack([v, np.sqrt(np.maximum(most - np.einsum("ij,ij->i", v, v), 0))[:, None]])
+
+
+def _clustered(rows: DataFrame, pivots: dict) -> DataFrame:
+    """``rows`` with the ``cluster`` of the nearest point and the distance ``far`` from it."""
+
+    def assign(batches):
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            cluster, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for dim in np.unique(dims).tolist():
+                if dim not in pivots:
+                    continue
+                own = np.flatnonzero(dims == dim)
+                points, most = pivots[dim]
+                x, to = _raised(_matrix(batch.take(pa.array(own))), most), _raised(points, most)
+                near = ((to**2).sum(1) - 2 * x @ to.T).argmin(1)
+                cluster[own], far[own] = near, np.sqrt(((x - to[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster), pa.array(far)], [*batch.schema.names, "cluster", "far"])
+
+    if not pivots:
+        return rows.withColumn("cluster", F.lit(0)).withColumn("far", F.lit(0.0))
+    return rows.mapInArrow(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", cluster int, far double")
+
+
 def search(
     data: DataFrame,
     queries: DataFrame,
     k: int,
     build: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]],
-    find: Callable[[dict[str, np.ndarray], int, np.ndarray, int], list[tuple[int, float]]],
+    find: Callable[..., list[tuple[int, float]]],
+    factor: float = 1.0,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """``query_id, rank, id, score``: for each query the k best of all rows but those with its own id.
 
-    Rows are dealt by hash to shards of about ``shard_rows`` rows. A task builds a shard's tree with
-    ``build(ids, vectors)`` and leaves it in the shared folder. Queries, in blocks of a bounded number,
-    go to every shard, where ``find(tree, query_id, query, k)`` answers; the answers are merged by
-    rank. Vectors of different lengths are not compared.
+    Equal rows are counted first and stand for min(k, their number) rows, as more cannot be among k answers.
+    Rows lie in clusters around a bounded number of points, clusters in shards of about ``shard_rows`` rows.
+    A task builds a shard's tree with ``build(ids, vectors)`` and leaves it in the shared folder. A query, in
+    blocks of a bounded number, goes to the shards of its own cluster first, where ``find(tree, query_id,
+    query, k, floor)`` answers; its k-th score there rules out clusters whose ball lies too far away
+    (by ``factor`` times less than it seems; 1 loses nothing), and is the floor in all others. Vectors of
+    different lengths are not compared. A repeated query is asked once; different vectors of one id are
+    different queries.
     """
     spark = data.sparkSession
-    data = data.withColumn("dim", F.size("v"))
-    sizes = {r["dim"]: r["count"] for r in data.groupBy("dim").count().collect()}
+    pivots = _pivots(data, shard_rows)
+    # equal rows are added up where they are read; no row's key can then hold much
+    rows = data.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies")).withColumn("dim", F.size("v"))
+    rows = materialize(_clustered(rows, pivots), "vectors")
+    clusters = rows.groupBy("dim", "cluster").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"), F.max("far").alias("radius"))
+    clusters = materialize(clusters, "clusters", 1)
+    shards, number = clusters.agg(F.coalesce(F.sum("shards"), F.lit(0)), F.count("*")).first()
+    if not shards:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    # as many clusters as points, but a length without points has one too: counted before it is sent
+    side = F.broadcast(clusters) if number <= BROADCAST_ROWS else clusters
+    radius = {(r["dim"], r["cluster"]): r["radius"] for r in clusters.where(F.col("dim").isin(list(pivots))).collect()}
     folder = fresh_dir(spark, "trees")
     files, path = _files(folder)
     files.create_dir(path, recursive=True)
-    shards_of = {d: -(-n // shard_rows) for d, n in sizes.items()}
-    number = F.create_map(*[F.lit(x) for d, n in shards_of.items() for x in (d, n)]) if sizes else None
-    if number is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    sharded = data.withColumn("shard", F.pmod(F.xxhash64("id"), number[F.col("dim")]).cast("int"))
 
     def store(key, table):
-        dim, shard = key[0].as_py(), key[1].as_py()
-        ids = table.column("id").to_numpy()
-        vectors = _matrix(table)
+        dim, cluster, shard = (x.as_py() for x in key)
+        copies = table.column("copies").to_numpy()
+        ids, vectors = np.repeat(table.column("id").to_numpy(), copies), np.repeat(_matrix(table), copies, axis=0)
         order = np.lexsort((*vectors.T[:3], ids))  # the same tree whatever order the rows come in
         out = io.BytesIO()
         np.savez(out, **build(ids[order], vectors[order]))
-        to, where = _files(f"{folder}/{dim}-{shard}.npz")
+        to, where = _files(f"{folder}/{dim}-{cluster}-{shard}.npz")
         own = f"{where}.{uuid.uuid4().hex}.tmp"
         with to.open_output_stream(own) as stream:
             stream.write(out.getvalue())
         to.move(own, where)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32())})
+        return pa.table({"dim": pa.array([dim], pa.int32())})
+
+    dealt = rows.join(side, ["dim", "cluster"]).withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.col("shards")).cast("int"))
+    keys = ["dim", "cluster", "shard"]
+    # a fixed number of tasks: adaptive execution would put small inputs with costly work into one
+    stored = dealt.select(*keys, "id", "v", "copies").repartition(min(shards, TASKS), *keys).groupBy(*keys).applyInArrow(store, "dim int")
+    stored.write.format("noop").mode("overwrite").save()  # every shard's file is in place from here on
 
-    trees = materialize(sharded.groupBy("dim", "shard").applyInArrow(store, "dim int, shard int"), "shards")
-    asked = queries.withColumn("dim", F.size("v")).withColumn(
-        "part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, -(-queries.count() // BLOCK_QUERIES))))
-    )
-    # a query's row is small; it goes once to each shard of its length
-    spread = asked.join(F.broadcast(spark.createDataFrame(list(shards_of.items()), "dim int, shards int")), "dim").select(
-        "dim", "part", "id", "v", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
-    )
+    asked = queries.distinct().select(F.size("v").alias("dim"), "id", "v", F.xxhash64("v").alias("twin"))
+    parts = max(1, -(-asked.count() // BLOCK_QUERIES))
+    asked = _clustered(asked.withColumn("part", F.pmod(F.xxhash64("id", "twin"), F.lit(parts)).cast("int")), pivots).drop("far")
 
     def answer(key, table):
-        dim, shard = key[0].as_py(), key[1].as_py()
-        source, where = _files(f"{folder}/{dim}-{shard}.npz")
+        dim, cluster, shard = (x.as_py() for x in key[:3])
+        source, where = _files(f"{folder}/{dim}-{cluster}-{shard}.npz")
         with source.open_input_stream(where) as stream:
             tree = dict(np.load(io.BytesIO(stream.read())))
-        rows = [(q, *hit) for q, v in zip(table.column("id").to_pylist(), _matrix(table)) for hit in find(tree, q, v, k)]
-        columns = list(zip(*rows)) if rows else [[], [], []]
-        types = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "id", "score"])
-
-    del trees  # every shard's file is in place once the table is written
-    found = spread.groupBy("dim", "shard", "part").applyInArrow(answer, "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        each = zip(table.column("id").to_pylist(), table.column("twin").to_pylist(), table.column("floor").to_numpy(), _matrix(table))
+        found = [(q, t, *hit) for q, t, floor, v in each for hit in find(tree, q, v, k, floor)]
+        columns = list(zip(*found)) if found else [[], [], [], []]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "twin", "id", "score"])
+
+    def answered(routed: DataFrame) -> DataFrame:
+        spread = routed.join(side, ["dim", "cluster"]).select(*keys[:2], F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "part", "id", "twin", "floor", "v")
+        by = [*keys, "part"]
+        return spread.repartition(min(shards * parts, TASKS), *by).groupBy(*by).applyInArrow(answer, "query_id long, twin long, id long, score double")
+
+    order = Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "id")
+    found = answered(asked.withColumn("floor", F.lit(float("-inf"))))
+    if pivots:
+        found = materialize(found, "answers")
+        floors = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), "twin", F.col("score").alias("floor"))
+        again = asked.join(floors, ["id", "twin"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        columns = ["dim", "part", "id", "twin", "v", "floor"]
+
+        def route(batches):
+            for batch in batches:
+                dims, home, floor = (batch.column(c).to_numpy() for c in ("dim", "cluster", "floor"))
+                for dim in np.unique(dims).tolist():
+                    if dim not in pivots:
+                        continue
+                    own = np.flatnonzero(dims == dim)
+                    points, most = pivots[dim]
+                    to, q = _raised(points, most), _matrix(batch.take(pa.array(own)))
+                    square = np.einsum("ij,ij->i", q, q)
+                    reach = np.where(floor[own] > -np.inf, np.sqrt(np.maximum(square + most - 2 * np.maximum(floor[own], -1e300), 0)), np.inf)
+                    reach += 1e-7 * np.maximum(1.0, np.sqrt(square + most))
+                    for c in range(len(points)):
+                        if (dim, c) in radius:
+                            away = np.sqrt(((np.pad(q, ((0, 0), (0, 1))) - to[c]) ** 2).sum(1)) - radius[dim, c]
+                            rows = own[(away * factor <= reach) & (home[own] != c)]
+                            if len(rows):
+                                some = batch.take(pa.array(rows)).select(columns)
+                                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(rows), c, np.int32))], [*columns, "cluster"])
+
+        routed = again.mapInArrow(route, "dim int, part int, id long, twin long, v array<double>, floor double, cluster int")
+        found = found.unionByName(answered(routed))
     return (
-        found.dropDuplicates(["query_id", "id", "score"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
     )

@@ -78,12 +78,12 @@ def build(ids: np.ndarray, vectors: np.ndarray, page: int = PAGE) -> dict[str, n
     }
 
 
-def find(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, k: int, stats: dict | None = None, exact=None) -> list[tuple[int, float]]:
-    """The k best (id, inner product) of a tree but for ``query_id`` itself.
+def find(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, k: int, floor: float = -np.inf, stats: dict | None = None, exact=None) -> list[tuple[int, float]]:
+    """The k best (id, inner product) of a tree but for ``query_id`` itself, of those that reach ``floor``.
 
     Products of whole numbers are exact in any order of addition; for others ``exact`` corrects scores that may count.
     """
-    best = Best(k)
+    best = Best(k, floor)
     if not len(tree["ids"]):
         return []
     ids, vectors, points = tree["ids"], tree["vectors"], tree["points"]
@@ -92,7 +92,7 @@ def find(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, k: int,
     # |q' - v'|^2 = |q|^2 + M - 2 q.v
     constant = float(query @ query) + float(tree["most"])
     slack = SLACK * max(1.0, constant**0.5)
-    reach = np.inf
+    reach = max(constant - 2 * floor, 0.0) ** 0.5 + slack if floor > -np.inf else np.inf
 
     def distance(at: int) -> float:
         d = points[at] - target
@@ -144,7 +144,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
     With ``scale`` each component x counts as floor(scale * x), and scores are whole numbers (exact up to
     2**53). Rows whose vector is null, empty or has a null or non-finite component take no part, as data
-    or as query; rows that share an id never answer each other; ties go to the smaller id.
+    or as query. Rows that share an id never answer each other; repeated rows are so many answers; a repeated
+    query is asked once; ties go to the smaller id. Further columns play no part; an empty table gives an empty one.
     """
     whole = (lambda df: df.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))) if scale else (lambda df: df)
     answer = find if scale else partial(find, exact=in_order)

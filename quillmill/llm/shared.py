@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """URI of a folder that the driver and all executors see.
 
-    It is the one named by ``spark.checkpoint.dir``. Only where neither that setting nor a
-    checkpoint folder exists (tests in one process) a folder of this machine is set.
+    It is the one named by ``spark.checkpoint.dir``. Only where neither that setting nor a checkpoint
+    folder exists and all of Spark is this process (tests), a folder of this machine is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not named:
         context = spark.sparkContext
         named = context.getCheckpointDir() or ""
         if not named:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quillmill-"))
             named = context.getCheckpointDir()
     return (named if "://" in named or named.startswith("file:") else f"file://{named}").rstrip("/")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.metric import Best, in_order, lifted, search, valid
 
 LEAF = 256
-FACTOR = 1.1
+FACTOR = 3.0
 SLACK = 1e-9
 
 
@@ -66,7 +66,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF) -> dict[str, n
     }
 
 
-def find(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, k: int, factor: float = FACTOR, stats: dict | None = None) -> list[tuple[int, float]]:
+def find(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, k: int, floor: float = -np.inf, factor: float = FACTOR, stats: dict | None = None) -> list[tuple[int, float]]:
     if not len(tree["ids"]):
         return []
     ids, vectors, bounds, children, ranges = (tree[x] for x in ("ids", "vectors", "bounds", "children", "ranges"))
@@ -77,7 +77,8 @@ def find(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, k: int,
     kids = children.tolist()
     constant = float(query @ query) + float(tree["most"])
     slack = SLACK * max(1.0, constant)
-    best, reach, computed = Best(k), np.inf, 0
+    best, computed = Best(k, floor), 0
+    reach = max(constant - 2 * floor, 0.0) ** 0.5 + slack if floor > -np.inf else np.inf
     queue = [(0.0, int(tree["root"]))]
     while queue:
         least, node = heapq.heappop(queue)
@@ -85,12 +86,13 @@ def find(tree: dict[str, np.ndarray], query_id: int, query: np.ndarray, k: int,
             break
         if node < 0:
             a, b = bounds[-1 - node], bounds[-node]
-            scores, own = in_order(vectors[a:b], query, vectors[a:b] @ query, best.worst, k + 1), ids[a:b]
+            own, block = ids[a:b], vectors[a:b]
             computed += b - a
-            if (other := own != query_id).all():
-                best.add(scores, own)
-            else:
-                best.add(scores[other], own[other])
+            if not (other := own != query_id).all():
+                own, block = own[other], block[other]
+            if not len(own):
+                continue
+            best.add(in_order(block, query, block @ query, best.worst, k), own)
             if best.worst > -np.inf:
                 reach = max(constant - 2 * best.worst, 0.0) ** 0.5 + slack
             continue
@@ -106,7 +108,8 @@ def neighbours(data: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     """``query_id, rank, id, score``: the k rows of the largest inner product found for each query, its own id left out.
 
     Rows whose vector is null, empty, zero or has a null or non-finite component take no part, as data
-    or as query. Rows that share an id never answer each other; ties go to the smaller id.
+    or as query. Rows that share an id never answer each other; repeated rows are so many answers; a repeated
+    query is asked once; ties go to the smaller id. Further columns play no part; an empty table gives an empty one.
     """
     some = lambda df: valid(df, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
-    return search(some(data), some(queries), k, build, partial(find, factor=factor))
+    return search(some(data), some(queries), k, build, partial(find, factor=factor), factor)

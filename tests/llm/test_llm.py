@@ -151,34 +151,86 @@ def vectors(n=400, seed=1):
     rng = np.random.default_rng(seed)
     v = np.round(rng.normal(size=(n, 8)), 2)
     v[50:120] = v[7]
-    return [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(900, None), (901, [float("nan")] * 8), (902, [None] * 8), (903, [0.0] * 8), (904, []), (905, [1.0, 2.0])]
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(900, None), (901, [float("nan")] * 8), (902, [None] * 8), (903, [0.0] * 8), (904, []), (905, [1.0, 2.0])]
+    # repeated rows, and rows of one id with different vectors
+    return rows + rows[:4] * 6 + [(i, [-x for x in rows[i][1]]) for i in (0, 1, 9, 9, 18)]
 
 
-def brute(rows, queries_, k, whole):
+def brute(rows, asked, k, whole):
     use = [(i, np.floor(256 * np.array(v)) if whole else np.array(v)) for i, v in rows]
-    out = {}
-    for q, x in use:
-        if q in queries_:
-            scores = sorted((-float(np.cumsum(x * y)[-1]), i) for i, y in use if i != q and len(y) == len(x))
-            out[q] = [(i, -s) for s, i in scores[:k]]
-    return {q: r for q, r in out.items() if r}
+    out = collections.Counter()
+    for q, x in {(q, tuple(x)) for q, x in use if asked(q)}:
+        x = np.array(x)
+        scores = sorted((-float(np.cumsum(x * y)[-1]), i) for i, y in use if i != q and len(y) == len(x))
+        out.update((q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1))
+    return out
 
 
 @pytest.mark.parametrize("shard_rows", [60, 8192])
 def test_top_k_is_exact(spark, monkeypatch, shard_rows):
     from quillmill.llm import metric
 
-    monkeypatch.setattr(metric.search, "__defaults__", (shard_rows,))
+    monkeypatch.setattr(metric.search, "__defaults__", (1.0, shard_rows))
     rows = vectors()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit("x"), "v": F.lit(1), "dim": F.lit(2), "cluster": F.lit(3), "copies": F.lit(0)})
     good = [(i, np.float32(v).astype(float)) for i, v in rows if i < 900 or i in (903, 905)]
     for found, whole, k in ((mtree.top_k(df, df.where("vec_id % 9 = 0")), True, 5), (vptree.neighbours(df, df.where("vec_id % 9 = 0"), factor=1.0), False, 20)):
-        got = collections.defaultdict(dict)
-        for r in found.collect():
-            got[r["query_id"]][r["rank"]] = (r["id"], r["score"])
+        got = collections.Counter((r["query_id"], r["rank"], r["id"], r["score"]) for r in found.collect())
         use = good if whole else [x for x in good if np.any(x[1])]
-        want = brute(use, {i for i, _ in use if i % 9 == 0}, k, whole)
-        assert {q: [r[k] for k in sorted(r)] for q, r in got.items()} == want
+        assert got == brute(use, lambda i: i % 9 == 0, k, whole)
+
+
+def test_copies_are_so_many_answers(spark):
+    rows = [(0, [1.0, 0.0])] + [(7, [5.0, 0.0])] * 6 + [(i, [0.5, i / 100]) for i in range(10, 51)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for found in (mtree.top_k(df, df.where("vec_id = 0"), k=5), vptree.neighbours(df, df.where("vec_id = 0"), k=5)):
+        assert [r["id"] for r in found.orderBy("rank").collect()] == [7] * 5
+
+
+def clustered(n=6000, dims=64, groups=60, seed=3):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(groups, dims))[rng.integers(0, groups, n)] + 0.25 * rng.normal(size=(n, dims))
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+def share_and_recall(v, factor, module=vptree, k=20):
+    """The share of distances that a tree computes for 100 of its own rows, and the recall against brute force."""
+    ids, stats, hits = np.arange(len(v)), {}, 0
+    tree = module.build(ids, v)
+    options = {"factor": factor} if module is vptree else {}
+    for q in range(0, len(v), len(v) // 100):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:k].tolist()) & {i for i, _ in module.find(tree, q, v[q], k, stats=stats, **options)})
+    asked = len(range(0, len(v), len(v) // 100))
+    return stats["computed"] / (asked * len(v)), hits / (asked * k)
+
+
+def test_trees_leave_out_most_of_clustered_data():
+    v = clustered()
+    assert share_and_recall(v, 1.0)[1] == 1.0
+    share, recall = share_and_recall(v, vptree.FACTOR)
+    assert share < 0.6 and recall >= 0.9
+    share, recall = share_and_recall(v, None, mtree)
+    assert share < 0.6 and recall == 1.0
+
+
+def test_clusters_that_lie_too_far_are_not_asked(spark, monkeypatch, tmp_path):
+    from quillmill.llm import metric
+
+    monkeypatch.setattr(metric.search, "__defaults__", (1.0, 60))
+    v = clustered(3000, groups=12)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = spark.sparkContext.accumulator(0)
+
+    def counting(tree, q, x, k, floor):
+        asked.add(len(tree["ids"]))
+        return vptree.find(tree, q, x, k, floor, 1.0)
+
+    rows = metric.search(metric.valid(df, "vec_id", "embedding"), metric.valid(df.where("vec_id % 50 = 0"), "vec_id", "embedding"), 5, vptree.build, counting).collect()
+    assert asked.value < 0.7 * 60 * 3000
+    want = brute([(i, x) for i, x in enumerate(v)], lambda i: i % 50 == 0, 5, False)
+    assert collections.Counter((r["query_id"], r["rank"], r["id"], r["score"]) for r in rows) == want
 
 
 def test_approximate_neighbours_reach_the_recall(spark):
