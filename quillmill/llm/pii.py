@@ -1,21 +1,24 @@
 """Surrogate generation for personal data, in SQL expressions only.
 
-One regular expression finds the entities. Each is replaced by a keyed surrogate of its own type and
-format. Numbers (cards, phones, social security numbers, addresses, account numbers) go through a keyed
-permutation of their digits (a Feistel network), so different numbers can never meet. Names, mail
-addresses and secrets get surrogates from keyed hashes; a check over all different entities of the
-table looks for collisions, between surrogates and with entities that occur, and draws anew for those,
-as often as it takes. The same entity reads the same in every document.
+One regular expression finds the entities, and a person of several words found in a text is found again
+wherever the same words stand in it without a title. All different entities of the table make a table of their
+own with one surrogate each, of the entity's type and format. Numbers (cards, phones, social security numbers,
+addresses, account numbers) go through a keyed permutation of their digits (a Feistel network), so different
+numbers can never meet. Names, mail addresses and secrets get surrogates from keyed hashes; those that meet
+another surrogate or an entity that occurs are drawn anew, as often as it takes. A person's gender is that of most
+of its titles in the table. The texts then take their surrogates from the table of entities by a join, so
+an entity reads the same in every document, whatever stands in front of it.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+import hashlib
+import hmac
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.shared import materialize
+from quillmill.llm.shared import free_name, heavy_join, materialize
 
 # Given names by script and gender; titles by gender.
 GIVEN = {
@@ -45,6 +48,9 @@ SYLLABLES = {
     "Greek": "βα βε βο βρα δα δε δο δρι φα φε γα γο χα χε ζο κα κε κι λα λε λι λο μα μι να νο πα ρα ρο σα τι βα".split(),
 }
 
+# How streets end.
+STREETS = "Street St Avenue Ave Road Rd Lane Ln Drive Dr Boulevard Blvd Court Ct".split()
+
 NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 KNOWN = {n for names in GIVEN.values() for n in names}
 _ALL_GIVEN = "|".join(sorted(KNOWN))
@@ -64,7 +70,8 @@ PATTERNS = {
     "IPV6": rf"(?:{_GROUP}:){{7}}{_GROUP}(?![\p{{L}}\p{{N}}])|(?=[0-9A-Fa-f:])(?<!:)(?!(?:[0-9A-Fa-f]{{0,4}}:){{9}})(?:(?:{_GROUP}:){{1,7}}:(?:{_GROUP}(?::{_GROUP}){{0,6}})?|::{_GROUP}(?::{_GROUP}){{0,6}})(?![\p{{L}}\p{{N}}]|:[0-9A-Fa-f:]|\.\d)",
     "IPV4": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{N}}\p{{L}}]|\.\d)",
     "IBAN": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "SSN": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{N}-])",
+    "SSN": r"(?<!-)\d{3}-\d{2}-\d{4}(?![\p{N}-])|(?=\d)(?<=(?i:ssn|social security(?: number| no\.)?)[:#]? ?)\d{9}(?!\p{N})",
+    "ADDRESS": rf"(?=\d)(?<![-.,])\d{{1,5}} (?:{NAME} ){{1,3}}(?:{'|'.join(STREETS)})(?!\p{{L}})",
     "PHONE": r"(?<!\+)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\p{N})|(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\p{N})",
     "CARD": r"(?<!-)(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]?\d{6}[ -]?\d{4,5})(?!\p{N})",
     "PERSON": rf"(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_ALL_TITLES}) ){NAME}(?: {NAME}){{0,2}}|(?=[{_INITIALS}])(?:{_ALL_GIVEN}) {NAME}(?!\p{{L}})",
@@ -86,41 +93,15 @@ def _words(words: list[str]) -> str:
     return "array(" + ", ".join(map(_q, words)) + ")"
 
 
-class Draws(NamedTuple):
-    """What keeps the hashed surrogates of a table apart."""
-
-    #: Grows the names and mail addresses made.
-    width: int = 0
-    #: Characters that every secret's surrogate has beyond the secret's length.
-    longer: int = 0
-    #: Known given names that get a made one, since the list's would meet an entity that occurs.
-    names: frozenset = frozenset()
-    #: How often the entity of a keyed hash was drawn anew.
-    again: tuple = ()
-
-
 class _Sql:
-    """Builds the expressions for one key and one set of draws of the hashed surrogates."""
-
-    def __init__(self, key: str, draws: Draws | int):
-        self.key, self.draws = key, draws if isinstance(draws, Draws) else Draws(draws)
-        self.width = self.draws.width
+    """Builds the expressions over a table of entities: ``kind, entity, gender``, how often drawn ``again``, and the kind's ``__key``.
 
-    def entity_hash(self, e: str) -> str:
-        return f"xxhash64({_q(self.key)}, {e})"
-
-    def drawn(self, e: str) -> str:
-        """How often the entity was drawn anew."""
-        if not self.draws.again:
-            return "0"
-        by_count: dict[int, list[str]] = {}
-        for h, n in self.draws.again:
-            by_count.setdefault(n, []).append(f"{h}L" if h != -(1 << 63) else "bigint('-9223372036854775808')")
-        return f"case {' '.join(f'when {self.entity_hash(e)} in ({chr(44).join(hs)}) then {n}' for n, hs in sorted(by_count.items()))} else 0 end"
+    The key is a column, so that no plan, which others can see, holds it.
+    """
 
     def number(self, *parts: str) -> str:
         """A keyed 60-bit number of the parts."""
-        return f"cast(conv(substring(sha2(concat_ws('\\u0001', {_q(self.key)}, {', '.join(parts)}), 256), 1, 15), 16, 10) as bigint)"
+        return f"cast(conv(substring(sha2(concat_ws('\\u0001', __key, {', '.join(parts)}), 256), 1, 15), 16, 10) as bigint)"
 
     def feistel(self, kind: str, a: str, b: str, most_a: str, most_b: str) -> str:
         """A keyed permutation of the pairs (a, b) with 0 <= a < most_a, 0 <= b < most_b, as a struct."""
@@ -204,8 +185,8 @@ class _Sql:
 
     def secret(self, e: str) -> str:
         """Characters of the same classes, from a keyed hash; hexadecimal stays hexadecimal. A third draw and later ones make it longer."""
-        seed = f"sha2(concat_ws('\\u0001', {_q(self.key)}, 'SECRET', {e}, cast({self.drawn(e)} as string)), 256)"
-        start = f"named_struct('h', {e} rlike '^[0-9a-f]+$', 'seed', {seed}, 'extra', {self.draws.longer} + greatest(0, {self.drawn(e)} - 2))"
+        seed = f"sha2(concat_ws('\\u0001', __key, 'SECRET', {e}, cast(again as string)), 256)"
+        start = f"named_struct('h', {e} rlike '^[0-9a-f]+$', 'seed', {seed}, 'extra', greatest(0, again - 2))"
         blocks = "transform(sequence(0, (length({e}) - 1) div 16), b -> sha2(concat_ws('\\u0001', y.seed, cast(b as string)), 256))".format(e=e)
         bits = "cast(conv(substring(bs[i div 16], 1 + 4 * cast(i % 16 as int), 4), 16, 10) as int)"
         of = lambda alphabet: f"substring({_q(alphabet)}, {bits} % {len(alphabet)} + 1, 1)"
@@ -214,141 +195,150 @@ class _Sql:
         return f"element_at(transform(array({start}), y -> concat({chars}, substring(sha2(concat(y.seed, 'MORE'), 256), 1, y.extra))), 1)"
 
     def email(self, e: str) -> str:
-        """A name and a keyed number at a domain of the reserved kind; the same domain stays the same."""
+        """A name and a keyed number, longer with every draw, at a domain of the reserved kind; the same domain stays the same."""
         local, domain = f"substring_index({e}, '@', 1)", f"lower(substring_index({e}, '@', -1))"
         names = _words([n.lower() for n in GIVEN["Latin", "f"] + GIVEN["Latin", "m"] if n.isascii()])
         n = self.number("'EMAIL'", f"lower({local})", domain)
-        digits = min(8 + 4 * self.width, 64)
-        tail = f"substring(sha2(concat_ws('\\u0001', {_q(self.key)}, 'EMAILTAIL', lower({e})), 256), 1, {digits})"
-        host = f"substring(sha2(concat_ws('\\u0001', {_q(self.key)}, 'HOST', {domain}), 256), 1, {min(6 + 2 * self.width, 64)})"
+        tail = f"substring(sha2(concat_ws('\\u0001', __key, 'EMAILTAIL', lower({e}), cast(again as string)), 256), 1, 8 + 4 * again)"
+        host = f"substring(sha2(concat_ws('\\u0001', __key, 'HOST', {domain}), 256), 1, 12)"
         return f"concat(element_at({names}, cast({n} % size({names}) as int) + 1), '.', {tail}, '@h', {host}, '.example')"
 
     @staticmethod
     def script(w: str) -> str:
         return f"case when {w} rlike '\\\\p{{IsCyrillic}}' then 'Cyrillic' when {w} rlike '\\\\p{{IsGreek}}' then 'Greek' else 'Latin' end"
 
-    def surname(self, w: str, salt: str) -> str:
-        """Syllables of the word's script, the same for a word in capitals; any other change of case makes another word."""
-        count = 4 + 2 * self.width
-        of = lambda s: f"element_at({_words(SYLLABLES[s])}, cast(pmod(shiftright(n[i div 12], cast(5 * (i % 12) as int)), 32) as int) + 1)"
+    def surname(self, w: str) -> str:
+        """Syllables of the word's script, more with every draw, the same for a word in capitals; any other change of case makes another word."""
+        of = lambda t: f"element_at({_words(SYLLABLES[t])}, cast(pmod(shiftright(n[i div 12], cast(5 * (i % 12) as int)), 32) as int) + 1)"
         pick = f"case {self.script(w)} when 'Cyrillic' then {of('Cyrillic')} when 'Greek' then {of('Greek')} else {of('Latin')} end"
         word = f"if({w} = initcap(lower({w})) or {w} = upper(lower({w})), lower({w}), {w})"
-        numbers = ", ".join(self.number(_q(f"NAME{k or ''}"), word, salt) for k in range((count + 11) // 12))
-        made = f"element_at(transform(array(array({numbers})), n -> initcap(array_join(transform(sequence(0, {count - 1}), i -> {pick}), ''))), 1)"
+        salt = "if(again = 0, '', concat(entity, '\\u0001', again))"
+        numbers = f"transform(sequence(0, (4 + 2 * again) div 12), b -> {self.number(_q('NAME'), word, salt, 'cast(b as string)')})"
+        made = f"element_at(transform(array({numbers}), n -> initcap(array_join(transform(sequence(0, 4 + 2 * again), i -> {pick}), ''))), 1)"
         return f"if({w} rlike '^[^\\\\p{{Ll}}]{{2,}}$', upper({made}), {made})"
 
-    def given(self, w: str, gender: str, salt: str, surname: str) -> str:
-        """A known name moves along the names of its script and gender while that is free; others end as their gender does."""
+    def given(self, w: str, surname: str) -> str:
+        """A known name moves along the names of its script and gender at the first draw; others end as the person's gender does."""
         cases = []
-        made = lambda end: f"concat({surname}, {end})"
         for (script, g), names in GIVEN.items():
             step = f"(1 + pmod({self.number(_q('GIVEN' + script + g))}, {len(names) - 1}))"
             here = f"array_position({_words(names)}, {w})"
-            again = " or ".join([f"{salt} <> ''"] * bool(self.draws.again) + [f"array_contains({_words(sorted(taken))}, {w})" for taken in [self.draws.names & set(names)] if taken])
-            if again:
-                ending = {"f": "'a'", "m": "'o'"}[g] if script == "Latin" else "''"
-                cases.append(f"when {here} > 0 and ({again}) then {made(ending)}")
-            cases.append(f"when {here} > 0 then element_at({_words(names)}, cast(pmod({here} - 1 + {step}, {len(names)}) as int) + 1)")
-        ending = f"case {gender} when 'f' then 'a' when 'm' then 'o' else 'e' end"
-        return f"case {' '.join(cases)} when {self.script(w)} = 'Latin' then {made(ending)} else {surname} end"
-
-    def person(self, e: str, before: str) -> str:
-        ends = lambda g: "(" + " or ".join(f"endswith({before}, {_q(t + ' ')})" for t in TITLES[g]) + ")"
-        gender = f"case when {ends('f')} then 'f' when {ends('m')} then 'm' else 'n' end"
+            cases.append(f"when again = 0 and {here} > 0 then element_at({_words(names)}, cast(pmod({here} - 1 + {step}, {len(names)}) as int) + 1)")
+        ending = "case gender when 'f' then 'a' when 'm' then 'o' else 'e' end"
+        return f"case {' '.join(cases)} when {self.script(w)} = 'Latin' then concat({surname}, {ending}) else {surname} end"
+
+    def person(self, e: str) -> str:
+        """The last word is a surname, so it reads the same with and without given names in front of it."""
+        words = f"split({e}, ' ')"
+        new = f"element_at(transform(array({self.surname('w')}), m -> if(k < size({words}) - 1, {self.given('w', 'm')}, m)), 1)"
+        return f"array_join(transform({words}, (w, k) -> {new}), ' ')"
+
+    def address(self, e: str) -> str:
+        """Another number and other names; the kind of street stays."""
         words = f"split({e}, ' ')"
-        known = f"array_contains({_words(sorted(KNOWN))}, w)"
-        salt = f"if({self.drawn(e)} = 0, '', concat({e}, '\\u0001', {self.drawn(e)}))" if self.draws.again else "''"
-        new = f"element_at(transform(array({self.surname('w', 'z')}), m -> if(k < size({words}) - 1 or {known}, {self.given('w', gender, 'z', 'm')}, m)), 1)"
-        return f"element_at(transform(array({salt}), z -> array_join(transform({words}, (w, k) -> {new}), ' ')), 1)"
+        return f"array_join(transform({words}, (w, k) -> case when k = 0 then {self.permuted('ADDRESS', 'w')} when k = size({words}) - 1 then w else {self.surname('w')} end), ' ')"
 
-    def surrogate(self, kind: str, e: str, before: str) -> str:
+    def surrogate(self, kind: str = "kind", e: str = "entity") -> str:
         made = {
-            "CARD": self.card(e), "PHONE": self.phone(e), "SSN": self.plain("SSN", e), "IPV4": self.ipv4(e), "IBAN": self.iban(e),
-            "MAC": self.hexes("MAC", e), "IPV6": self.hexes("IPV6", e), "SECRET": self.secret(e), "EMAIL": self.email(e), "PERSON": self.person(e, before),
+            "CARD": self.card(e), "PHONE": self.phone(e), "SSN": self.plain("SSN", e), "IPV4": self.ipv4(e), "IBAN": self.iban(e), "MAC": self.hexes("MAC", e),
+            "IPV6": self.hexes("IPV6", e), "SECRET": self.secret(e), "EMAIL": self.email(e), "ADDRESS": self.address(e), "PERSON": self.person(e),
         }
-        return f"case {kind} " + " ".join(f"when '{k}' then {v}" for k, v in made.items()) + " end"
+        return f"coalesce(case {kind} " + " ".join(f"when '{k}' then {v}" for k, v in made.items()) + f" end, concat('[', {kind}, ']'))"
 
 
 def kind_of(e: str, before: str) -> str:
     """The type of a found entity, tried in the order of PATTERNS; ``before`` is the text in front of it."""
     whole = {k: f"^(?:{p})$" for k, p in PATTERNS.items() if k not in ("SECRET", "PERSON")}
+    whole["SSN"] = r"^(?:\d{3}-\d{2}-\d{4}|\d{9})$"  # the second form is found behind a word only
     after_key, lone = f"{_KEYWORD}$", f"^(?:{_LONE_SECRET})$"
     cases = [f"when {before} rlike {_q(after_key)} or {e} rlike {_q(lone)} then 'SECRET'"]
     cases += [f"when {e} rlike {_q(p)} then '{k}'" for k, p in whole.items()]
     return f"case {' '.join(cases)} else 'PERSON' end"
 
 
-def found(text: str = "text") -> Column:
-    """``array<struct<kind, entity, before, behind>>`` of a text column; ``before``: up to 40 characters in front."""
-    m, g = f"regexp_extract_all({text}, {_q(ENTITY)}, 0)", f"split({text}, {_q(ENTITY)}, -1)"
-    return F.expr(
-        f"if({text} rlike {_q(GUARD)} or {text} rlike {_q(NAME_GUARD)}, element_at(transform(array(named_struct('m', {m}, 'g', {g})), x -> transform(x.m, (e, i) -> named_struct("
-        f"'kind', {kind_of('e', 'right(x.g[i], 40)')}, 'entity', e, 'before', right(x.g[i], 40), 'behind', x.g[i + 1], 'first', if(i = 0, x.g[0], '')))), 1),"
-        f" cast(array() as array<struct<kind: string, entity: string, before: string, behind: string, first: string>>))"
-    )
+def gender_of(before: str) -> str:
+    """The gender of the title at the end of ``before``; none is empty."""
+    ends = lambda g: "(" + " or ".join(f"endswith({before}, {_q(t + ' ')})" for t in TITLES[g]) + ")"
+    return f"case when {ends('f')} then 'f' when {ends('m')} then 'm' else '' end"
+
+
+_SEGMENTS = "array<struct<kind: string, entity: string, gender: string, behind: string>>"
+
+
+def _cut(text: str, pattern: str, lead: str, each: str) -> str:
+    """Segments of a text at the matches of a pattern: ``lead`` before the first match, ``each`` from ``e, i`` on."""
+    pieces = f"named_struct('m', regexp_extract_all({text}, {pattern}, 0), 'g', split({text}, {pattern}, -1))"
+    return f"element_at(transform(array({pieces}), x -> concat(array({lead}), transform(x.m, (e, i) -> {each}))), 1)"
 
 
-#: Entities that are drawn anew one by one; where more collide, all of their kind grow.
-ONE_BY_ONE = 10_000
+def found(text: str = "text") -> Column:
+    """The text as segments ``kind, entity, gender`` (of the title) and the text ``behind`` up to the next; the first has no entity.
+
+    Empty where nothing is found. Persons of several words are found again wherever the same words stand.
+    """
+    segment = "named_struct('kind', {}, 'entity', {}, 'gender', {}, 'behind', {})".format
+    first = _cut(text, _q(ENTITY), segment("''", "''", "''", "x.g[0]"), segment(kind_of("e", "right(x.g[i], 40)"), "e", gender_of("right(x.g[i], 40)"), "x.g[i + 1]"))
+    names = "array_sort(array_distinct(transform(filter({s}, y -> y.kind = 'PERSON' and y.entity like '% %'), y -> y.entity)), (a, b) -> length(b) - length(a))"
+    either = "concat('(?<![\\\\p{L}\\\\p{N}])(?:', array_join(transform(ns, n -> concat('\\\\Q', n, '\\\\E')), '|'), ')(?![\\\\p{L}\\\\p{N}])')"
+    again = _cut("y.behind", "p", segment("y.kind", "y.entity", "y.gender", "x.g[0]"), segment("'PERSON'", "e", "''", "x.g[i + 1]"))
+    more = f"element_at(transform(array({names.format(s='s')}), ns -> if(size(ns) = 0, s, element_at(transform(array({either}), p -> flatten(transform(s, y -> {again}))), 1))), 1)"
+    whole = f"element_at(transform(array({first}), s -> {more}), 1)"
+    return F.expr(f"if({text} rlike {_q(GUARD)} or {text} rlike {_q(NAME_GUARD)}, {whole}, cast(array() as {_SEGMENTS}))")
 
 
-def hashed_width(df: DataFrame, key: str, text_col: str = "text") -> Draws:
-    """Draws at which no two different entities of the table share a surrogate and none is an entity that occurs.
+def surrogates(mentions: DataFrame, key: str) -> DataFrame:
+    """``kind, entity, s, n``: one surrogate for each entity of ``mentions (kind, entity, gender)``, and how often it occurs.
 
-    Known given names that collide get made ones wherever they stand; names and mail addresses grow up to a
-    width; whatever else collides is drawn anew by itself. Every round changes or lengthens all that still collide.
+    No two entities of a kind share a surrogate, and none is an entity that occurs. Those that collide, and only
+    those, are drawn anew until none does; every draw makes them longer or another. The key is a table of a row for each kind.
     """
-    ents = (
-        df.select(F.col(text_col).alias("text"))
-        .where(F.col("text").rlike(GUARD) | F.col("text").rlike(NAME_GUARD))
-        .select(F.explode(found()).alias("x"))
-        .select("x.kind", "x.entity", F.when(F.col("x.kind") == "PERSON", F.col("x.before")).otherwise("").alias("before"))
-        .where(~F.col("kind").isin(*NUMBERS))
-        .withColumn("entity", F.when(F.col("kind") == "EMAIL", F.lower("entity")).otherwise(F.col("entity")))
-        .groupBy("kind", "entity").agg(F.min("before").alias("before"))
-    )
-    ents = materialize(ents, "entities")
-    draws = Draws()
+    spark = mentions.sparkSession
+    each = mentions.groupBy("kind", "entity").agg(F.count("*").alias("n"), *[F.count_if(F.col("gender") == g).alias(g) for g in "mf"])
+    # a name in capitals is the same person
+    same = F.when(F.col("kind") == "PERSON", F.lower("entity")).otherwise(F.col("entity"))
+    people = each.groupBy("kind", same.alias("same")).agg(F.sum("m").alias("m"), F.sum("f").alias("f"), F.collect_list(F.struct("entity", "n")).alias("e"))
+    gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n")
+    table = materialize(people.select("kind", F.explode("e").alias("e"), gender.alias("gender")).select("kind", "e.entity", "e.n", "gender", F.lit(0).alias("again")), "entities")
+    keys = [(k, hmac.new(key.encode(), k.encode(), hashlib.sha256).hexdigest()) for k in PATTERNS]
+    keys = F.broadcast(spark.createDataFrame(keys, "kind string, __key string"))  # one row a kind
+    new = F.expr(_Sql().surrogate())
+    columns = ["kind", "entity", "n", "gender", "again", "s"]
+    table = materialize(table.join(keys, "kind").withColumn("s", new).select(*columns), "entities")
     while True:
-        sql = _Sql(key, draws)
-        made = ents.select("kind", "entity", F.expr(sql.surrogate("kind", "entity", "before")).alias("s"))
-        taken = made.groupBy("kind", "s").count().where("count > 1").select("kind", "s").unionByName(ents.select("kind", F.col("entity").alias("s")))
-        bad = made.join(taken, ["kind", "s"], "left_semi").select("kind", F.when(F.col("kind") == "PERSON", F.col("entity")).alias("name"), F.expr(sql.entity_hash("entity")).alias("h"))
-        rows = bad.limit(ONE_BY_ONE + 1).collect()
-        if not rows:
-            return draws
-        draws = _next(draws, rows)
-
-
-def _next(draws: Draws, rows: list) -> Draws:
-    """The draws after those with which ``rows`` collide."""
-    kinds, names, again = {r["kind"] for r in rows}, set(draws.names), dict(draws.again)
-    many = len(rows) + len(again) > ONE_BY_ONE
-    wider = many and bool(kinds - {"SECRET"}) or "EMAIL" in kinds
-    for r in rows:
-        fresh = KNOWN.intersection((r["name"] or "").split(" ")) - draws.names
-        if fresh:
-            names |= fresh
-        elif r["kind"] == "PERSON" and draws.width < 8:
-            wider = True
-        elif r["kind"] != "EMAIL" and not many:
-            again[r["h"]] = again.get(r["h"], 0) + 1
-    return Draws(draws.width + wider, draws.longer + (many and "SECRET" in kinds), frozenset(names), tuple(sorted(again.items())))
-
-
-def replace_pii(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities", width: Draws | int | None = None) -> DataFrame:
+        hashed = table.where(~F.col("kind").isin(*NUMBERS))
+        taken = hashed.groupBy("kind", "s").count().where("count > 1").select("kind", "s").unionByName(hashed.select("kind", F.col("entity").alias("s")))
+        bad = materialize(hashed.join(taken, ["kind", "s"], "left_semi").select("kind", "entity", F.lit(1).alias("bad")), "collisions", 1)
+        if bad.isEmpty():
+            return table.select("kind", "entity", "s", "n")
+        drawn = table.join(bad, ["kind", "entity"], "left").withColumn("again", F.col("again") + F.coalesce("bad", F.lit(0)))
+        table = materialize(drawn.join(keys, "kind").withColumn("s", F.when(F.col("bad") == 1, new).otherwise(F.col("s"))).select(*columns), "entities")
+
+
+def replace_pii(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
     """``df`` with every entity in ``text_col`` replaced by its surrogate; ``count_col`` gets the number replaced.
 
     A null text stays null with 0 entities, an empty one stays empty; every other column and row is kept
-    as it is, repeated rows too. An empty table gives an empty table.
+    as it is, repeated rows too, whatever their names; a column named as ``count_col`` is replaced. An empty table
+    gives an empty table. A text of any length is cut once, and its segments are put together again.
     """
-    width = hashed_width(df, key, text_col) if width is None else width
-    surrogate = _Sql(key, width).surrogate("x.kind", "x.entity", "x.before")
-    fixed = df.withColumn("__found", found(f"`{text_col}`"))
-    new = F.expr(
-        f"if(size(__found) > 0, concat(__found[0].first, array_join(transform(__found, x -> concat(coalesce({surrogate}, concat('[', x.kind, ']')), x.behind)), '')), `{text_col}`)"
-    )
-    fixed = fixed.withColumn(text_col, new)
-    if count_col:
-        fixed = fixed.withColumn(count_col, F.when(F.col("__found").isNull(), 0).otherwise(F.size("__found")))
-    return fixed.drop("__found")
+    seg, row = free_name(df, "segments"), free_name(df, "row")
+    text = f"`{text_col}`"
+    marked = df.withColumn(seg, found(text)).withColumn(row, F.monotonically_increasing_id())
+    some = F.size(seg) > 1
+    # written once, so the numbers of rows stay; the text of a row with entities lies in its segments
+    marked = marked.withColumn(text_col, F.when(~some | F.col(seg).isNull(), F.col(text))).withColumn(seg, F.when(some, F.col(seg)))
+    marked = materialize(marked, "segments")
+    mentions = (
+        marked.where(F.col(seg).isNotNull()).select(F.col(row).alias("row"), F.posexplode(seg).alias("at", "x")).where("at > 0")
+        .select("row", "at", "x.kind", F.when(F.col("x.kind") == "EMAIL", F.lower("x.entity")).otherwise(F.col("x.entity")).alias("entity"), "x.gender")
+    )
+    table = surrogates(mentions, key)
+    named = heavy_join(mentions.drop("gender"), table, ["kind", "entity"], "n")
+    subs = named.groupBy("row").agg(F.expr("transform(array_sort(collect_list(struct(at, s))), x -> x.s)").alias("subs"))
+    subs = subs.select(F.col("row").alias(row), F.col("subs").alias(sub := free_name(df, "subs")))
+    whole = F.expr(f"array_join(transform(`{seg}`, (x, i) -> concat(if(i = 0, '', `{sub}`[i - 1]), x.behind)), '')")
+    count = (lambda d, c: d.withColumn(count_col, c)) if count_col else (lambda d, c: d)
+    fixed = count(marked.where(F.col(seg).isNotNull()).join(subs, row).withColumn(text_col, whole), F.size(seg) - 1)
+    rest = count(marked.where(F.col(seg).isNull()), F.lit(0))
+    columns = [f"`{c}`" for c in df.columns] + [f"`{count_col}`"] * bool(count_col and count_col not in df.columns)
+    return fixed.select(*columns).unionByName(rest.select(*columns))

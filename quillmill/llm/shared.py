@@ -49,6 +49,33 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key of more than this part of all rows is heavy, so there are fewer heavy keys than its inverse.
+HEAVY = 2000
+
+
+def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], n_col: str) -> DataFrame:
+    """Inner join with a table of one row a key, of which ``n_col`` tells how many rows of ``left`` have the key.
+
+    The at most ``HEAVY`` keys of the most rows meet their rows where those lie, the others by a shuffle in which
+    no key has more than that part of all rows. ``n_col`` goes.
+    """
+    total = right.agg(F.sum(n_col)).first()[0] or 0
+    mine = [c for c in right.columns if c not in keys and c != n_col]
+    heavy, light = (right.where(c).drop(n_col) for c in (F.col(n_col) * HEAVY >= total, F.col(n_col) * HEAVY < total))
+    tagged = left.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), keys, "left")
+    near = tagged.where("__heavy").drop("__heavy")
+    return near.unionByName(tagged.where("__heavy is null").drop("__heavy", *mine).join(light, keys))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a further column that no column of ``df`` has, whatever its case."""
+    used = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in used:
+        name += "_"
+    return name
+
+
 #: Whole texts can be long, so batches between the JVM and Python hold few rows.
 BATCH_ROWS = 512
 
