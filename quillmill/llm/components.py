@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.shared import materialize
+from quillmill.llm.shared import discard, heavy_join, materialize
 
 
 def _forest(batches):
@@ -33,19 +33,28 @@ def _forest(batches):
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``id, label``: for each id of ``edges (a, b)`` the least id that it reaches. ``rows``: about how many ids there can be.
 
-    Every round writes its labels into the shared folder, so no lineage grows; sums over neighbours start
-    in the tasks that hold the edges, so a hub is no bottleneck. Rounds follow the logarithm of the longest path.
+    Every round writes its labels into the shared folder, so no lineage grows, and deletes those before. Sums over
+    neighbours start in the tasks that hold the edges, and the labels of hubs and of large classes go to where
+    their rows are, so neither is a bottleneck. Rounds follow the logarithm of the longest path.
     """
-    thin = materialize(edges.select("a", "b").distinct(), "edges", rows).mapInArrow(_forest, "a long, b long")
-    thin = materialize(thin, "edges", rows)
-    both = thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id")
-    label = materialize(label, "labels", rows)
+    once = materialize(edges.select("a", "b").distinct(), "edges", rows)
+    thin = materialize(once.mapInArrow(_forest, "a long, b long"), "edges", rows)
+    both = materialize(thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", rows)
+    discard(once, thin)
+    # both directions are there: as many rows have an id as their a as have it as their b
+    stars = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("n"))
+    label = materialize(stars.withColumnRenamed("a", "id"), "labels", rows)
+    number, ids = both.count(), label.count()
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        least = label.join(near, label["id"] == near["a"]).select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        jump = label.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = materialize(least.join(jump, "label").select("id", F.least("label", "further").alias("label"), "was"), "labels", rows)
+        near = heavy_join(both, label.select(F.col("id").alias("b"), "label", "n"), ["b"], "n", number).groupBy("a").agg(F.min("label").alias("near"))
+        least = materialize(label.join(near, label["id"] == near["a"]).select("id", "n", F.least("label", "near").alias("label"), F.col("label").alias("was")), "labels", rows)
+        members = least.groupBy("label").agg(F.count("*").alias("of_label"))
+        jump = label.select(F.col("id").alias("label"), F.col("label").alias("further")).join(members, "label")
+        new = heavy_join(least, jump, ["label"], "of_label", ids).select("id", "n", F.least("label", "further").alias("label"), "was")
+        new = materialize(new, "labels", rows)
+        discard(label, least)
         if new.where("label != was").isEmpty():
+            discard(both)
             return new.select("id", "label")
-        label = new.select("id", "label")
+        label = new.select("id", "label", "n")
+        label._written = new._written

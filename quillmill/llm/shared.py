@@ -46,20 +46,31 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.repartition(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no result reads any more."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(conf).delete(path, True)
 
 
 #: A key of more than this part of all rows is heavy, so there are fewer heavy keys than its inverse.
 HEAVY = 2000
 
 
-def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], n_col: str) -> DataFrame:
-    """Inner join with a table of one row a key, of which ``n_col`` tells how many rows of ``left`` have the key.
+def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], n_col: str, total: int | None = None) -> DataFrame:
+    """Inner join with a table of one row a key, of which ``n_col`` tells how many rows of ``left`` have the key, ``total`` in all.
 
     The at most ``HEAVY`` keys of the most rows meet their rows where those lie, the others by a shuffle in which
     no key has more than that part of all rows. ``n_col`` goes.
     """
-    total = right.agg(F.sum(n_col)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(n_col)).first()[0] or 0
     mine = [c for c in right.columns if c not in keys and c != n_col]
     heavy, light = (right.where(c).drop(n_col) for c in (F.col(n_col) * HEAVY >= total, F.col(n_col) * HEAVY < total))
     tagged = left.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), keys, "left")

@@ -524,6 +524,39 @@ def test_near_duplicate_classes(spark):
     assert got == classes_by_brute_force(docs)
 
 
+@pytest.mark.parametrize("threshold", [0.35, 0.5, 0.65, 0.9])
+def test_near_duplicate_classes_at_other_thresholds(spark, monkeypatch, threshold):
+    monkeypatch.setattr(bagminhash, "BLOCK", 7)
+    monkeypatch.setattr(bagminhash, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(bagminhash, "SMALL", 5)
+    rnd, docs = random.Random(int(threshold * 100)), {}
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    for g in range(12):
+        base = [word() for _ in range(rnd.randint(30, 90))]
+        for _ in range(10):
+            w = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                w[rnd.randrange(len(w))] = word()
+            docs[len(docs)] = " ".join(w)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["class_id"] for r in bagminhash.near_duplicates(df, threshold=threshold).collect()}
+    assert got == classes_by_brute_force(docs, threshold)
+
+
+def test_bands_follow_the_threshold():
+    assert bagminhash.plan(0.8) == (16, 4, 64, 32)
+    for t in (0.05, 0.3, 0.5, 0.65, 0.8, 0.95, 1.0):
+        p = bagminhash.plan(t)
+        assert (1 - t**p.rows) ** p.bands <= 2.5e-4 and p.bands * p.rows <= p.components
+
+
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (2, a), (2, b), (3, b), (2, a)]
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["id"], r["class_id"], r["copy_of"]) for r in got.collect()) == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (2, 2, 2), (3, 2, 2)]
+
+
 def test_near_duplicates_edge_cases(spark, odd, empty):
     got = sorted(tuple(r) for r in bagminhash.near_duplicates(odd).select(F.coalesce("id", F.lit(-1)), F.coalesce("class_id", F.lit(-1))).collect())
     assert got == [(-1, -1), (1, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
