@@ -206,7 +206,7 @@ def similar(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``df``: ``id, h`` (xxhash64 of its text), ``class_id`` (least id of its class), ``copy_of`` (least id with the same words).
+    """One row per row of ``df``: ``id, h`` (xxhash64 of its text), ``n`` words, ``class_id`` (least id of its class), ``copy_of`` (least id with the same words).
 
     Texts of fewer than five words are one shingle. Null and empty texts are classes of their own, and so
     are rows without an id, whose class is null; of rows of one id, each goes by its own text. Further columns
@@ -233,13 +233,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label = components(near, rows)
     within = materialize(_within_buckets(members, label, reps, items, threshold, p, rows), "links", rows)
     label = components(near.unionByName(within), rows)
-    classes = reps.select("uid", "t1", "t2", F.col("id").alias("copy_of"), F.col("copies").alias("n")).join(label.withColumnRenamed("id", "uid"), "uid", "left")
+    classes = reps.select("uid", "t1", "t2", F.col("id").alias("copy_of"), F.col("copies").alias("of_text")).join(label.withColumnRenamed("id", "uid"), "uid", "left")
     classes = materialize(classes.withColumn("c", F.coalesce("label", "uid")), "classes", rows)
     least = classes.groupBy("c").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("of_c"))
-    named = materialize(heavy_join(classes, least, ["c"], "of_c").select("t1", "t2", "copy_of", "class_id", "n"), "classes", rows)
+    named = materialize(heavy_join(classes, least, ["c"], "of_c").select("t1", "t2", "copy_of", "class_id", "of_text"), "classes", rows)
     discard(reps, buckets, members, items, pairs, near, within, classes)
-    linked = heavy_join(known.select("id", "h", "t1", "t2"), named, ["t1", "t2"], "n").select("id", "h", "class_id", "copy_of")
-    alone = drawn.where("n = 0 or id is null").select("id", "h", F.col("id").alias("class_id"), F.col("id").alias("copy_of"))
+    linked = heavy_join(known.select("id", "h", "n", "t1", "t2"), named, ["t1", "t2"], "of_text").select("id", "h", "n", "class_id", "copy_of")
+    alone = drawn.where("n = 0 or id is null").select("id", "h", "n", F.col("id").alias("class_id"), F.col("id").alias("copy_of"))
     return linked.unionByName(alone)
 
 

@@ -666,3 +666,18 @@ def test_pipeline_stages(spark):
         assert r["text"] == (want[i][2] if want[i][1] else before[i]) and r["n_chars"] == len(r["text"])
     assert set(private) == set(cut) == set(packed)
     assert not any(re.search(r"mail\d\.example\.com", r["text"]) for r in private.values())
+
+
+def test_pipeline_edge_cases(spark, empty):
+    import corpus_pipeline
+
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, a, 7), (2, a, 7), (2, b, 7), (2, b, 7), (3, None, 7), (3, None, 7), (4, "", 7), (None, a, 7)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), x) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, __h int")
+    out = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in out.collect()) == [(0, a), (1, a), (2, b), (3, ""), (3, ""), (4, "")]
+    frames = [docs, docs.limit(0)]
+    for name, stage in corpus_pipeline.STAGES:
+        frames = [corpus_pipeline.materialize(stage(spark, f, SF), name) for f in frames]
+        assert frames[1].count() == 0
