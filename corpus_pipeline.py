@@ -22,13 +22,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays.
+    """Of each class of near-duplicates one document stays, that with the least id.
 
-    The ids that go are few beside the texts; a row of the same id as another stands for the same document.
+    A row goes by its id and its text, so rows of one id with other texts are judged by their own; of equal rows
+    one stays. Rows without an id or without words are no copies and stay. Only the columns of ``documents`` do.
     """
-    classes = bagminhash.near_duplicates(docs)
-    gone = materialize(classes.where("id != class_id").select(F.col("id").alias("doc_id")).distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = bagminhash.near_duplicates(docs).where("n > 0 and id is not null")
+    each = rows.groupBy(F.col("id").alias("doc_id"), F.col("h").alias("__h")).agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
+    each = materialize(each, "classes")
+    first = each.where("doc_id = class_id").groupBy("doc_id").agg(F.min("__h").alias("__h"))
+    key = ["doc_id", "__h"]
+    gone = materialize(each.select(*key).join(first, key, "left_anti"), "gone")
+    kept = docs.withColumn("__h", F.xxhash64("text")).select(*COLUMNS, "__h").join(gone, key, "left_anti")
+    twice = materialize(each.where("rows > 1").join(first, key, "left_semi").select(*key), "twice", 1)
+    if not twice.isEmpty():
+        one = kept.join(twice, key, "left_semi").dropDuplicates(key)
+        kept = kept.join(twice, key, "left_anti").unionByName(one)
+    return kept.select(*COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
