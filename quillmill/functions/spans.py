@@ -11,42 +11,82 @@ from pyspark.sql import functions as F
 from quillmill.functions.dates import STYLES, shift
 
 HIGH, LOW, CONTEXT = 0.85, 0.50, 60
-#: Scores of our own regular-expression recognizers, but for the social security number's. Names, places and
-#: licences need a model and are found only by an adapter.
-RECOGNIZERS: dict[str, tuple[str, float]] = {
-    "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}", 1.0),
-    "US_SSN": (r"\b\d{3}-\d{2}-\d{4}\b", 0.90),
-    "CREDIT_CARD": (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,4}\b", 0.60),
-    "PHONE_NUMBER": (r"(?:\+\d{1,3} )?\(\d{3}\) ?\d{3}-\d{4}\b", 0.75),
-    "IP_ADDRESS": (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0.95),
-    "DATE_TIME": ("|".join(p.replace("(?i)", "") for p, _ in STYLES.values()), 0.85),
+#: What stands between the name of a number and the number.
+_NO = r"(?i:(?: (?:number|no\.?|#))?:? ?#?)"
+_NAME = r"[A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30}){0,2}\b"
+#: Type: (pattern, score, what must stand in front of it). The scores are our own, but for the social security number's.
+#: Persons are found behind titles and places as street addresses; other names need a model, which is an adapter.
+RECOGNIZERS: dict[str, tuple[str, float, str]] = {
+    "EMAIL_ADDRESS": (r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}", 1.0, ""),
+    "US_SSN": (r"\b\d{3}-\d{2}-\d{4}\b", 0.90, ""),
+    "CREDIT_CARD": (r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,4}\b", 0.60, ""),
+    "PHONE_NUMBER": (r"(?:\+\d{1,3} )?\(\d{3}\) ?\d{3}-\d{4}\b", 0.75, ""),
+    "IP_ADDRESS": (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0.95, ""),
+    "DATE_TIME": ("|".join(p.replace("(?i)", "") for p, _ in STYLES.values()), 0.85, ""),
+    "PERSON": (_NAME, 0.85, r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Hon)\.? "),
+    "LOCATION": (r"\b\d{1,5} (?:[A-Z][a-z]{1,30} ){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court)\b", 0.85, ""),
+    "US_BANK_NUMBER": (r"\d{8,17}\b", 0.60, r"\b(?i:account|acct|routing)" + _NO),
+    "US_PASSPORT": (r"[A-Z]?\d{8,9}\b", 0.60, r"\b(?i:passport)" + _NO),
+    "US_DRIVER_LICENSE": (r"[A-Z]\d{3,14}\b", 0.65, r"\b(?i:driver'?s? licen[sc]e|DL)" + _NO),
+    "MEDICAL_LICENSE": (r"[A-Za-z]{2}\d{7}\b", 0.65, r"\b(?i:DEA|medical licen[sc]e)" + _NO),
 }
+#: Words near a number that raise its score, by as much, up to 1.
+NEAR = {"US_SSN": ("(?i)social security|ssn", 0.10)}
 MARK = "\u0001"
 TYPE = "array<struct<entity_type:string,start:int,end:int,score:double,text:string>>"
 
 
-def found(text: Column) -> Column:
+def marked(kind: str) -> tuple[str, str]:
+    """The pattern of a type as two groups, what stands in front and the entity, and the pattern as a whole."""
+    pattern, _, front = RECOGNIZERS[kind]
+    flags = "(?i)" if kind == "DATE_TIME" else ""
+    return f"{flags}({front})({pattern})", f"{flags}{front}(?:{pattern})"
+
+
+def _step(kind: str, score: Column):
+    """Every second piece is an entity."""
+
+    def step(a: Column, piece: Column) -> Column:
+        end = (a["at"] + F.length(piece)).cast("int")
+        span = F.struct(F.lit(kind).alias("entity_type"), a["at"].alias("start"), end.alias("end"), score.alias("score"), piece.alias("text"))
+        return F.struct(end.alias("at"), (~a["even"]).alias("even"), F.when(a["even"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    return step
+
+
+def found(text: Column, kinds: tuple[str, ...] = tuple(RECOGNIZERS)) -> Column:
     """All spans of the recognizers, in the order of the recognizers and of their places.
 
-    A pattern's matches are marked and the text is cut at the marks; the lengths in front of a match add
-    up to its offset in code points.
+    A pattern's matches are marked and the text is cut at the marks; one fold over the pieces adds up their lengths,
+    which are the offsets in code points.
     """
     text = F.replace(text, F.lit(MARK), F.lit(" "))
+    none = f"cast(array() as {TYPE})"
     parts = []
-    for kind, (pattern, score) in RECOGNIZERS.items():
-        flags = "(?i)" if kind == "DATE_TIME" else ""
-        cut = F.split(F.regexp_replace(text, f"{flags}({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
-        at = lambda cut, i: F.aggregate(F.slice(cut, 1, i), F.lit(0), lambda a, p: a + F.length(p))
-        span = lambda cut, i, kind=kind, score=score: F.struct(
-            F.lit(kind).alias("entity_type"), at(cut, i).alias("start"), (at(cut, i) + F.length(F.element_at(cut, i + 1))).alias("end"),
-            F.lit(score).alias("score"), F.element_at(cut, i + 1).alias("text"),
-        )
-        spans = lambda cut: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(cut) - 1, F.lit(1))), lambda i: (i % 2 == 1) & (i < F.size(cut))), lambda i: span(cut, i))
-        bound = F.flatten(F.transform(F.array(F.struct(cut.alias("c"))), lambda x: spans(x["c"])))
-        parts.append(F.when(text.rlike(flags + pattern), bound).otherwise(F.expr(f"cast(array() as {TYPE})")))
+    for kind in kinds:
+        groups, whole = marked(kind)
+        score = F.lit(RECOGNIZERS[kind][1])
+        if kind in NEAR:
+            score = F.when(text.rlike(NEAR[kind][0]), F.least(score + NEAR[kind][1], F.lit(1.0))).otherwise(score)
+        cut = F.split(F.regexp_replace(text, groups, f"$1{MARK}$2{MARK}"), MARK, -1)
+        start = F.expr(f"named_struct('at', 0, 'even', false, 'out', {none})")
+        spans = F.aggregate(cut, start, _step(kind, score), lambda a: a["out"])
+        parts.append(F.when(text.rlike(whole), spans).otherwise(F.expr(none)))
     return F.concat(*parts)
 
 
+#: Characters of a text beyond which :func:`segmented` cuts.
+SEGMENT = 900_000
+
+
+def segmented(text: Column, size: int = SEGMENT, find=found) -> Column:
+    """``find`` over slices of a text of more than ``size`` characters, with the offsets of the whole; what lies across a border can be cut."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
+    moved = lambda spans, at: F.transform(spans, lambda e: F.struct(e["entity_type"], (e["start"] + at).cast("int").alias("start"), (e["end"] + at).cast("int").alias("end"), e["score"], e["text"]))
+    slices = F.flatten(F.transform(starts, lambda at: moved(find(F.substring(text, at + 1, F.lit(size))), at)))
+    return F.when(F.length(text) > size, slices).otherwise(find(text))
+
+
 def tier(score: Column) -> Column:
     return F.when(score >= HIGH, "high").when(score >= LOW, "medium")
 
@@ -75,16 +115,11 @@ def disjoint(spans: Column) -> Column:
 
 
 def replaced(text: Column, kept: Column, values: Column) -> Column:
-    """The text with the i-th of the disjoint spans replaced by the i-th value."""
-    n = F.size(kept)
-    piece = lambda i: F.concat(
-        F.substring(text, F.when(i == 1, F.lit(1)).otherwise(F.element_at(kept, F.greatest(i - 1, F.lit(1)))["end"] + 1),
-                    F.element_at(kept, i)["start"] - F.when(i == 1, F.lit(0)).otherwise(F.element_at(kept, F.greatest(i - 1, F.lit(1)))["end"])),
-        F.element_at(values, i),
-    )
-    head = F.array_join(F.transform(F.sequence(F.lit(1), n), piece), "")
+    """The text with the i-th of the disjoint spans replaced by the i-th value; a piece in front of each, then the rest."""
+    last = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(kept, F.greatest(i - 1, F.lit(0)))["end"])
+    piece = lambda e, i: F.concat(F.substring(text, last(i) + 1, e["start"] - last(i)), F.get(values, i))
     tail = F.substring(text, F.element_at(kept, -1)["end"] + 1, F.length(text))
-    return F.when(n == 0, text).otherwise(F.concat(head, tail))
+    return F.when(F.size(kept) == 0, text).otherwise(F.concat(F.array_join(F.transform(kept, piece), ""), tail))
 
 
 def tokens(kept: Column) -> Column:
@@ -98,7 +133,13 @@ def synthetic(kind: Column, n: Column) -> Column:
         .when(kind == "US_SSN", F.format_string("900-00-%04d", n))
         .when(kind == "CREDIT_CARD", F.format_string("4000 0000 0000 %04d", n))
         .when(kind == "PHONE_NUMBER", F.format_string("(555) 555-%04d", n))
-        .when(kind == "IP_ADDRESS", F.format_string("192.0.2.%d", n))
+        .when(kind == "IP_ADDRESS", F.when(n < 256, F.format_string("192.0.2.%d", n)).otherwise(F.format_string("198.%d.%d.%d", 18 + F.floor(n / 65536) % 2, F.floor(n / 256) % 256, n % 256)))
+        .when(kind == "PERSON", F.format_string("Person %d", n))
+        .when(kind == "LOCATION", F.format_string("%d Example Street", n))
+        .when(kind == "US_BANK_NUMBER", F.format_string("0000%06d", n))
+        .when(kind == "US_PASSPORT", F.format_string("000%06d", n))
+        .when(kind == "US_DRIVER_LICENSE", F.format_string("X%07d", n))
+        .when(kind == "MEDICAL_LICENSE", F.format_string("XX%07d", n))
         .otherwise(F.concat(F.lit("["), kind, F.lit("]")))
     )
 

@@ -59,15 +59,35 @@ def pattern(value: Column) -> Column:
     return F.concat(F.lit("(?iu)"), left, literal, right)
 
 
-def applied(text: Column, targets: list[tuple[str, str]]) -> Column:
-    """``struct<text, n>``: the (pattern, token) pairs one after another, each on what the one before left.
+def _folds() -> tuple[str, str]:
+    """Characters whose lower case is not that of their upper case (such as the long s), and what that is; the dot of a lowered İ goes."""
+    odd = [c for c in map(chr, range(0x110000)) if c.islower() and len(c.upper()) == len(c.upper().lower()) == 1 and c.upper().lower() != c]
+    return "".join(odd) + "\u0307", "".join(c.upper().lower() for c in odd)
+
+
+_FROM, _TO = _folds()
+
+
+def words(text: Column) -> Column:
+    """Runs of word characters in one form for all cases, so that words that :func:`pattern` takes as equal are equal."""
+    return F.regexp_extract_all(F.translate(F.lower(text), _FROM, _TO), F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def quoted(token: Column) -> Column:
+    """The token as a replacement that stands for itself."""
+    return F.replace(F.replace(token, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+
+
+def unquoted(token: Column) -> Column:
+    return F.regexp_replace(token, r"\\(.)", "$1")
+
+
+def applied(text: Column, targets: Column) -> Column:
+    """``struct<text, n>``: the ``array<struct<place, p, t>>`` one after another, each on what the one before left.
 
     A later value can match inside an earlier token; the count is of all replacements.
     """
-    if not targets:
-        return F.struct(text.alias("text"), F.lit(0).alias("n"))
-    listed = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(t.replace("\\", "\\\\").replace("$", "\\$")).alias("t")) for p, t in targets])
     return F.aggregate(
-        listed, F.struct(text.alias("text"), F.lit(0).alias("n")),
+        targets, F.struct(text.alias("text"), F.lit(0).alias("n")),
         lambda a, x: F.struct(F.regexp_replace(a["text"], x["p"], x["t"]).alias("text"), (a["n"] + F.regexp_count(a["text"], x["p"])).alias("n")),
     )

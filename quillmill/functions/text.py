@@ -81,6 +81,19 @@ def html_escape(text: Column) -> Column:
     return text
 
 
+def thousands(n: Column) -> Column:
+    """Whole numbers with commas."""
+    return F.format_number(n, 0)
+
+
+def one_place(x: Column) -> Column:
+    return F.format_string("%.1f", x.cast("double"))
+
+
+def two_places(x: Column) -> Column:
+    return F.format_string("%.2f", x.cast("double"))
+
+
 SEGMENT = 8_000
 
 

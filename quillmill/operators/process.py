@@ -26,7 +26,7 @@ def cleaned(docs: DataFrame, text_col: str = "raw") -> DataFrame:
 
 def detected(docs: DataFrame, adapter: Callable | None = None) -> DataFrame:
     """``spans`` of the documents whose type is stripped. ``adapter``: a Column function that adds spans, such as a model's."""
-    found = spans.found(F.col("clean"))
+    found = spans.segmented(F.col("clean"))
     if adapter:
         found = F.concat(found, adapter(F.col("clean")))
     empty = F.expr(f"cast(array() as {spans.TYPE})")
@@ -75,6 +75,16 @@ def results(done: DataFrame) -> DataFrame:
     )
 
 
+def skipped_results(files: DataFrame) -> DataFrame:
+    """The rows of files that were not processed, ``files (path, filename, skip_reason)``: of type unknown, with nothing done."""
+    zero = F.lit(0)
+    return files.select(
+        "path", "filename", F.lit("unknown").alias("doc_type"), F.lit(0.0).alias("confidence"), F.lit(True).alias("ocr"), F.lit(None).cast("double").alias("ocr_confidence"),
+        F.lit(False).alias("pii_stripped"), zero.alias("faker_substitutions"), zero.alias("review_flags"), zero.alias("chunk_count"), zero.alias("token_count"),
+        F.lit(True).alias("skipped"), "skip_reason",
+    )
+
+
 def review_log(done: DataFrame) -> DataFrame:
     return done.select("doc_id", F.posexplode("review_flags").alias("pos", "flag")).select("doc_id", "pos", "flag.*")
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.sources.shared import ordinal
+
 
 def numbered(log: DataFrame, *order: str) -> DataFrame:
-    """``flag_id`` from 0 in an order given; the log is what one person can read, so one ordered window holds it."""
-    return log.withColumn("flag_id", F.row_number().over(Window.orderBy(*order)) - 1)
+    """``flag_id`` from 0 in an order given."""
+    return ordinal(log, "flag_id", *order)
 
 
 def by_type(log: DataFrame) -> DataFrame:
@@ -98,3 +100,18 @@ def counters(log: DataFrame) -> DataFrame:
         F.count_if(F.col("decision") == "approve").alias("approved"), F.count_if(F.col("decision") == "restore").alias("restored"),
         F.count_if(F.col("decision").isNull()).alias("pending"),
     )
+
+
+def audit_entry(decisions: DataFrame, reviewer: str, stamp: str) -> DataFrame:
+    """The counts of one review with who decided and when: an entry of the audit."""
+    return audit(decisions).select(F.lit(stamp).alias("timestamp"), F.lit(reviewer).alias("reviewer"), "*")
+
+
+def with_entry(manifest: DataFrame, entry: DataFrame, list_col: str = "human_reviews") -> DataFrame:
+    """The manifest (one row) with one more struct at the end of its list of entries, which is made where it is missing."""
+    one = entry.select(F.struct(*[F.col(c) for c in entry.columns]).alias("__entry"))
+    kind = one.schema["__entry"].dataType.simpleString()
+    old = F.col(list_col) if list_col in manifest.columns else F.lit(None).cast(f"array<{kind}>")
+    tied = manifest.withColumn("__k", F.lit(0)).join(one.withColumn("__k", F.lit(0)), "__k", "left")
+    grown = F.concat(F.coalesce(old, F.expr(f"cast(array() as array<{kind}>)")), F.array("__entry"))
+    return tied.withColumn(list_col, grown).drop("__k", "__entry")

@@ -62,6 +62,15 @@ def highest(assessments: DataFrame) -> DataFrame:
     return assessments.agg(F.coalesce(best, F.lit("LOW")).alias("highest_risk_level"))
 
 
+def report(assessments: DataFrame, total: int, model: str, stamp: str) -> DataFrame:
+    """One row: when and by what it was made, how many records there are and were assessed, levels and the highest one."""
+    levels = distribution(assessments).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("risk_level", "n")))).alias("risk_distribution"))
+    rows = assessments.agg(F.count("*").alias("records_assessed"))
+    one = lambda df: df.withColumn("__k", F.lit(0))
+    both = one(rows).join(one(levels), "__k").join(one(highest(assessments)), "__k").drop("__k")
+    return both.select(F.lit(stamp).alias("generated_at"), F.lit(model).alias("model"), F.lit(total).cast("long").alias("total_records_in_dataset"), "*")
+
+
 def to_retry(records: DataFrame, assessments: DataFrame) -> DataFrame:
     """The last record of every source whose assessment failed."""
     failed = assessments.where(F.col("risk_level").isin(*FAILED)).select("source").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.naming import extension, filename
+from quillmill.sources.shared import spread
 
 HEADERS = (
     "UNITED STATES COURT OF APPEALS\nSEVENTH CIRCUIT\n\nSmith v. Jones, 123 F.3d 456\n(7th Cir. 2019)\n\nOPINION\n\n",
@@ -24,6 +25,7 @@ TAILS = (
     (8, "\n“quoted” — it’s – done…  \nnext  line\t\tthere"),
     (9, "\n\n\n\nafter a gap"),
     (10, "\nPage header\none\nPage header\ntwo\n  Page header \nthree"),
+    (12, "\nPassport no. 123456789, account number: 0012345678, driver's license D1234567, DEA number AB1234563. Mrs. Ada Byron of 12 Elm Street."),
     (11, "\r\nwith CRLF\rand CR"),
 )
 #: (modulus, remainder, name format): the first that fits names the file; numbers are of groups of five.
@@ -41,7 +43,7 @@ def _sql(s: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

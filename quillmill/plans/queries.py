@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from quillmill.plans import sql as S
 from quillmill.plans.corpus import corpus, documents
 from quillmill.sources import files as source_files
 from quillmill.sources import tables as source_tables
+from quillmill.sources import sinks
+from quillmill.sources.shared import scratch
 from quillmill.sources.sinks import review_csv
 
 QUERIES: dict = {}
@@ -181,7 +185,8 @@ def names(spark, d):
 
 @query(f"{S.CORPUS_ONLY} SELECT doc_id, row_number() OVER (ORDER BY string_split(path, '/'), doc_id) AS place FROM corpus")
 def path_order(spark, d):
-    return review.numbered(corpus(spark, d).withColumn("parts", naming.path_parts(F.col("path"))), "parts", "doc_id").select(
+    rows = corpus(spark, d).select("doc_id", naming.path_parts(F.col("path")).alias("parts"))
+    return review.numbered(rows, "parts", "doc_id").select(
         "doc_id", (F.col("flag_id") + 1).cast("long").alias("place")
     )
 
@@ -242,7 +247,9 @@ _VALUES = f"""numbered_texts AS (SELECT *, list_filter(list_reverse(list_transfo
  list_reverse(kept_spans) AS back, {S.OFFSET} AS days FROM kept),
 shift_days AS (SELECT *, list_transform(kept_spans, lambda e: {{'k': list_filter(back, lambda x: x.text = e.text)[1].entity_type, 'n': list_position(texts, e.text), 't': e.text}}) AS vals FROM numbered_texts),
 final AS (SELECT *, list_transform(vals, lambda v: CASE v.k WHEN 'EMAIL_ADDRESS' THEN 'user' || v.n || '@example.com' WHEN 'US_SSN' THEN '900-00-' || lpad(CAST(v.n AS VARCHAR), 4, '0')
- WHEN 'CREDIT_CARD' THEN '4000 0000 0000 ' || lpad(CAST(v.n AS VARCHAR), 4, '0') WHEN 'PHONE_NUMBER' THEN '(555) 555-' || lpad(CAST(v.n AS VARCHAR), 4, '0') WHEN 'IP_ADDRESS' THEN '192.0.2.' || v.n
+ WHEN 'CREDIT_CARD' THEN '4000 0000 0000 ' || lpad(CAST(v.n AS VARCHAR), 4, '0') WHEN 'PHONE_NUMBER' THEN '(555) 555-' || lpad(CAST(v.n AS VARCHAR), 4, '0') WHEN 'IP_ADDRESS' THEN CASE WHEN v.n < 256 THEN '192.0.2.' || v.n ELSE '198.' || (18 + v.n // 65536 % 2) || '.' || (v.n // 256 % 256) || '.' || (v.n % 256) END
+ WHEN 'PERSON' THEN 'Person ' || v.n WHEN 'LOCATION' THEN v.n || ' Example Street' WHEN 'US_BANK_NUMBER' THEN '0000' || lpad(CAST(v.n AS VARCHAR), 6, '0') WHEN 'US_PASSPORT' THEN '000' || lpad(CAST(v.n AS VARCHAR), 6, '0')
+ WHEN 'US_DRIVER_LICENSE' THEN 'X' || lpad(CAST(v.n AS VARCHAR), 7, '0') WHEN 'MEDICAL_LICENSE' THEN 'XX' || lpad(CAST(v.n AS VARCHAR), 7, '0')
  WHEN 'DATE_TIME' THEN CASE WHEN v.t LIKE '%/%/%' THEN strftime(strptime(v.t, '%m/%d/%Y') + to_days(CAST(days AS INT)), '%-m/%-d/%Y') WHEN v.t LIKE '____-__-__' THEN strftime(strptime(v.t, '%Y-%m-%d') + to_days(CAST(days AS INT)), '%Y-%m-%d')
  ELSE strftime(strptime(v.t, '%B %d, %Y') + to_days(CAST(days AS INT)), '%B %-d, %Y') END END) AS made FROM shift_days)"""
 
@@ -297,13 +304,17 @@ def _done(spark, d) -> DataFrame:
     return process.processed(corpus(spark, d))
 
 
-@query()
+_REPLACED = f"replaced AS (SELECT *, {_JOINED.format(value='made[i]')} AS new_text FROM final)"
+_CHUNKS = f"{S.FULL.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_VALUES}, {_REPLACED}, {S.chunks_sql('(SELECT doc_id, doc_type, new_text AS text FROM replaced)')}"
+
+
+@query(f"{_CHUNKS} SELECT doc_id, doc_type, index, total, token_count, text FROM chunks")
 def chunk_rows(spark, d):
     rows = _done(spark, d).select("doc_id", "doc_type", F.explode("chunks").alias("c"))
     return rows.select("doc_id", "doc_type", "c.index", "c.total", "c.token_count", "c.text")
 
 
-@query()
+@query(f"{_CHUNKS} SELECT doc_type, CAST(sum(chunk_count) AS BIGINT) AS chunks, CAST(sum(s.token_count) AS BIGINT) AS tokens, CAST(max(s.token_count) AS INT) AS most FROM chunk_sums s JOIN replaced USING (doc_id) GROUP BY doc_type")
 def chunk_stats(spark, d):
     return _done(spark, d).groupBy("doc_type").agg(F.sum("chunk_count").alias("chunks"), F.sum("token_count").alias("tokens"), F.max("token_count").alias("most"))
 
@@ -319,12 +330,19 @@ def caselaw_meta(spark, d):
     return rows.select("doc_id", caselaw.metadata(F.col("clean")).alias("m")).select("doc_id", "m.*")
 
 
-@query()
+@query(
+    f"""{_CHUNKS}, meta AS (SELECT doc_id, {S.META} FROM classified WHERE doc_type = 'caselaw')
+SELECT {S.SLUG} || '_chunk_' || CASE WHEN c.index < 1000 THEN lpad(CAST(c.index AS VARCHAR), 3, '0') ELSE CAST(c.index AS VARCHAR) END AS id, c.text, filename AS source, c.doc_type, c.index AS chunk_index, c.total AS total_chunks, c.token_count, citation, year, court, ocr
+ FROM chunks c JOIN replaced r USING (doc_id) LEFT JOIN meta USING (doc_id) WHERE c.doc_type IN ('caselaw', 'published')"""
+)
 def rag_records(spark, d):
     return process.rag_records(_done(spark, d)).select("id", "text", "metadata.*")
 
 
-@query()
+@query(
+    f"""{_CHUNKS} SELECT new_text AS text, {S.ANON} AS source, doc_type, doc_type IN ('private', 'uncertain') AS pii_stripped, CAST(len(usable) AS INT) AS faker_substitutions,
+ CAST(len(list_filter(spans, lambda x: x.score >= 0.5 AND x.score < 0.85)) AS INT) AS review_flags, CAST(s.token_count AS INT) AS token_count FROM replaced JOIN chunk_sums s USING (doc_id) WHERE doc_type <> 'caselaw'"""
+)
 def finetune_records(spark, d):
     return process.finetune_records(_done(spark, d)).select("text", "metadata.*")
 
@@ -341,11 +359,12 @@ _SIDECAR = "side AS (SELECT filename, CASE WHEN max(doc_id) % 2 = 0 THEN 'public
 
 
 def _results(spark, d) -> DataFrame:
-    """Results without chunks, so that the SQL can follow: tokens of the replaced text."""
-    rows = _redacted(spark, d).withColumns({"chunk_count": F.lit(1), "token_count": F.length("text")})
+    """Rejected scans are not read any further."""
+    docs = corpus(spark, d)
     low = source_files.ocr_rejected(F.col("ocr_confidence"))
-    done = process.results(rows).join(corpus(spark, d).select("path", "sha256"), "path")
-    return done.withColumn("skipped", low).withColumn("skip_reason", F.when(low, provenance.OCR_REASON)).drop("clean")
+    done = process.results(process.processed(docs.where(~low)))
+    none = process.skipped_results(docs.where(low).withColumn("skip_reason", F.lit(provenance.OCR_REASON)))
+    return done.unionByName(none).join(docs.select("path", "sha256"), "path")
 
 
 def _sidecar(spark, d) -> DataFrame:
@@ -356,31 +375,37 @@ def _sidecar(spark, d) -> DataFrame:
     return provenance.last_by_filename(rows, "doc_id")
 
 
-_MANIFEST = f"""{_SIDECAR}, manifest AS (SELECT c.filename AS original_filename, c.path AS source_path, c.sha256, c.doc_type, round_even(c.confidence, 3) AS classification_confidence, coalesce(s.copyright_status, '') AS copyright_status,
- coalesce(s.source_url_or_collection, '') AS source_url_or_collection, coalesce(s.notes, '') AS notes, coalesce(ocr_confidence < 70, false) AS skipped, CASE WHEN ocr_confidence < 70 THEN 'ocr_confidence_low' END AS skip_reason,
- ocr, round_even(ocr_confidence, 1) AS ocr_confidence, c.doc_type IN ('private', 'uncertain') AS pii_stripped, len(usable) AS faker_substitutions, len(list_filter(spans, lambda x: x.score >= 0.5 AND x.score < 0.85)) AS review_flags,
- 1 AS chunk_count, len({_JOINED.format(value='made[i]')}) AS token_count FROM final c LEFT JOIN side s USING (filename))"""
+_MANIFEST = f"""{_SIDECAR}, manifest AS (SELECT c.filename AS original_filename, c.path AS source_path, c.sha256, CASE WHEN low THEN 'unknown' ELSE c.doc_type END AS doc_type, CASE WHEN low THEN 0.0::DOUBLE ELSE round_even(c.confidence, 3) END AS classification_confidence,
+ coalesce(i.copyright_status, '') AS copyright_status, coalesce(i.source_url_or_collection, '') AS source_url_or_collection, coalesce(i.notes, '') AS notes, low AS skipped, CASE WHEN low THEN 'ocr_confidence_low' END AS skip_reason,
+ low OR ocr AS ocr, CASE WHEN NOT low THEN round_even(ocr_confidence, 1) END AS ocr_confidence, NOT low AND c.doc_type IN ('private', 'uncertain') AS pii_stripped, CASE WHEN low THEN 0 ELSE len(usable) END AS faker_substitutions,
+ CASE WHEN low THEN 0 ELSE len(list_filter(spans, lambda x: x.score >= 0.5 AND x.score < 0.85)) END AS review_flags, CASE WHEN low THEN 0 ELSE k.chunk_count END AS chunk_count, CASE WHEN low THEN 0 ELSE k.token_count END AS token_count
+ FROM (SELECT *, coalesce(ocr_confidence < 70, false) AS low FROM replaced) c JOIN chunk_sums k USING (doc_id) LEFT JOIN side i USING (filename))"""
+_LONG = ("faker_substitutions", "review_flags", "token_count", "chunk_count")
 
 
-@query(f"{S.FULL}, {_VALUES}, {_MANIFEST} SELECT * FROM manifest")
+def _manifest(spark, d) -> DataFrame:
+    return provenance.provenance_files(_results(spark, d), _sidecar(spark, d))
+
+
+@query(f"{_CHUNKS}, {_MANIFEST} SELECT * FROM manifest")
 def provenance_files(spark, d):
-    rows = provenance.provenance_files(_results(spark, d), _sidecar(spark, d)).select("*", "processing.*").drop("processing")
-    return rows.withColumns({c: F.col(c).cast("long") for c in ("faker_substitutions", "review_flags", "token_count")})
+    rows = _manifest(spark, d).select("*", "processing.*").drop("processing")
+    return rows.withColumns({c: F.col(c).cast("long") for c in _LONG})
 
 
 @query(
-    f"""{S.FULL}, {_VALUES}, {_MANIFEST} SELECT count(*) AS total_files, count(*) FILTER (NOT skipped) AS processed_files, count(*) FILTER (skipped) AS skipped_files, CAST(sum(token_count) FILTER (NOT skipped) AS BIGINT) AS total_tokens,
+    f"""{_CHUNKS}, {_MANIFEST} SELECT count(*) AS total_files, count(*) FILTER (NOT skipped) AS processed_files, count(*) FILTER (skipped) AS skipped_files, CAST(sum(token_count) FILTER (NOT skipped) AS BIGINT) AS total_tokens,
  count(*) FILTER (NOT skipped AND doc_type = 'caselaw') AS caselaw_files, count(*) FILTER (NOT skipped AND doc_type = 'published') AS published_files, count(*) FILTER (NOT skipped AND doc_type = 'private') AS private_files,
  count(*) FILTER (NOT skipped AND doc_type = 'uncertain') AS uncertain_files, count(*) FILTER (NOT skipped AND ocr) AS ocr_files, count(*) FILTER (skip_reason = 'ocr_confidence_low') AS review_queue_files, CAST(sum(review_flags) FILTER (NOT skipped) AS BIGINT) AS pii_review_flags FROM manifest"""
 )
 def provenance_summary(spark, d):
-    return provenance.summary(provenance.provenance_files(_results(spark, d), _sidecar(spark, d)))
+    return provenance.summary(_manifest(spark, d))
 
 
-@query(f"{S.FULL}, {_VALUES}, {_MANIFEST} SELECT original_filename, doc_type, token_count, review_flags, chunk_count, doc_type || original_filename AS sort_key FROM manifest")
+@query(f"{_CHUNKS}, {_MANIFEST} SELECT original_filename, doc_type, token_count, review_flags, chunk_count, doc_type || original_filename AS sort_key FROM manifest")
 def file_table(spark, d):
-    rows = provenance.file_table(provenance.provenance_files(_results(spark, d), _sidecar(spark, d)))
-    return rows.withColumns({c: F.col(c).cast("long") for c in ("review_flags", "token_count")})
+    rows = provenance.file_table(_manifest(spark, d))
+    return rows.withColumns({c: F.col(c).cast("long") for c in _LONG[1:]})
 
 
 # ---- review
@@ -406,9 +431,9 @@ def flag_conf_stats(spark, d):
     return review.confidence_stats(_log(spark, d)).withColumn("mean", F.round("mean", 6))
 
 
-@query(f"{_L} SELECT flag_id, file, entity_type FROM log WHERE (contains(lower(file), 'case_1') OR contains(lower(original_text), 'case_1')) AND upper(entity_type) = 'PHONE_NUMBER'")
+@query(f"{_L} SELECT flag_id, file, entity_type FROM log WHERE contains(lower(file), 'case') AND (contains(lower(file), 'case_1') OR contains(lower(original_text), 'case_1')) AND upper(entity_type) = 'PHONE_NUMBER'")
 def flag_filter(spark, d):
-    return review.matching(_log(spark, d), entity_type="phone_number", search="Case_1").select("flag_id", "file", "entity_type")
+    return review.matching(_log(spark, d), file="CASE", entity_type="phone_number", search="Case_1").select("flag_id", "file", "entity_type")
 
 
 @query(f"{_L} SELECT flag_id, file, entity_type, original_text, confidence, context, action FROM log ORDER BY flag_id LIMIT 20")
@@ -458,9 +483,10 @@ _EXCL = f"""{_D}, excl AS (SELECT file, list_distinct(list(original_text)) AS ex
 again AS (SELECT d.doc_id, d.filename, list_filter(d.spans, lambda e: NOT list_contains(x.excluded, e.text)) AS left_spans FROM detected d JOIN excl x ON d.filename = x.file)"""
 
 
-def _again(spark, d) -> DataFrame:
-    excl = review.exclusions(_decided(spark, d))
-    rows = _detected(spark, d).join(excl, F.col("filename") == F.col("file"))
+def _again(spark, d, decided: DataFrame | None = None) -> DataFrame:
+    """Only the files with restored texts are cleaned and searched again."""
+    excl = review.exclusions(decided if decided is not None else _decided(spark, d)).withColumnRenamed("file", "filename")
+    rows = process.detected(process.cleaned(_classified(spark, d).join(excl, "filename")))
     return process.redacted(rows, excluded_col="excluded")
 
 
@@ -481,18 +507,31 @@ SELECT doc_id, file, entity_type, original_text FROM log WHERE file NOT IN (SELE
 )
 def patch_review_log(spark, d):
     columns = ["doc_id", "file", "entity_type", "original_text"]
-    new = process.review_log(_again(spark, d).drop("file")).select(columns)
-    return review.patched_log(_log(spark, d).select(columns), new, review.exclusions(_decided(spark, d)))
+    log = _log(spark, d)
+    decided = R.decided(log)
+    new = process.review_log(_again(spark, d, decided)).select(columns)
+    return review.patched_log(log.select(columns), new, review.exclusions(decided))
+
+
+_AGAIN_KEPT = S.KEPT.replace("FROM detected)", "FROM (SELECT d.* REPLACE (x.left_spans AS spans) FROM detected d JOIN again x USING (doc_id)))")
+for _name in ("ordered", "sorted_spans", "kept"):
+    _AGAIN_KEPT = re.sub(rf"\b{_name}\b(?!_)", f"{_name}_again", _AGAIN_KEPT)
+_AGAIN_VALUES = _VALUES
+for _name in ("numbered_texts", "shift_days", "final", "kept"):
+    _AGAIN_VALUES = re.sub(rf"\b{_name}\b(?!_)", f"{_name}_again", _AGAIN_VALUES)
 
 
-@query(f"{_EXCL} SELECT {S.ANON} AS source, CAST(coalesce(a.n, len(list_filter(spans, lambda x: x.score >= 0.5))) AS BIGINT) AS substitutions FROM detected LEFT JOIN (SELECT doc_id, len(left_spans) AS n FROM again) a USING (doc_id) WHERE doc_type <> 'caselaw'")
+@query(
+    f"""{_EXCL}, {S.KEPT}, {_VALUES}, {_AGAIN_KEPT}, {_AGAIN_VALUES}, new_records AS (SELECT doc_id, {_JOINED.format(value='made[i]')} AS text, len(usable) AS n FROM final_again)
+SELECT {S.ANON} AS source, md5(coalesce(a.text, {_JOINED.format(value='made[i]')})) AS text_md5, CAST(coalesce(a.n, len(usable)) AS BIGINT) AS substitutions FROM final LEFT JOIN new_records a USING (doc_id) WHERE doc_type <> 'caselaw'"""
+)
 def patch_finetune(spark, d):
     record = lambda rows: rows.select(
-        F.lit("").alias("text"), F.struct(F.concat(naming.anonymous_id(F.col("filename")), F.lit(":"), F.col("doc_id").cast("string")).alias("source"), F.col("substitutions").cast("long").alias("n")).alias("metadata")
+        "text", F.struct(F.concat(naming.anonymous_id(F.col("filename")), F.lit(":"), F.col("doc_id").cast("string")).alias("source"), F.col("substitutions").cast("long").alias("n")).alias("metadata")
     )
     old = record(_redacted(spark, d).where(F.col("doc_type").isin(*process.FINETUNE)))
     new = record(_again(spark, d)).select(F.col("metadata.source").alias("source"), "text", "metadata")
-    return review.patched_records(old, new).select(F.substring_index("metadata.source", ":", 1).alias("source"), F.col("metadata.n").alias("substitutions"))
+    return review.patched_records(old, new).select(F.substring_index("metadata.source", ":", 1).alias("source"), F.md5("text").alias("text_md5"), F.col("metadata.n").alias("substitutions"))
 
 
 @query(f"{_EXCL} SELECT CAST(sum(len(list_filter(coalesce(a.left_spans, spans), lambda e: e.score >= 0.5 AND e.score < 0.85))) AS BIGINT) AS pii_review_flags FROM detected LEFT JOIN again a USING (doc_id)")
@@ -602,7 +641,7 @@ done AS (SELECT doc_id, ext, t, n FROM steps WHERE step = (SELECT max(place) FRO
 
 def _second(spark, d) -> DataFrame:
     records = corpus(spark, d).select("doc_id", F.col("ext").alias("file"), F.col("raw").alias("text"))
-    return second_pass.applied(records, second_pass.compiled(_merged(spark, d)))
+    return second_pass.applied(records, _merged(spark, d))
 
 
 @query(f"{_R} SELECT doc_id, md5(t) AS text_md5, CAST(n AS INT) AS substitutions FROM done")
@@ -610,9 +649,9 @@ def second_pass_apply(spark, d):
     return _second(spark, d).select("doc_id", F.md5("text").alias("text_md5"), "substitutions")
 
 
-@query(f"{_R} SELECT ext AS file, count(*) AS records, count(*) FILTER (n > 0) AS records_changed, CAST(sum(n) AS BIGINT) AS substitutions FROM done GROUP BY ext")
+@query(f"{_R} SELECT coalesce(ext, 'TOTAL') AS file, count(*) AS records, count(*) FILTER (n > 0) AS records_changed, CAST(sum(n) AS BIGINT) AS substitutions FROM done GROUP BY ROLLUP (ext)")
 def second_pass_stats(spark, d):
-    return second_pass.stats(_second(spark, d))
+    return second_pass.total(second_pass.stats(_second(spark, d)))
 
 
 @query(
@@ -623,7 +662,122 @@ SELECT token, CAST(r AS INT) AS place, match, '…' || replace(substr(raw, CAST(
 )
 def preview_topk(spark, d):
     records = corpus(spark, d).select(F.col("doc_id").alias("line_no"), F.col("raw").alias("text"))
-    return second_pass.preview(records, second_pass.compiled(_merged(spark, d)))
+    return second_pass.preview(records, _merged(spark, d))
+
+
+# ---- sources and sinks, written and read back
+
+
+def _bytes(spark, d, ext: str, content) -> DataFrame:
+    rows = corpus(spark, d).where(F.col("raw").isNotNull())
+    return rows.select("doc_id", "path", "filename", F.lit(ext).alias("ext"), F.encode(content, "UTF-8").alias("content"))
+
+
+@query(f"{S.CLEANED} SELECT doc_id, newlines AS raw FROM cleaned")
+def read_txt(spark, d):
+    return source_files.read(_bytes(spark, d, ".txt", F.col("raw"))).select("doc_id", "raw")
+
+
+@query(
+    r"""SELECT doc_id, regexp_replace('From: a' || doc_id || '@example.com' || chr(10) || 'Subject: Case ' || doc_id || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'CC: c@example.com' || chr(10) ELSE '' END || chr(10) || coalesce(text, ''), '^\s+|\s+$', '', 'g') AS raw FROM documents"""
+)
+def read_eml(spark, d):
+    i = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("Subject: Case "), i, F.when(F.col("doc_id") % 2 == 0, F.lit("\nCC: c@example.com")).otherwise(""), F.lit("\nX-Other: no\nFrom: a"), i, F.lit("@example.com\n\n"))
+    rows = documents(spark, d).select("doc_id", F.lit(".eml").alias("ext"), F.encode(F.concat(head, F.coalesce("text", F.lit(""))), "UTF-8").alias("content"))
+    return source_files.read(rows).select("doc_id", "raw")
+
+
+@query(r"""SELECT doc_id, regexp_replace('From: ' || chr(10) || 'To: t@example.com' || chr(10) || 'Subject: Case ' || doc_id || chr(10) || 'Date: ' || chr(10) || chr(10) || coalesce(text, ''), '^\s+|\s+$', '', 'g') AS raw FROM documents""")
+def read_msg(spark, d):
+    none = F.lit(None).cast("string")
+    mail = F.struct(none.alias("sender"), F.lit("t@example.com").alias("to"), F.concat(F.lit("Case "), F.col("doc_id").cast("string")).alias("subject"), none.alias("date"), F.col("text").alias("body"))
+    return documents(spark, d).select("doc_id", source_files.outlook_text(mail).alias("raw"))
+
+
+def _place(spark, name: str) -> str:
+    return scratch(spark, name)
+
+
+@query(f"{S.CORPUS_ONLY}, {_SIDECAR} SELECT * FROM side")
+def read_sidecar(spark, d):
+    sinks.write_csv(_sidecar(spark, d), place := _place(spark, "sidecar"))
+    return source_tables.sidecar(spark, place)
+
+
+@query(f"{_L} SELECT file, entity_type, original_text, confidence, context, action FROM log")
+def read_review_log(spark, d):
+    sinks.write_review_log(_log(spark, d), place := _place(spark, "log"))
+    return source_tables.review_log(spark, place)
+
+
+@query(f"{_L} SELECT file, entity_type, confidence, original_text, context, action FROM log")
+def read_flags_csv(spark, d):
+    sinks.write_csv(sinks.flags_csv(_log(spark, d)), place := _place(spark, "flags"))
+    return source_tables.csv(spark, place, "file string, entity_type string, confidence double, original_text string, context string, action string")
+
+
+@query(f"{_D} SELECT flag_id, file, entity_type, original_text, confidence, decision FROM decided")
+def read_decisions(spark, d):
+    rows = _decided(spark, d).select("flag_id", "file", "entity_type", "original_text", "confidence", "decision")
+    place = sinks.archive_decisions(rows, _place(spark, "review"), "2024-01-01T00:00:00")
+    return source_tables.decisions(spark, place)
+
+
+@query(f"{_CHUNKS} SELECT new_text AS text, {S.ANON} AS source, CAST(s.token_count AS INT) AS token_count FROM replaced JOIN chunk_sums s USING (doc_id) WHERE doc_type <> 'caselaw'")
+def read_finetune(spark, d):
+    sinks.write_finetune(process.finetune_records(_done(spark, d)), place := _place(spark, "finetune"))
+    return source_tables.finetune(spark, place).select("text", "metadata.source", "metadata.token_count")
+
+
+@query(
+    f"""{_CHUNKS} SELECT filename AS source, c.index AS chunk_index, md5(c.text) AS text_md5 FROM chunks c JOIN replaced r USING (doc_id) WHERE c.doc_type IN ('caselaw', 'published')"""
+)
+def read_rag(spark, d):
+    sinks.write_rag(process.rag_records(_done(spark, d)), place := _place(spark, "rag"))
+    return source_tables.rag(spark, place).select("metadata.source", "metadata.chunk_index", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {R.BLOCK_ROWS} SELECT trim(string_split(line, chr(9))[1]) AS value, coalesce(trim(string_split(line, chr(9))[2]), '[REDACTED]') AS token FROM (SELECT trim(value, ' '||chr(9)) AS line FROM block_lines) WHERE line <> '' AND NOT starts_with(line, '#') AND trim(string_split(line, chr(9))[1]) <> ''")
+def read_blocklist(spark, d):
+    spark.createDataFrame([(v,) for v in R.BLOCKLIST], "value string").write.text(place := _place(spark, "blocklist"))
+    return source_tables.blocklist(spark, place)
+
+
+@query(f"{_A} SELECT count(*) AS records_assessed, (SELECT count(*) FROM corpus) AS total_records_in_dataset, (SELECT coalesce(risk_level, 'LOW') FROM assessments ORDER BY CASE coalesce(risk_level, 'LOW') WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END DESC, pos LIMIT 1) AS highest_risk_level, count(*) FILTER (risk_level = 'HIGH') AS high FROM assessments")
+def risk_report(spark, d):
+    rows = _assessments(spark, d)
+    sinks.write_risk_report(risk.report(rows, documents(spark, d).count(), "stored", "2024-01-01"), rows, place := _place(spark, "risk"))
+    schema = "records_assessed long, total_records_in_dataset long, highest_risk_level string, risk_distribution map<string,long>"
+    return spark.read.schema(schema).json(f"{place}/report").select("records_assessed", "total_records_in_dataset", "highest_risk_level", F.col("risk_distribution")["HIGH"].alias("high"))
+
+
+@query(f"{_CHUNKS}, {_MANIFEST} SELECT rpad(CASE WHEN skipped THEN 'SKIP' ELSE upper(doc_type) END, 12, ' ') || ' ' || original_filename || ' (' || token_count || ' tokens' || CASE WHEN review_flags > 0 THEN ' | ' || review_flags || ' PII flags' ELSE '' END || ')' AS line FROM manifest")
+def console_results(spark, d):
+    return sinks.result_lines(_results(spark, d))
+
+
+@query(f"{S.CORPUS_ONLY} SELECT filename FROM corpus WHERE ocr_confidence < 70")
+def ocr_queue(spark, d):
+    docs = corpus(spark, d)
+    low = docs.where(source_files.ocr_rejected(F.col("ocr_confidence"))).select("filename", F.encode("raw", "UTF-8").alias("content"))
+    sinks.write_ocr_queue(low, place := _place(spark, "queue"))
+    names_ = spark.read.format("binaryFile").load(place).select(F.element_at(F.split("path", "/"), -1).alias("filename"))
+    return low.select("filename").join(names_, "filename", "left_semi")
+
+
+@query("SELECT doc_id, format('{:,}', doc_id * 1237) AS thousands, printf('%.1f', doc_id / 7.0) AS one, printf('%.2f', doc_id / 7.0) AS two FROM documents")
+def rounded_formats(spark, d):
+    x = F.col("doc_id") / F.lit(7.0)
+    return documents(spark, d).select("doc_id", text.thousands(F.col("doc_id") * 1237).alias("thousands"), text.one_place(x).alias("one"), text.two_places(x).alias("two"))
+
+
+@query(f"{_D} SELECT '2024-01-01' AS timestamp, 'R. Viewer' AS reviewer, count(*) AS total_flags_reviewed, count(*) FILTER (NOT restore) AS approved_keep_redacted, count(*) FILTER (restore) AS restored_original, 2 AS entries FROM decided")
+def audit_append(spark, d):
+    entry = review.audit_entry(_decided(spark, d), "R. Viewer", "2024-01-01")
+    one = review.with_entry(spark.createDataFrame([("set",)], "dataset_name string"), entry)
+    two = review.with_entry(one, entry)
+    return two.select(F.element_at("human_reviews", -1).alias("e"), F.size("human_reviews").cast("long").alias("entries")).select("e.*", "entries")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.functions import classify, spans, targets
+from quillmill.functions import chunks, classify, spans, targets
 from quillmill.functions.caselaw import CITATION, COURT, YEAR
 from quillmill.plans.corpus import CORPUS, cleaned_sql
 
@@ -27,17 +27,19 @@ classified AS (SELECT *, CASE WHEN ext IN ('.eml', '.msg') THEN 'private' WHEN e
  CASE WHEN ext IN ('.eml', '.msg') THEN 0.99::DOUBLE WHEN ext = '.pptx' THEN 0.9::DOUBLE WHEN s_total = 0 THEN 0.0::DOUBLE ELSE greatest(p1, p2, p3) END AS confidence FROM shared)"""
 
 
-def _spans(kind: str, pattern: str, score: float) -> str:
-    flags = "(?i)" if kind == "DATE_TIME" else ""
-    cut = f"string_split(regexp_replace(clean, {q(f'{flags}({pattern})')}, chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+def _spans(kind: str) -> str:
+    score = f"{spans.RECOGNIZERS[kind][1]}::DOUBLE"
+    if kind in spans.NEAR:
+        score = f"CASE WHEN regexp_matches(clean, {q(spans.NEAR[kind][0])}) THEN least({score} + {spans.NEAR[kind][1]}::DOUBLE, 1.0::DOUBLE) ELSE {score} END"
+    cut = f"string_split(regexp_replace(clean, {q(spans.marked(kind)[0])}, '\\1' || chr(1) || '\\2' || chr(1), 'g'), chr(1))"
     return (
         f"list_transform([{cut}], lambda c: list_transform(range(2, len(c), 2), lambda i: {{'entity_type': {q(kind)}, "
         f"'start': CAST(coalesce(list_sum(list_transform(c[1:i-1], lambda p: len(p))), 0) AS INT), "
-        f"'end': CAST(coalesce(list_sum(list_transform(c[1:i], lambda p: len(p))), 0) AS INT), 'score': {score}::DOUBLE, 'text': c[i]}}))[1]"
+        f"'end': CAST(coalesce(list_sum(list_transform(c[1:i], lambda p: len(p))), 0) AS INT), 'score': {score}, 'text': c[i]}}))[1]"
     )
 
 
-_FOUND = " || ".join(_spans(k, p, s) for k, (p, s) in spans.RECOGNIZERS.items())
+_FOUND = " || ".join(map(_spans, spans.RECOGNIZERS))
 DETECTED = f"detected AS (SELECT *, CASE WHEN doc_type IN ('private', 'uncertain') THEN {_FOUND} ELSE [] END AS spans FROM classified)"
 KEPT = """ordered AS (SELECT *, list_filter(spans, lambda e: e.score >= 0.85) || list_filter(spans, lambda e: e.score >= 0.5 AND e.score < 0.85) AS usable FROM detected),
 sorted_spans AS (SELECT *, list_transform(list_sort(list_transform(usable, lambda e: {'s': e.start, 'l': e.start - e.end, 'e': e})), lambda x: [x.e]) AS singles FROM ordered),
@@ -72,3 +74,41 @@ OFFSET = "180 + list_reduce([0] || list_transform(range(1, 65), lambda i: CAST(i
 
 _TOKENS = " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in targets.TOKEN_OF.items())
 TOKEN_FOR = f"CASE trim(lower(kind)) {_TOKENS} ELSE '[REDACTED]' END"
+
+_COUNT = r"len(regexp_extract_all({}, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s]'))".format
+_LIST = lambda xs: "[" + ", ".join("'" + x.replace("\n", "'||chr(10)||'") + "'" for x in xs) + "]"
+
+
+def chunks_sql(source: str) -> str:
+    """CTEs up to ``chunks (doc_id, doc_type, index, total, token_count, text)`` of ``source (doc_id, doc_type, text)``; the query is a recursive one.
+
+    A node is a text to be cut; its large pieces are nodes with the separators behind; its runs of small pieces are
+    joined by a fold that keeps the first piece of the chunk at hand and the ranges of the chunks before it.
+    """
+    small = ", ".join(q(k) for k, v in chunks.CONFIG.items() if v == chunks.CONFIG["caselaw"])
+    (s1, o1), (s2, o2) = chunks.CONFIG["caselaw"], chunks.CONFIG["private"]
+    cut = (
+        "SELECT *, CASE WHEN seps[use] = '' THEN string_split(text, '') ELSE list_filter([string_split(text, seps[use])[1]] || list_transform(string_split(text, seps[use])[2:], lambda x: seps[use] || x), lambda x: x <> '') END AS pieces"
+        " FROM (SELECT *, list_filter(range(level + 1, len(seps) + 1), lambda k: seps[k] = '' OR contains(text, seps[k]))[1] AS use FROM nodes) WHERE use IS NOT NULL"
+    )
+    each = f"SELECT doc_id, size, overlap, seps, path, use, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM ({cut})"
+    before = "(cum[x.i - 1] - coalesce(cum[{0} - 1], 0))".format
+    fit = f"coalesce(list_filter(range(s.a, x.i), lambda j: {before('j')} <= overlap AND {before('j')} + ns[x.i] <= size)[1], x.i)"
+    full = f"s.a < x.i AND {before('s.a')} + ns[x.i] > size"
+    state = "{{'i': CAST({} AS BIGINT), 'a': CAST({} AS BIGINT), 'out': {}}}".format
+    step = state("x.i", f"CASE WHEN {full} THEN {fit} ELSE s.a END", f"CASE WHEN {full} THEN s.out || [{{'a': s.a, 'b': x.i - 1}}] ELSE s.out END")
+    none = "CAST([] AS STRUCT(a BIGINT, b BIGINT)[])"
+    return f"""texts AS (SELECT doc_id, doc_type, text, CASE WHEN doc_type IN ({small}) THEN {s1} ELSE {s2} END AS size, CASE WHEN doc_type IN ({small}) THEN {o1} ELSE {o2} END AS overlap,
+ CASE WHEN doc_type = 'caselaw' THEN {_LIST(chunks.LEGAL_SEPARATORS)} ELSE {_LIST(chunks.COMMON_SEPARATORS)} END AS seps FROM {source}),
+nodes AS (SELECT doc_id, size, overlap, seps, CAST([] AS BIGINT[]) AS path, text, CAST(0 AS BIGINT) AS level FROM texts UNION ALL
+ SELECT doc_id, size, overlap, seps, list_append(path, i), piece, use FROM ({each}) WHERE {_COUNT('piece')} >= size),
+pieces AS (SELECT *, {_COUNT('piece')} AS n FROM ({each})),
+marked AS (SELECT *, count(*) FILTER (n >= size) OVER (PARTITION BY doc_id, path ORDER BY i) AS run FROM pieces),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, path, run ORDER BY i) AS cum FROM marked WHERE n < size),
+runs AS (SELECT doc_id, size, overlap, path, min(i) AS lead_i, list(piece ORDER BY i) AS ps, list(n ORDER BY i) AS ns, list(CAST(cum AS BIGINT) ORDER BY i) AS cum FROM summed GROUP BY doc_id, size, overlap, path, run),
+folded AS (SELECT *, list_reduce(list_transform(range(1, len(ps) + 1), lambda k: {state('k', '1', none)}), lambda s, x: {step}) AS f FROM runs),
+ranges AS (SELECT doc_id, list_append(path, lead_i) AS place, ps, unnest(f.out || [{{'a': f.a, 'b': len(ps)}}]) AS r FROM folded),
+stripped AS (SELECT doc_id, place, r.a AS a, regexp_replace(array_to_string(ps[r.a:r.b], ''), '^\s+|\s+$', '', 'g') AS text FROM ranges),
+all_chunks AS (SELECT * FROM stripped WHERE text <> '' UNION ALL SELECT doc_id, [], 0, text FROM texts WHERE doc_id NOT IN (SELECT doc_id FROM stripped WHERE text <> '')),
+chunks AS (SELECT s.doc_id, t.doc_type, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY place, a) - 1 AS INT) AS index, CAST(count(*) OVER (PARTITION BY s.doc_id) AS INT) AS total, CAST({_COUNT('s.text')} AS INT) AS token_count, s.text FROM all_chunks s JOIN texts t USING (doc_id)),
+chunk_sums AS (SELECT doc_id, count(*) AS chunk_count, CAST(sum(token_count) AS BIGINT) AS token_count FROM chunks GROUP BY doc_id)"""

@@ -24,8 +24,8 @@ OCR_GATE, PDF_LEAST = 70.0, 100
 HEADERS = ("From", "To", "Subject", "Date", "CC", "BCC")
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, filename, ext, length, sha256, content`` of all files of a known extension below a folder."""
+def scan(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """``path, filename, ext, size_bytes, sha256, content`` of all files of a known extension below a folder, or of the files listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     named = files.withColumn("filename", filename(F.col("path"))).withColumn("ext", extension(F.col("filename")))
     return named.where(F.col("ext").isin(*EXTENSIONS)).select(
@@ -62,6 +62,13 @@ def mail_text(content: bytes) -> str:
     return f"{head}\n\n{body}".strip()
 
 
+def outlook_text(mail: Column) -> Column:
+    """The text of ``struct<sender, to, subject, date, body>`` as an Outlook reader gives it: four lines, even empty ones, and the body."""
+    part = lambda c: F.coalesce(mail[c].cast("string"), F.lit(""))
+    lines = [F.concat(F.lit(f"{name}: "), part(c)) for name, c in (("From", "sender"), ("To", "to"), ("Subject", "subject"), ("Date", "date"))]
+    return F.regexp_replace(F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"), part("body")), r"(?U)^\s+|\s+$", "")
+
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"

@@ -64,5 +64,36 @@ def blocklist(spark: SparkSession, path: str) -> DataFrame:
     return parse_blocklist(spark.read.text(path))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+
+
+def manifest(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
+    """One row; where the file is absent, one of nulls, or an error if it is ``required``."""
+    if not exists(spark, path):
+        if required:
+            raise FileNotFoundError(path)
+        return spark.createDataFrame([tuple([None] * len(MANIFEST.split(", ")))], MANIFEST)
     return spark.read.option("multiLine", True).schema(MANIFEST).json(path)
+
+
+FILES = (
+    "original_filename string, source_path string, sha256 string, doc_type string, classification_confidence double, date_processed string, copyright_status string, source_url_or_collection string, notes string,"
+    " skipped boolean, skip_reason string, processing struct<ocr:boolean,ocr_confidence:double,pii_stripped:boolean,faker_substitutions:int,review_flags:int,chunk_count:int,token_count:int>"
+)
+ASSESSMENTS = (
+    "pos int, source string, risk_level string, raw_response string, assessment struct<quasi_identifiers:array<struct<type:string,value:string,concern:string>>,additional_redactions:array<string>>"
+)
+
+
+def manifest_files(spark: SparkSession, output: str) -> DataFrame:
+    """The files of a run's manifest, which has to be there."""
+    if not exists(spark, f"{output}/manifest/files"):
+        raise FileNotFoundError(f"{output}/manifest/files")
+    return spark.read.schema(FILES).json(f"{output}/manifest/files")
+
+
+def assessments(spark: SparkSession, path: str) -> DataFrame:
+    """``pos, source, risk_level, quasi_identifiers, additional_redactions`` of a risk report."""
+    return spark.read.schema(ASSESSMENTS).json(path).select("pos", "source", "risk_level", "assessment.quasi_identifiers", "assessment.additional_redactions")

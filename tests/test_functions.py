@@ -93,7 +93,8 @@ def test_targets(spark):
     assert one(spark, targets.parts(F.col("t")), t="Dr. A / Bcd; Cde (also Def)/") == ["Dr. A", "Bcd", "Cde", "Def"]
     assert one(spark, targets.token_for(F.col("t")), t=" Facility/Address ") == "[ADDRESS]" and one(spark, targets.token_for(F.col("t")), t="new") == "[REDACTED]"
     pats = [(one(spark, targets.pattern(F.col("t")), t=v), tok) for v, tok in (("John Smith", "[PERSON]"), ("person", "[REDACTED]"), ("$5", "a$1\\"))]
-    got = one(spark, targets.applied(F.col("t"), pats), t="John Smith sued JOHN SMITH. $5 person")
+    listed = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(p).alias("p"), targets.quoted(F.lit(t)).alias("t")) for i, (p, t) in enumerate(pats)])
+    got = one(spark, targets.applied(F.col("t"), listed), t="John Smith sued JOHN SMITH. $5 person")
     assert (got["text"], got["n"]) == ("[[REDACTED]] sued [[REDACTED]]. a$1\\ [REDACTED]", 6)
 
 

@@ -63,6 +63,8 @@ def test_process_and_sinks(spark, tmp_path):
     assert "123-45" not in by[1]["text"] and by[1]["text"].count("(555) 555-0001") == 2 and by[1]["substitutions"] == 3 and len(by[1]["review_flags"]) == 2
     assert by[2]["doc_type"] == "caselaw" and by[2]["text"] == "Smith v. Jones, 1 F.3d 2 OPINION"
     sinks.write_rag(process.rag_records(done), str(tmp_path / "rag"))
+    sinks.write_rag(process.rag_records(done), str(tmp_path / "each"), per_source=True)
+    assert [p.name for p in (tmp_path / "each").glob("bucket=*")] == ["bucket=o"]
     lines = [json.loads(x) for p in (tmp_path / "rag").rglob("part-*.json") for x in p.read_text().splitlines()]
     assert [x["id"] for x in lines] == ["o_chunk_000"] and "year" not in lines[0]["metadata"]
     sinks.write_finetune(process.finetune_records(done.where("doc_id = 1")), str(tmp_path / "ft"))
