@@ -25,6 +25,7 @@ _WORD = {w: BIT[g] for g, words in GROUPS.items() for w in words.split()}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe svg math object canvas audio video".split())
+FOREIGN, TO_THE_END = {"svg", "math"}, {"script", "style", "textarea", "title", "iframe"}
 CLOSES = {  # a start of the key ends an open element of these
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
@@ -97,9 +98,10 @@ class Page:
                 links = self._close(tag, open_, links)
                 continue
             if tag in RAW:
-                if not attributes.endswith("/"):
+                # a slash before the end closes elements of drawings and formulas only
+                if not (tag in FOREIGN and attributes.endswith("/")):
                     close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                    at = close.end() if close else n
+                    at = close.end() if close else n if tag in TO_THE_END else at
                 continue
             if tag == "br":
                 runs[-1].append((open_[-1][1], " "))
@@ -126,9 +128,8 @@ class Page:
                 self.above.append(self.above[up] | self.own[up])
                 self.length.append(0)
                 self.linked.append(0)
-            if not attributes.endswith("/"):
-                open_.append((tag, node))
-                links += tag == "a"
+            open_.append((tag, node))
+            links += tag == "a"
 
     def _implied(self, tag: str, open_: list[tuple[str, int]]) -> None:
         """Ends of elements that the start of a block implies."""

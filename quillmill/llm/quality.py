@@ -88,6 +88,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
         .orderBy(F.xxhash64("__id"), "__id").limit(sample)
     )
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(chosen), "__id")
+    # of several texts of an id the one of the least hash, so no more rows than labels come together
+    rows = rows.groupBy("__id", "__y").agg(F.min_by("__t", F.xxhash64("__t")).alias("__t"))
 
     def measure(batches):
         for b in batches:
@@ -97,7 +99,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     got = rows.select("__t", "__y").mapInArrow(measure, "y double, x array<double>").toPandas()
     if got.empty:  # nothing is known: every document has even odds
         got = pd.DataFrame({"y": [0.0, 1.0], "x": [[0.0] * len(FEATURES)] * 2})
-    # rows of one id may come twice; a fixed order keeps the sums, and so the weights, the same
+    # a fixed order keeps the sums, and so the weights, the same
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy(float)
     order = np.lexsort((y, *x.T))
     return Model(x[order], y[order])
@@ -153,7 +155,8 @@ def quality(
     """``df`` with ``q_evidence, q_path, q_posterior, q_keep``; all rows and columns stay.
 
     Null hosts and paths are sites of their own. Null and empty texts have no evidence and are not kept.
-    Repeated rows count as often as they occur. Without any label every evidence is 0.
+    Repeated rows count as often as they occur. Without any label every evidence is 0. Columns of the input
+    with the names of the four new ones are replaced. ``documents`` has no path, so ``lang`` stands for it there.
     """
     small_batches(df.sparkSession)
     model = fit(df, labels, id_col, text_col, label_col, sample)

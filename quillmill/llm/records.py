@@ -25,6 +25,8 @@ from quillmill.llm.tokens import tokenizer
 
 MAGIC = b"QMREC1"
 SHARD_BYTES = 16_000_000  # of text behind a shard, on average
+#: Shards at most; they are larger where that is too few. The driver holds a row for each.
+SHARDS = 50_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -116,19 +118,30 @@ def write_records(
     """Encode every text and write shards in ascending id order; returns the manifest, one row per shard.
 
     The id range is cut at quantiles of the ids, so shards are balanced without a second run of the
-    encoder. Null ids come first; equal ids are ordered by their tokens. A null text is a document
+    encoder; rows of an id (or of none) that alone would fill a shard are dealt to as many as they fill. Null ids
+    come first; rows of equal ids have no order among shards and that of their tokens inside. A null text is a document
     of only ``end_id``. An empty table gives no shard. A task that runs again replaces its shards by
     equal ones. Columns of ``df`` besides the two named play no part.
     """
     spark = df.sparkSession
     small_batches(spark)
-    shards = max(1, -(-text_bytes(df, text_col) // shard_text_bytes))
+    shards = min(SHARDS, max(1, -(-text_bytes(df, text_col) // shard_text_bytes)))
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cuts: list[int] = []
     if shards > 1:
         at = [i / shards for i in range(1, shards)]
-        cuts = source.agg(F.percentile_approx("doc_id", at, 100 * shards)).first()[0] or []
+        cuts = source.agg(F.percentile_approx("doc_id", at, min(100 * shards, 1_000_000))).first()[0] or []
     bounds = np.unique(np.asarray(cuts, dtype=np.int64))
+    # ids that fill a shard by themselves: no more than shards, and each is a bound or null
+    heavy: dict[int | None, int] = {}
+    if shards > 1:
+        rows = source.count()
+        counts = source.where(F.col("doc_id").isNull() | F.col("doc_id").isin([int(b) for b in bounds[np.flatnonzero(np.bincount(np.searchsorted(bounds, cuts)) > 1)]]))
+        for r in counts.groupBy("doc_id").count().where(F.col("count") * shards > 2 * rows).collect():
+            heavy[r["doc_id"]] = -(-r["count"] * shards // rows)
+    known = np.array(sorted(k for k in heavy if k is not None), np.int64)
+    parts = np.array([heavy[k] for k in known.tolist()], np.int64)
+    source = source.withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
 
     def encode(batches):
         import zstandard
@@ -138,39 +151,47 @@ def write_records(
         for batch in batches:
             ids = [squeeze.compress(x + end) for x in tok.encode(batch.column("text").to_pylist())]
             docs = batch.column("doc_id")
-            shard = np.searchsorted(bounds, docs.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
+            plain, null = docs.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), docs.is_null().to_numpy(zero_copy_only=False)
+            shard, part = np.searchsorted(bounds, plain, "left"), np.zeros(len(plain), np.int64)
+            place = batch.column("place").to_numpy().view(np.uint64)
+            if len(known):  # behind the smaller ids of their range
+                at = np.minimum(np.searchsorted(known, plain), len(known) - 1)
+                own = (known[at] == plain) & ~null
+                part[own] = 1 + (place[own] % parts[at[own]].astype(np.uint64)).astype(np.int64)
+            if None in heavy:  # in front of all
+                part[null] = -1 - (place[null] % np.uint64(heavy[None])).astype(np.int64)
             width = pa.array([tok.width] * len(ids), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [docs, pa.array(shard.astype(np.int32)), width, pa.array(ids, pa.binary())], ["doc_id", "shard", "width", "packed"]
+                [docs, pa.array(shard.astype(np.int32)), pa.array(part.astype(np.int32)), width, pa.array(ids, pa.binary())], ["doc_id", "range", "part", "width", "packed"]
             )
 
     def store(key, table):
         import zstandard
 
-        width, shard = table.column("width")[0].as_py(), key[0].as_py()
+        width, shard, part = table.column("width")[0].as_py(), key[0].as_py(), key[1].as_py()
         open_up = zstandard.ZstdDecompressor()
         rows = [(d is not None, d or 0, open_up.decompress(p)) for d, p in zip(table["doc_id"].to_pylist(), table["packed"].to_pylist())]
         rows.sort()
         content, index = shard_bytes([payload_of(d if known else None, p) for known, d, p in rows], width)
-        name = f"shard-{shard:08d}"
+        name = f"shard-{shard:08d}{part:+07d}" if part else f"shard-{shard:08d}"
         _put(f"{folder}/{name}.rec", content)
         _put(f"{folder}/{name}.idx", index)
         tokens = sum(len(p) for _, _, p in rows) // width
-        values = [[shard], [f"{name}.rec"], [len(rows)], [tokens], [len(content)]]
-        types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(v, t) for v, t in zip(values, types)], names=["shard", "file", "records", "tokens", "bytes"])
+        values = [[shard], [part], [f"{name}.rec"], [len(rows)], [tokens], [len(content)]]
+        types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(v, t) for v, t in zip(values, types)], names=["range", "part", "file", "records", "tokens", "bytes"])
 
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
     written = (
-        source.mapInArrow(encode, "doc_id long, shard int, width int, packed binary")
-        .groupBy("shard")
-        .applyInArrow(store, "shard int, file string, records long, tokens long, bytes long")
+        source.mapInArrow(encode, "doc_id long, range int, part int, width int, packed binary")
+        .groupBy("range", "part")
+        .applyInArrow(store, "range int, part int, file string, records long, tokens long, bytes long")
     )
     # a row per shard of shard_text_bytes: the driver adds up the offsets of the shards
     rows = sorted(written.collect())
     start, manifest = 0, []
-    for r in rows:
-        manifest.append((r["shard"], r["file"], r["records"], r["tokens"], r["bytes"], start))
+    for number, r in enumerate(rows):
+        manifest.append((number, r["file"], r["records"], r["tokens"], r["bytes"], start))
         start += r["tokens"]
     schema = "shard int, file string, records long, tokens long, bytes long, first_token long"
     return spark.createDataFrame(manifest, schema)

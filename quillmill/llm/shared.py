@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.sources.shared import spread
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of a folder that the driver and all executors see.
@@ -99,7 +101,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one too small to have a split for every core is dealt to all."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def text_bytes(df: DataFrame, text_col: str) -> int:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.shared import materialize, small_batches
+from quillmill.llm.shared import discard, free_name, heavy_join, materialize, small_batches
 
 WINDOW = 20
 ANCHOR = 8
@@ -213,18 +213,18 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = (
         docs.mapInArrow(rows, "id long, m long, h long")
         .groupBy("m").agg(F.min("h").alias("least"), F.max("h").alias("most"), F.min("id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("m", "first", (F.col("least") == F.col("most")).alias("single"))
+        .where("n > 1").select("m", "first", (F.col("least") == F.col("most")).alias("single"), "n")
     )
     met = materialize(met, "minimizers")
     send = df.sparkSession.sparkContext.broadcast
     shared = send(_sieve(met, F.col("m").bitwiseAND(F.lit(PATH_BITS - 1)), PATH_BITS))
     again = docs.mapInArrow(lambda batches: rows(batches, shared), "id long, m long, h long")
-    seen = materialize(again.join(met, "m").where("not single or id > first"), "paths")
+    seen = materialize(heavy_join(again, met, ["m"], "n").where("not single or id > first"), "paths")
 
     branch = seen.where("not single").select("id", "m", "h")
-    firsts = materialize(branch.groupBy("m", "h").agg(F.min("id").alias("first")), "firsts", met.count())
+    firsts = materialize(branch.groupBy("m", "h").agg(F.min("id").alias("first"), F.count("*").alias("n")), "firsts", met.count())
     later = seen.where("single").select("id", "h").unionByName(
-        branch.join(firsts, ["m", "h"]).where("id > first").select("id", "h")
+        heavy_join(branch, firsts, ["m", "h"], "n").where("id > first").select("id", "h")
     )
 
     # windows of the first source of each path at a branch
@@ -254,13 +254,15 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     windows = materialize(some.join(todo, "id").select("text", "id", "hs").mapInArrow(expand, "id long, m long, w long"), "windows")
     twice = materialize(windows.groupBy("m", "w").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "twice")
-    other = windows.join(twice.select("m", "w", "first"), ["m", "w"]).where("id > first").select("id", "w")
-
-    return (
+    other = heavy_join(windows, twice, ["m", "w"], "n").where("id > first").select("id", "w")
+    found = (
         later.select("id", "h", F.lit(None).cast("long").alias("w"))
         .unionByName(other.select("id", F.lit(None).cast("long").alias("h"), "w"))
         .groupBy("id").agg(F.collect_list("h").alias("paths"), F.collect_list("w").alias("windows"))
     )
+    found = materialize(found, "repeats")
+    discard(met, seen, firsts, todo, windows, twice)
+    return found
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW) -> DataFrame:
@@ -268,13 +270,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A window of ``k`` words repeats if the same words start in a smaller id or earlier in the same row.
     A null text has no words and an empty ``kept``; null ids are the smallest; rows of one id are judged
-    against smaller ids and themselves, not against each other; an empty table gives an empty one. All
-    other columns stay.
+    against smaller ids and themselves, not against each other; an empty table gives an empty one. Columns of
+    the input with the names of the four new ones are replaced; all others stay, whatever their names.
     """
     small_batches(df.sparkSession)
     found = repeated_windows(df, id_col, text_col, k)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    joined = df.withColumn("__key", key).join(found.withColumnRenamed("id", "__key"), "__key", "left")
+    made = ("n_words", "n_removed", "kept", "spans")
+    key, paths, windows, result = (free_name(df, c) for c in ("key", "paths", "windows", "cut"))
+    found = found.select(F.col("id").alias(key), F.col("paths").alias(paths), F.col("windows").alias(windows))
+    joined = df.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))).join(found, key, "left")
 
     @F.arrow_udf("struct<n_words: bigint, n_removed: bigint, kept: string, spans: array<struct<start: bigint, length: bigint>>>")
     def cut(texts: pa.Array, paths: pa.Array, windows: pa.Array) -> pa.Array:
@@ -285,8 +289,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
         return pa.array(out, kind)
 
-    joined = joined.withColumn("__cut", cut(F.col(text_col), "paths", "windows"))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "__cut.n_words", "__cut.n_removed", "__cut.kept", "__cut.spans")
+    joined = joined.withColumn(result, cut(F.col(f"`{text_col}`"), F.col(paths), F.col(windows)))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in made], *[F.col(f"{result}.{c}") for c in made])
 
 
 def _cut_block(texts: list, paths: list, windows: list, k: int) -> list[dict]:

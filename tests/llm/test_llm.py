@@ -42,6 +42,18 @@ def test_token_ids_are_the_librarys(spark, path):
         assert np.frombuffer(got, t.dtype).tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_sentencepiece_query_by_the_library(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op2_sentencepiece(spark, SF).collect():
+        ids = lib.encode(docs[r["doc_id"]])
+        decoded = lib.decode(ids)
+        want = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(decoded), zlib.crc32(decoded.encode()))
+        assert (r["n_tokens"], r["ids_crc32"], r["n_chars"], r["decoded_crc32"]) == want
+
+
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_added_tokens_inside_a_text_have_their_ids(path):
     from tokenizers import Tokenizer
@@ -286,6 +298,12 @@ def test_html_edge_cases(spark):
     df = spark.createDataFrame([(i, p, "old") for i, p in enumerate(pages)], "page_id int, html string, text string")
     got = {r["page_id"]: r["text"] for r in html_model.extract(df).collect()}
     assert got == {0: "", 1: "", 2: "", 3: "a&b c d efg", 4: "deep", 5: "q"}
+    slashes = "<article><script src='x'/>var a=1;</script><p>one<br/>two</p><div class=x/><p>three</p></div><svg/><p>four</p></article><div class='sidebar'/><p>no</p></div>"
+    assert html_model.main_texts([slashes], html_model.default_model()) == ["one two three four"]
+    assert html_model.extract(df.limit(0)).count() == 0
+    long = "<article>" + "<p>some words of the text here</p>" * 60_000 + "</article><footer>no</footer>"
+    twice = spark.createDataFrame([(1, long), (1, long)], "page_id int, html string")
+    assert [r["text"] for r in html_model.extract(twice).collect()] == [" ".join(["some words of the text here"] * 60_000)] * 2
 
 
 # ---- personal data
@@ -458,6 +476,24 @@ def test_records_round_trip(spark, odd, empty, tmp_path):
     assert records.round_trip(empty, WORDS, f"file://{tmp_path}/e").count() == 0
 
 
+def test_rows_of_one_id_fill_several_shards(spark, tmp_path):
+    texts = [f"text number {i} of a hot id " * 3 for i in range(300)]
+    rows = [(5, t) for t in texts] + [(None, t) for t in texts[:200]] + [(k, f"other {k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = f"file://{tmp_path}/hot"
+    manifest = records.write_records(df, WORDS, folder, shard_text_bytes=3000)
+    assert manifest.agg(F.max("records")).first()[0] < 60
+    got = sorted(records.read_records(spark, folder, manifest).collect(), key=lambda r: r["start"])
+    t, at = WordTokenizer(WORDS), 0
+    want = collections.Counter((d, zlib.crc32(np.array(t.tokenizer.encode(x, add_special_tokens=False).ids + [1], "<u4").tobytes())) for d, x in rows)
+    assert collections.Counter((r["doc_id"], zlib.crc32(r["ids"])) for r in got) == want
+    order = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert order == sorted(order)
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
 def test_record_query_by_brute_force(spark):
     t, at = WordTokenizer(WORDS), 0
     got = {r["doc_id"]: r for r in queries.op6_token_records(spark, SF).collect()}
@@ -613,6 +649,10 @@ def test_repeated_windows_edge_cases(spark, odd, empty):
     assert len(rows) == len(ODD) and {r["doc_id"]: r["n_removed"] for r in rows}[4] == 20000 - 1  # all but the first word are in a window that started before
     assert {(r["n_words"], r["kept"]) for r in rows if r["doc_id"] in (2, 3)} == {(0, "")}
     assert substrings.remove_repeats(empty).count() == 0
+    clash = odd.withColumns({c: F.lit("x") for c in ("paths", "windows", "m", "h", "w", "first", "single", "n_words", "kept", "spans", "__key", "__cut", "__paths")})
+    again = substrings.remove_repeats(clash)
+    assert len(set(again.columns)) == len(again.columns) and sorted(r["kept"] for r in again.collect()) == sorted(r["kept"] for r in rows)
+    assert {(r["paths"], r["__key"], r["windows"]) for r in again.collect()} == {("x", "x", "x")}
 
 
 # ---- quality
