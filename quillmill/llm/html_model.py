@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.shared import small_batches
+from quillmill.llm.labelled_pages import PAGES
 from quillmill.llm.html_tree import BIT, GROUPS, INLINE, TAG, TAGS, Page
 
 KINDS = len(GROUPS)
 #: bias, tags, own kinds, kinds above, and numbers
 SIZE = 1 + len(TAGS) + 2 * KINDS + 4
 SORTS = 3
+BY_HAND = 6
 _SORT = np.array([0 if t in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "dt", "dd", "td", "th") else 2 if t in INLINE else 1 for t in TAGS])
 
 
@@ -218,9 +220,11 @@ def labelled_tree(source: str) -> tuple[Page, list[int]]:
 
 
 @cache
-def default_model(pages: int = 500, seed: int = 7) -> tuple[tuple, tuple]:
+def default_model(pages: int = 500, seed: int = 7, without: str | None = None) -> tuple[tuple, tuple]:
+    """Fitted to made-up pages and to those written by hand, which count ``BY_HAND`` times; ``without`` holds one layout out."""
     rnd = random.Random(seed)
     made = [labelled_tree(labelled_page(rnd)[0]) for _ in range(pages)]
+    made += [labelled_tree(page) for name, page in PAGES.items() if name != without] * BY_HAND
     return train([p for p, _ in made], [y for _, y in made])
 
 

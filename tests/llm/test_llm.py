@@ -275,6 +275,23 @@ def test_main_text_of_unseen_pages():
     assert same >= 95
 
 
+def test_layouts_held_out_of_the_labels():
+    from difflib import SequenceMatcher
+
+    from quillmill.llm.labelled_pages import PAGES
+
+    def agreement(want, got):
+        a, b = want.split(), got.split()
+        return 2 * sum(m.size for m in SequenceMatcher(None, a, b, False).get_matching_blocks()) / (len(a) + len(b))
+
+    scores = {}
+    for name in sorted(PAGES):
+        page, labels = html_model.labelled_tree(PAGES[name])
+        model = html_model.default_model(without=name)
+        scores[name] = agreement(page.text(labels), html_model.main_texts([PAGES[name]], model)[0])
+    assert min(scores.values()) > 0.8 and sum(scores.values()) / len(scores) > 0.95, scores
+
+
 def test_marginals_by_enumeration():
     from itertools import product
 
