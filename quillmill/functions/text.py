@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a line of a legal database holds, and how a numbered line of a pleading starts.
+ANNOTATION = r"(?md)^[^\n]*(?:Thomson Reuters|LexisNexis|Westlaw)[^\n]*$"
+LINE_NUMBER = r"(?mdU)^\s*\d{1,3}\s{1,3}(?=\S)"
 #: Unicode white space at the ends, as Python's strip() sees it.
 _ENDS = r"(?U)^\s+|\s+$"
 
@@ -20,12 +23,12 @@ def newlines(text: Column) -> Column:
 
 def blank_annotations(text: Column) -> Column:
     """Lines that name a legal database become empty lines; the names are case-sensitive."""
-    return F.regexp_replace(text, r"(?md)^[^\n]*(?:Thomson Reuters|LexisNexis|Westlaw)[^\n]*$", "")
+    return F.regexp_replace(text, ANNOTATION, "")
 
 
 def strip_line_numbers(text: Column) -> Column:
     """Leading numbers of pleadings go, with blank lines in front of them."""
-    return F.regexp_replace(text, r"(?mdU)^\s*\d{1,3}\s{1,3}(?=\S)", "")
+    return F.regexp_replace(text, LINE_NUMBER, "")
 
 
 def typography(text: Column) -> Column:

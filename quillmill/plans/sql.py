@@ -108,7 +108,7 @@ summed AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, path, run ORDER BY i) AS
 runs AS (SELECT doc_id, size, overlap, path, min(i) AS lead_i, list(piece ORDER BY i) AS ps, list(n ORDER BY i) AS ns, list(CAST(cum AS BIGINT) ORDER BY i) AS cum FROM summed GROUP BY doc_id, size, overlap, path, run),
 folded AS (SELECT *, list_reduce(list_transform(range(1, len(ps) + 1), lambda k: {state('k', '1', none)}), lambda s, x: {step}) AS f FROM runs),
 ranges AS (SELECT doc_id, list_append(path, lead_i) AS place, ps, unnest(f.out || [{{'a': f.a, 'b': len(ps)}}]) AS r FROM folded),
-stripped AS (SELECT doc_id, place, r.a AS a, regexp_replace(array_to_string(ps[r.a:r.b], ''), '^\s+|\s+$', '', 'g') AS text FROM ranges),
+stripped AS (SELECT doc_id, place, r.a AS a, regexp_replace(array_to_string(ps[r.a:r.b], ''), '^\\s+|\\s+$', '', 'g') AS text FROM ranges),
 all_chunks AS (SELECT * FROM stripped WHERE text <> '' UNION ALL SELECT doc_id, [], 0, text FROM texts WHERE doc_id NOT IN (SELECT doc_id FROM stripped WHERE text <> '')),
 chunks AS (SELECT s.doc_id, t.doc_type, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY place, a) - 1 AS INT) AS index, CAST(count(*) OVER (PARTITION BY s.doc_id) AS INT) AS total, CAST({_COUNT('s.text')} AS INT) AS token_count, s.text FROM all_chunks s JOIN texts t USING (doc_id)),
 chunk_sums AS (SELECT doc_id, count(*) AS chunk_count, CAST(sum(token_count) AS BIGINT) AS token_count FROM chunks GROUP BY doc_id)"""
