@@ -56,6 +56,11 @@ def redacted(docs: DataFrame, excluded_col: str | None = None, mode: str = "fine
     ).drop("__found", "__use", "__kept", "__values")
 
 
+def flagged(docs: DataFrame) -> DataFrame:
+    """``review_flags`` of the detected spans alone, where no text is wanted."""
+    return once(docs, review_flags=spans.review_flags(F.col("clean"), F.col("filename"), F.col("spans")))
+
+
 def chunked(docs: DataFrame, count: Callable[[str], int] = chunks.word_tokens) -> DataFrame:
     out = docs.withColumn("chunks", chunks.chunked(F.col("text"), F.col("doc_type"), count))
     return out.withColumns({"chunk_count": F.size("chunks"), "token_count": F.aggregate("chunks", F.lit(0), lambda a, c: a + c["token_count"])})

@@ -48,7 +48,7 @@ def _redacted(spark, d) -> DataFrame:
 
 
 def _log(spark, d) -> DataFrame:
-    return review.numbered(process.review_log(_redacted(spark, d)), "doc_id", "pos")
+    return review.numbered(process.review_log(process.flagged(_detected(spark, d))), "doc_id", "pos")
 
 
 # ---- cleaning
