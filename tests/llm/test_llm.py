@@ -672,6 +672,47 @@ def test_repeated_windows_edge_cases(spark, odd, empty):
     assert {(r["paths"], r["__key"], r["windows"]) for r in again.collect()} == {("x", "x", "x")}
 
 
+def test_collisions_of_windows_are_found_and_mended(spark):
+    """Hashes of 5 bits collide at once; spans do not stand at their sources, and the next attempt has whole hashes."""
+    rnd = random.Random(5)
+    docs = {}
+    for i in range(60):
+        w = [rnd.choice("abc") for _ in range(rnd.randint(0, 120))]
+        docs[i] = " ".join(w + (docs[rnd.randrange(i)].split()[:40] if i else []))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    coded = substrings._coded(df, "doc_id", "text", 0)
+    rows = {r["id"]: r for r in substrings.repeated_windows(coded, bits=5).collect()}
+    cut = [c for i, t in docs.items() for c in substrings._cut_block([t], [rows[i]["paths"] if i in rows else None], [rows[i]["windows"] if i in rows else None], 20, bits=5)]
+    claims = [c for r in cut for c in r["claims"]]
+    bad = sum(substrings._digest(docs[c["id"]].encode().split(), c["start"], c["length"]) != c["digest"] for c in claims)
+    assert bad or not all(r["sound"] for r in cut)
+    got = substrings.remove_repeats(df, widths=(5, 64)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == cut_by_brute_force(docs)
+    with pytest.raises(ArithmeticError):
+        substrings.remove_repeats(df, widths=(1,))
+
+
+def test_pieces_become_nonbranching_paths(spark):
+    """A passage of two documents is one path; where a third one leaves and enters it, nodes branch and paths end."""
+    passage = [f"p{i}" for i in range(200)]
+    own = [[f"{x}{i}" for i in range(30)] for x in "xyz"]
+    docs = [(1, " ".join(own[0] + passage)), (2, " ".join(own[1] + passage))]
+    df = substrings._coded(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 0)
+    (row,) = substrings.repeated_windows(df).collect()
+    sources = [row["paths"][i : i + 5] for i in range(0, len(row["paths"]), 5)]
+    assert row["id"] == 2 and len(sources) > 10 and {(s[1], s[4]) for s in sources} == {(1, 30)}  # one path, from word 30 of document 1
+    (cut,) = substrings._cut_block([docs[1][1]], [row["paths"]], [row["windows"]], 20)
+    assert [(c["id"], c["start"], c["length"]) for c in cut["claims"]] == [(1, 30, 200)]
+    # both ways on from word 100 of the passage repeat
+    other = own[2] + passage[:100] + [f"q{i}" for i in range(60)]
+    docs += [(3, " ".join(other)), (4, " ".join(["w"] + other))]
+    df = substrings._coded(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 0)
+    rows = {r["id"]: r for r in substrings.repeated_windows(df).collect()}
+    (cut,) = substrings._cut_block([docs[1][1]], [rows[2]["paths"]], [rows[2]["windows"]], 20)
+    assert len(cut["claims"]) > 1 and all(c["start"] + c["length"] <= 30 + 200 for c in cut["claims"])
+    assert cut["n_removed"] == 200
+
+
 # ---- quality
 
 
