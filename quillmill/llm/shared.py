@@ -61,6 +61,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back the shuffle files of finished jobs, whose tables are written: Spark deletes them once the driver's collector has run."""
+    spark._jvm.System.gc()
+
+
 #: A key of more than this part of all rows is heavy, so there are fewer heavy keys than its inverse.
 HEAVY = 2000
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.shared import discard, free_name, heavy_join, materialize, small_batches
+from quillmill.llm.shared import discard, free_name, heavy_join, materialize, release, small_batches
 
 WINDOW = 20
 ANCHOR = 8
@@ -323,6 +323,8 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW, seed: int = 0, bits: int
                 )
 
     edges = materialize(_among(docs, todo).join(todo, "id").select("text", "id", "t", "wholes", "branches").mapInArrow(expand, _EDGES), "edges")
+    discard(todo)
+    release(docs.sparkSession)
     place = ("id", "t", "start", "size", "before", "after")
     pieces = edges.groupBy("kind", "m", "h").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n"))
     pieces = pieces.where((F.col("kind") != EDGE) | (F.col("n") > 1)).select("kind", "m", "h", "n", "first.*")
@@ -341,7 +343,7 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW, seed: int = 0, bits: int
         .agg(F.flatten(F.collect_list(F.when(~F.col("windows"), five))).alias("paths"), F.flatten(F.collect_list(F.when(F.col("windows"), five))).alias("windows"))
     )
     found = materialize(found, "repeats")
-    discard(met, seen, firsts, todo, edges, pieces)
+    discard(met, seen, firsts, edges, pieces)
     return found
 
 
@@ -372,6 +374,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bits = widths[min(seed, len(widths) - 1)]
         docs = _coded(df, id_col, text_col, seed)
         found = repeated_windows(docs, k, seed, bits)
+        release(df.sparkSession)
         lists = found.select(F.col("id").alias(key), F.col("paths").alias(paths), F.col("windows").alias(windows))
         joined = df.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))).join(lists, key, "left")
         joined = joined.withColumn(result, _cutter(k, seed, bits)(F.col(f"`{text_col}`"), F.col(paths), F.col(windows)))
@@ -379,6 +382,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cut = joined.select(*others, *[F.col(f"{result}.{c}") for c in made], F.col(f"{result}.sound").alias(sound), F.col(f"{result}.claims").alias(claims))
         cut = materialize(cut, "cut")
         discard(found)
+        release(df.sparkSession)
         if cut.where(~F.col(sound)).isEmpty() and not _differing(docs, cut.select(F.explode(claims).alias("c")).select("c.*")):
             return cut.drop(sound, claims)
         discard(cut)
