@@ -38,7 +38,7 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 FILE_ROWS = 200_000
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` as a table into the shared folder and read it from there.
 
     ``rows``: about how many narrow rows there can be; then they are dealt anew to no more files than they
@@ -47,7 +47,7 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = fresh_dir(df.sparkSession, name)
     if rows is not None:
         df = df.repartition(max(1, -(-rows // FILE_ROWS)))
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out

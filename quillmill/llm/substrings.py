@@ -380,7 +380,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         joined = joined.withColumn(result, _cutter(k, seed, bits)(F.col(f"`{text_col}`"), F.col(paths), F.col(windows)))
         others = [F.col(f"`{c}`") for c in df.columns if c.lower() not in made]
         cut = joined.select(*others, *[F.col(f"{result}.{c}") for c in made], F.col(f"{result}.sound").alias(sound), F.col(f"{result}.claims").alias(claims))
-        cut = materialize(cut, "cut")
+        cut = materialize(cut, "cut", compression="zstd")
         discard(found)
         release(df.sparkSession)
         if cut.where(~F.col(sound)).isEmpty() and not _differing(docs, cut.select(F.explode(claims).alias("c")).select("c.*")):
