@@ -243,18 +243,18 @@ _EDGES = "id long, t long, start long, size long, kind int, m long, h long, befo
 def _paths(pieces: DataFrame) -> DataFrame:
     """``pieces`` with ``path``: where, in the source, the nonbranching path begins to which the piece belongs."""
     graph = pieces.where(F.col("kind") != BRANCH)
-    none = F.lit(None).cast("struct<id: bigint, t: bigint, at: bigint>")
-    here, end = F.struct("id", "t", F.col("start").alias("at")), F.struct("id", "t", (F.col("start") + F.col("size")).alias("at"))
-    ends = graph.select(F.col("before").alias("node"), here.alias("out"), none.alias("into")).unionByName(
+    none, end = F.lit(None).cast("long"), F.xxhash64("id", "t", F.col("start") + F.col("size"))
+    graph = graph.withColumn("place", F.xxhash64("id", "t", "start"))
+    ends = graph.select(F.col("before").alias("node"), F.col("place").alias("out"), none.alias("into")).unionByName(
         graph.select(F.col("after").alias("node"), none.alias("out"), end.alias("into"))
     )
     joints = (
-        ends.groupBy("node").agg(F.count("into").alias("ways_in"), F.count("out").alias("ways_out"), F.max("into").alias("into"), F.max("out").alias("out"))
-        .where("ways_in = 1 and ways_out = 1 and into = out").select("out.id", "out.t", F.col("out.at").alias("start"), F.lit(True).alias("joined"))
+        ends.groupBy("node").agg(F.count("into").alias("ways_in"), F.count("out").alias("ways_out"), F.max("into").alias("into"), F.max("out").alias("place"))
+        .where("ways_in = 1 and ways_out = 1 and into = place").select("place", F.lit(True).alias("joined"))
     )
     along = Window.partitionBy("id", "t").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)  # the pieces of one text
     head = F.when(F.col("joined").isNull(), F.col("start"))
-    graph = graph.join(joints, ["id", "t", "start"], "left").withColumn("path", F.last(head, ignorenulls=True).over(along)).drop("joined")
+    graph = graph.join(joints, "place", "left").withColumn("path", F.last(head, ignorenulls=True).over(along)).drop("joined", "place")
     return graph.unionByName(pieces.where(F.col("kind") == BRANCH).withColumn("path", F.col("start")))
 
 
