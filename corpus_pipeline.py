@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm import bagminhash, packing, pii, quality, substrings
 from quillmill.llm.queries import PII_KEY, public
-from quillmill.llm.shared import materialize, read
+from quillmill.llm.shared import materialize, read, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -77,4 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark)
     return docs
