@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import components
-from quillmill.llm.shared import discard, heavy_join, materialize, small_batches
+from quillmill.llm.shared import discard, heavy_join, materialize, release, small_batches
 from quillmill.llm.substrings import blocks, mix, word_hashes
 
 SHINGLE = 5
@@ -225,19 +225,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = materialize(bands.groupBy("key").agg(F.min("uid").alias("centre"), F.count("*").alias("n")).where("n > 1"), "buckets", rows)
     members = materialize(heavy_join(bands, buckets.withColumn("size", F.col("n")), ["key"], "n"), "members", p.bands * rows)
     wanted = reps.join(members.select("uid").distinct(), "uid", "left_semi").select("uid", "id", "t1", "t2")
+    release(df.sparkSession)
     items = materialize(multisets(df, id_col, text_col, wanted), "multisets")
+    release(df.sparkSession)
     # in large buckets most members are near the centre, which leaves little to compare with each other
     stars = members.where((F.col("size") > SMALL) & (F.col("uid") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("uid").alias("b"))
     pairs = materialize(stars.distinct(), "pairs", rows)
     near = materialize(similar(pairs, items, threshold), "links", rows)
+    release(df.sparkSession)
     label = components(near, rows)
     within = materialize(_within_buckets(members, label, reps, items, threshold, p, rows), "links", rows)
+    release(df.sparkSession)
     label = components(near.unionByName(within), rows)
     classes = reps.select("uid", "t1", "t2", F.col("id").alias("copy_of"), F.col("copies").alias("of_text")).join(label.withColumnRenamed("id", "uid"), "uid", "left")
     classes = materialize(classes.withColumn("c", F.coalesce("label", "uid")), "classes", rows)
     least = classes.groupBy("c").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("of_c"))
     named = materialize(heavy_join(classes, least, ["c"], "of_c").select("t1", "t2", "copy_of", "class_id", "of_text"), "classes", rows)
     discard(reps, buckets, members, items, pairs, near, within, classes)
+    release(df.sparkSession)
     linked = heavy_join(known.select("id", "h", "n", "t1", "t2"), named, ["t1", "t2"], "of_text").select("id", "h", "n", "class_id", "copy_of")
     alone = drawn.where("n = 0 or id is null").select("id", "h", "n", F.col("id").alias("class_id"), F.col("id").alias("copy_of"))
     return linked.unionByName(alone)
@@ -266,6 +271,7 @@ def _within_buckets(members: DataFrame, label: DataFrame, reps: DataFrame, items
 
     maybe = _blocks(seen, ["uid", "label", "sig", "keys", "n"]).applyInArrow(look, "key long, uid long").distinct()
     maybe = materialize(maybe.join(items.select("uid", F.octet_length("items").alias("bytes")), "uid"), "promising", p.bands * rows)
+    release(members.sparkSession)
     sizes = maybe.groupBy("key").agg(F.count("*").alias("of_key"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
     near = heavy_join(maybe.select("key", "uid"), materialize(sizes, "sizes", rows), ["key"], "of_key")
     near = near.join(label.withColumnRenamed("id", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid")).join(signed, "uid").join(items, "uid")

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.shared import discard, heavy_join, materialize
+from quillmill.llm.shared import discard, heavy_join, materialize, release
 
 
 def _forest(batches):
@@ -41,6 +41,7 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     thin = materialize(once.mapInArrow(_forest, "a long, b long"), "edges", rows)
     both = materialize(thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", rows)
     discard(once, thin)
+    release(edges.sparkSession)
     # both directions are there: as many rows have an id as their a as have it as their b
     stars = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("n"))
     label = materialize(stars.withColumnRenamed("a", "id"), "labels", rows)
@@ -53,6 +54,7 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         new = heavy_join(least, jump, ["label"], "of_label", ids).select("id", "n", F.least("label", "further").alias("label"), "was")
         new = materialize(new, "labels", rows)
         discard(label, least)
+        release(edges.sparkSession)
         if new.where("label != was").isEmpty():
             discard(both)
             return new.select("id", "label")

@@ -62,7 +62,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Give back the shuffle files of finished jobs, whose tables are written: Spark deletes them once the driver's collector has run."""
+    """Give back what finished jobs, whose tables are written, have left: Spark deletes their shuffle files and broadcasts once
+    the driver's collector has run, and it runs late: old plans fill the heap first. Operators of many jobs call this between them."""
     spark._jvm.System.gc()
 
 
