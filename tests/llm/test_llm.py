@@ -622,6 +622,31 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in range(100, 120)}, 49: 49, 50: 49}
 
 
+@pytest.mark.parametrize("one_task", [0, components.ONE_TASK])
+def test_components_by_rounds_or_in_one_task(spark, one_task):
+    draw = random.Random(5)
+    edges = [(i, i + 1) for i in range(300)] + [tuple(draw.sample(range(1000, 1900), 2)) for _ in range(450)] + [(7, 7), (1, 0), (-5, 2000), (2000, -9)]
+    least = {x: x for e in edges for x in e}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {r["id"]: r["label"] for r in components.components(table, one_task=one_task).collect()} == least
+    assert components.components(table.where("a is null"), one_task=one_task).count() == 0
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    # each job leaves plans and code on the driver
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        got = components.components(edges, 300)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.count() == 301
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 8
+
+
 # ---- repeated windows
 
 
