@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from quillmill import runs
-from quillmill.operators import review
+from quillmill.operators import names, review
 from quillmill.sources import sinks, tables
 
 
@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--workers", type=int, default=0, help="cores of a local session; a cluster has its own")
     p.add_argument("--sidecar")
+    p.add_argument("--patterns-only", action="store_true", help="without the tagger of names and places")
     p = sub.add_parser("second-pass", help="replace what an assessment found risky")
     p.add_argument("--output", required=True)
     p.add_argument("--blocklist")
@@ -30,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--decisions", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--reviewer", default="")
+    p.add_argument("--patterns-only", action="store_true", help="without the tagger of names and places")
     p = sub.add_parser("review-pii", help="show the flags of a run")
     p.add_argument("--log", required=True)
     p.add_argument("--csv")
@@ -49,12 +51,13 @@ def main(argv: list[str] | None = None) -> int:
     if getattr(args, "workers", 0):
         builder = builder.master(f"local[{args.workers}]")
     spark = builder.getOrCreate()
+    adapter = None if getattr(args, "patterns_only", True) else names.tagger(spark)
     if args.command == "process":
         for path in filter(None, (args.input, args.sidecar)):
             if not tables.exists(spark, path):
                 print(f"not found: {path}", file=sys.stderr)
                 return 1
-        results = runs.process_folder(spark, args.input, args.output, args.dry_run, args.sidecar)
+        results = runs.process_folder(spark, args.input, args.output, args.dry_run, args.sidecar, adapter)
         sinks.show(sinks.result_lines(results, args.dry_run))
     elif args.command == "second-pass":
         if not tables.exists(spark, f"{args.output}/risk/assessments"):
@@ -64,7 +67,7 @@ def main(argv: list[str] | None = None) -> int:
         if not args.quiet:
             stats.show(truncate=False)
     elif args.command == "apply-decisions":
-        runs.apply_decisions(spark, args.output, args.decisions, args.reviewer).show(truncate=False)
+        runs.apply_decisions(spark, args.output, args.decisions, args.reviewer, adapter).show(truncate=False)
     elif args.command == "review-pii":
         log = review.numbered(review.matching(tables.review_log(spark, args.log), args.file, args.type), "file", "original_text", "context")
         if args.csv:

@@ -87,6 +87,12 @@ def segmented(text: Column, size: int = SEGMENT, find=found) -> Column:
     return F.when(F.length(text) > size, slices).otherwise(find(text))
 
 
+def beside(found: Column, tagged: Column) -> Column:
+    """``found`` and those of ``tagged`` that overlap no span of their type in it."""
+    apart = lambda t: ~F.exists(found, lambda e: (e["entity_type"] == t["entity_type"]) & (e["start"] < t["end"]) & (t["start"] < e["end"]))
+    return F.concat(found, F.filter(tagged, apart))
+
+
 def tier(score: Column) -> Column:
     return F.when(score >= HIGH, "high").when(score >= LOW, "medium")
 

@@ -25,12 +25,18 @@ def cleaned(docs: DataFrame, text_col: str = "raw") -> DataFrame:
 
 
 def detected(docs: DataFrame, adapter: Callable | None = None) -> DataFrame:
-    """``spans`` of the documents whose type is stripped. ``adapter``: a Column function that adds spans, such as a model's."""
-    found = spans.segmented(F.col("clean"))
-    if adapter:
-        found = F.concat(found, adapter(F.col("clean")))
+    """``spans`` of the documents whose type is stripped.
+
+    ``adapter``: a Column function from a text to further spans, such as :func:`quillmill.operators.names.tagger`; those that overlap
+    a span of their own type found by pattern go.
+    """
+    stripped = F.col("doc_type").isin(*STRIPPED)
     empty = F.expr(f"cast(array() as {spans.TYPE})")
-    return once(docs, spans=F.when(F.col("doc_type").isin(*STRIPPED), found).otherwise(empty))
+    if not adapter:
+        return once(docs, spans=F.when(stripped, spans.segmented(F.col("clean"))).otherwise(empty))
+    docs = docs.withColumn("__tagged", F.coalesce(adapter(F.when(stripped, F.col("clean"))), empty))
+    out = once(docs, __found=F.when(stripped, spans.segmented(F.col("clean"))).otherwise(empty))
+    return once(out, spans=spans.beside(F.col("__found"), F.col("__tagged"))).drop("__found", "__tagged")
 
 
 def redacted(docs: DataFrame, excluded_col: str | None = None, mode: str = "finetune") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import caselaw, chunks, classify, dates, naming, spans, text
 from quillmill.functions import targets as T
-from quillmill.operators import dedup, process, provenance, review, risk, second_pass
+from quillmill.operators import dedup, names as name_tagger, process, provenance, review, risk, second_pass
 from quillmill.plans import review_tables as R
 from quillmill.plans import sql as S
 from quillmill.plans.corpus import corpus, documents
@@ -213,6 +213,21 @@ def pii_spans(spark, d):
     return rows.select("doc_id", "e.entity_type", "e.start", F.col("e.end").alias("stop"), "e.score", F.col("e.text").alias("found"))
 
 
+@query()
+def name_spans(spark, d):
+    """Persons and places by the tagger, which SQL cannot express; its decoder is tested against enumeration."""
+    tag = name_tagger.tagger(spark)
+    rows = process.cleaned(corpus(spark, d)).select("doc_id", F.explode(tag(F.col("clean"))).alias("e"))
+    return rows.select("doc_id", "e.entity_type", "e.start", F.col("e.end").alias("stop"), "e.score", F.col("e.text").alias("found"))
+
+
+@query()
+def names_replaced(spark, d):
+    """Records whose untitled names are replaced as well."""
+    done = process.redacted(process.detected(process.cleaned(_classified(spark, d)), name_tagger.tagger(spark)))
+    return done.where(F.col("doc_type").isin(*process.FINETUNE)).select("doc_id", F.md5("text").alias("text_md5"), F.col("substitutions").cast("long").alias("substitutions"))
+
+
 @query(f"{S.SPANS} SELECT e.entity_type AS entity_type, CASE WHEN e.score >= 0.85 THEN 'high' WHEN e.score >= 0.5 THEN 'medium' END AS tier, count(*) AS n FROM (SELECT {_UNNEST} FROM detected) GROUP BY ALL")
 def score_tiers(spark, d):
     rows = _detected(spark, d).select(F.explode("spans").alias("e"))

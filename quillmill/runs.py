@@ -21,20 +21,21 @@ def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
-def process_folder(spark: SparkSession, source: str, output: str, dry_run: bool = False, sidecar: str | None = None, **readers) -> DataFrame:
+def process_folder(spark: SparkSession, source: str, output: str, dry_run: bool = False, sidecar: str | None = None, adapter=None, **readers) -> DataFrame:
     """The results of all files, the skipped ones too; unless ``dry_run``, everything is written to ``output``.
 
     ``readers``: adapters for PDF, Outlook mail and scans as :func:`quillmill.sources.files.read` takes them.
+    ``adapter``: further spans, as :func:`quillmill.operators.process.detected` takes them.
     Bytes are read twice: once for the hashes, which are kept, and once for the texts of the best versions.
     """
     found = files.scan(spark, source)
     hashes = written(found.drop("content"), "hashes")
     best = dedup.best_versions(hashes).select("path")
     docs = files.read(found.join(best, "path", "left_semi"), **readers).withColumn("doc_id", F.xxhash64("path"))
-    done = process.processed(docs.where("not skipped"))
+    done = process.processed(docs.where("not skipped"), adapter)
     if not dry_run:
         docs = written(docs, "texts")
-        done = written(process.processed(docs.where("not skipped")), "processed")
+        done = written(process.processed(docs.where("not skipped"), adapter), "processed")
     results = process.results(done).unionByName(process.skipped_results(docs.where("skipped")))
     if dry_run:
         return results
@@ -52,7 +53,7 @@ def process_folder(spark: SparkSession, source: str, output: str, dry_run: bool
     return results
 
 
-def apply_decisions(spark: SparkSession, output: str, decisions: str, reviewer: str = "", **readers) -> DataFrame:
+def apply_decisions(spark: SparkSession, output: str, decisions: str, reviewer: str = "", adapter=None, **readers) -> DataFrame:
     """Archive the decisions, process the files with restored texts again, and put an entry into the audit; returns that entry."""
     stamp = now()
     rows = written(tables.decisions(spark, decisions), "decisions")
@@ -63,7 +64,7 @@ def apply_decisions(spark: SparkSession, output: str, decisions: str, reviewer:
     paths = [r["path"] for r in again.collect()]  # what one review restored
     if paths:
         docs = files.read(files.scan(spark, paths), **readers).withColumn("doc_id", F.xxhash64("path")).where("not skipped")
-        rows_again = process.detected(process.cleaned(process.classified(docs))).join(excluded.withColumnRenamed("file", "filename"), "filename")
+        rows_again = process.detected(process.cleaned(process.classified(docs)), adapter).join(excluded.withColumnRenamed("file", "filename"), "filename")
         done = written(process.chunked(process.redacted(rows_again, excluded_col="excluded")), "again")
         new = process.finetune_records(done).select(F.col("metadata.source").alias("source"), "text", "metadata")
         old = tables.finetune(spark, f"{output}/finetune").drop("file")
