@@ -65,12 +65,12 @@ def _folds() -> tuple[str, str]:
     return "".join(odd) + "\u0307", "".join(c.upper().lower() for c in odd)
 
 
-_FROM, _TO = _folds()
+FOLDED_FROM, FOLDED_TO = _folds()
 
 
 def words(text: Column) -> Column:
     """Runs of word characters in one form for all cases, so that words that :func:`pattern` takes as equal are equal."""
-    return F.regexp_extract_all(F.translate(F.lower(text), _FROM, _TO), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.lower(text), FOLDED_FROM, FOLDED_TO), F.lit(r"(?U)\w+"), F.lit(0))
 
 
 def quoted(token: Column) -> Column:

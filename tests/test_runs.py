@@ -2,14 +2,19 @@
 
 import json
 import random
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmill import __main__ as commands
 from quillmill import runs, service
 from quillmill.functions import register, spans
 from quillmill.functions import targets as T
+from quillmill.functions.automaton import Automaton
 from quillmill.operators import second_pass
 from quillmill.sources import tables
 from quillmill.sources.shared import ordinal, spread
@@ -61,17 +66,21 @@ def test_a_run_its_review_and_its_second_pass(spark, case, tmp_path, capsys):
     assert audit["terms_applied"] == 1 and audit["files_patched"] == ["finetune"]
 
 
-def test_many_targets_give_what_few_give_one_by_one(spark, monkeypatch):
+@pytest.mark.parametrize("tokens", [["[PERSON]", "[REDACTED]", "$1 \\\\ x"], ["[PERSON]", "net", "<x", "Ann-"]])
+def test_targets_that_matter_give_what_all_give_one_by_one(spark, monkeypatch, tokens):
     rnd = random.Random(4)
     words = ["Ann", "bob", "COST", "straße", "STRASSE", "person", "net", "x-y", "$5", "(net)", "[PERSON]", "redacted", "Ķīna", "naïve", "ſet", "a_b", "12"]
     phrase = lambda n: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, n)))
     values = sorted({phrase(3) for _ in range(60)}, key=lambda v: (-len(v), v))
-    found = spark.createDataFrame([(v, rnd.choice(["[PERSON]", "[REDACTED]", "$1 \\\\ x"]), i) for i, v in enumerate(values, 1)], "value string, token string, place int")
+    found = spark.createDataFrame([(v, rnd.choice(tokens), i) for i, v in enumerate(values, 1)], "value string, token string, place int")
     texts = [phrase(12).upper() if i % 3 else phrase(12) for i in range(80)] + [None, ""]
     records = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "line_no int, text string")
-    few = sorted(tuple(r) for r in second_pass.applied(records, found).collect())
+    listed = found.select(F.array_sort(F.collect_list(F.struct("place", T.pattern(F.col("value")).alias("p"), T.quoted(F.col("token")).alias("t"))).over(Window.partitionBy(F.lit(1)))).alias("all")).limit(1)
+    a = T.applied(F.coalesce("text", F.lit("")), F.col("all"))
+    few = sorted(tuple(r) for r in records.join(F.broadcast(listed), F.lit(True)).select("line_no", a["text"], a["n"]).collect())
+    assert sorted(tuple(r) for r in second_pass.applied(records, found).collect()) == few
     seen = sorted(tuple(r) for r in second_pass.preview(records, found).collect())
-    monkeypatch.setattr(second_pass, "LITERAL", 0)
+    monkeypatch.setattr(second_pass, "PART_BYTES", 2500)
     assert sorted(tuple(r) for r in second_pass.applied(records, found).collect()) == few
     assert sorted(tuple(r) for r in second_pass.preview(records, found).collect()) == seen
     assert sum(n for *_, n in few) > 100
@@ -83,6 +92,25 @@ def test_fifty_thousand_targets(spark):
     assert {(r["text"], r["substitutions"]) for r in second_pass.applied(records, found).collect()} == {("[PERSON] met [PERSON], not name50000", 2), ("nobody", 0)}
 
 
+def test_a_hundred_thousand_targets_in_one_automaton(spark):
+    found = spark.range(100_000).select(F.concat(F.lit("Case "), (F.col("id") % 997).cast("string"), F.lit(" of name"), "id").alias("value"), F.lit("[CASE_NO]").alias("token"), (F.col("id") + 1).cast("int").alias("place"))
+    texts = [f"see CASE {i % 997} of name{i}, case {i % 997} of name{i}x, case of name{i}. " for i in range(0, 100_000, 5000)]
+    records = spark.createDataFrame([(t * 20,) for t in texts], "text string")
+    got = second_pass.applied(records, found).collect()
+    assert len(got) == len(texts) and all(r["substitutions"] == 20 and r["text"].count("[CASE_NO]") == 20 for r in got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab -[]é", min_size=1, max_size=6), min_size=1, max_size=12), st.text("ab -[]éA", max_size=30))
+def test_the_automaton_finds_what_each_pattern_finds(phrases, text):
+    want = set()
+    for k, v in enumerate(phrases):
+        left, right = (r"\b" if re.match(r"\w", c) else "" for c in (v[0], v[-1]))
+        if re.search(left + re.escape(v) + right, text, re.IGNORECASE):
+            want.add(k)
+    assert want == Automaton(phrases).find(text)
+
+
 def test_numbers_follow_the_order(spark):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("x"), F.lit("k").alias("k")).repartition(7)
     got = ordinal(rows, "n", F.desc("x"), "k").collect()
