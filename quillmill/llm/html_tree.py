@@ -35,7 +35,12 @@ TAGS = ["html", "body", "div", "section", "p", "h1", "h2", "h3", "h4", "h5", "h6
         "footer", "aside", "form", "button", "select", "option", "label", "figure", "figcaption", "blockquote", "pre", "dl", "dt", "dd", "span", "a", "head", "other"]
 TAG = {t: k for k, t in enumerate(TAGS)}
 
-_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_OTHER = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+_NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
+#: A comment, a declaration, or a tag: to the first ``>`` outside of quotes, or to the first at all where quotes do not close.
+_MARK = re.compile(rf"""{_OTHER}|{_NAME}(?:((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<open>[^>]*+)>)""", re.S)
+_DECLARED = re.compile(r"<[!?]")
+_LOOSE = re.compile(rf"{_OTHER}|{_NAME}(?P<open>[^>]*+)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _masks: dict[tuple[str, str], int] = {}
@@ -75,9 +80,13 @@ class Page:
         open_: list[tuple[str, int]] = [("html", 0)]  # elements with the node that holds their text
         links = 0
         at, find, n = 0, _MARK.search, len(source)
+        last = source.rfind(">") + 1  # no tag ends beyond
+        unclosed: set[str] = set()
         runs = self.runs
         while at < n:
-            m = find(source, at)
+            m = find(source, at, last)
+            if not m and (rest := _DECLARED.search(source, max(at, last))):
+                n = rest.start()
             stop = m.start() if m else n
             if stop > at:
                 text = html.unescape(source[at:stop])
@@ -90,9 +99,15 @@ class Page:
             if not m:
                 break
             at = m.end()
-            end, tag, attributes = m.group(1), m.group(2), m.group(3)
+            end, tag, attributes = m.group(1), m.group(2), m.group("open")
             if not tag:
+                if m.group().startswith("<!--") and not m.group().endswith("-->"):
+                    break
                 continue
+            if attributes is None:
+                attributes = m.group(3)
+            else:  # from here on, quotes do not hide the end of a tag
+                find = _LOOSE.search
             tag = tag.lower()
             if end:
                 links = self._close(tag, open_, links)
@@ -100,7 +115,9 @@ class Page:
             if tag in RAW:
                 # a slash before the end closes elements of drawings and formulas only
                 if not (tag in FOREIGN and attributes.endswith("/")):
-                    close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                    close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                    if not close:
+                        unclosed.add(tag)
                     at = close.end() if close else n if tag in TO_THE_END else at
                 continue
             if tag == "br":
