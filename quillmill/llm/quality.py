@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quillmill.llm.shared import materialize, small_batches
+from quillmill.llm.shared import free_name, materialize, small_batches
 
 #: Labelled documents used for the fit at most: those with the smallest hash of their id.
 SAMPLE = 20_000
 #: Site statistics are broadcast up to so many rows (names are cut to hashes, so a row is 64 bytes); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 SALTS = 32
+OWN = ("__host", "__path", "__logit", "__p", "__n", "__s", "__hm", "__salt")
 FEATURES = ("pipes", "symbols", "shouts", "upper_words", "repeats", "variety", "word_length", "repeated_lines", "letters", "digits", "log_words")
 
 
@@ -160,6 +161,10 @@ def quality(
     """
     small_batches(df.sparkSession)
     model = fit(df, labels, id_col, text_col, label_col, sample)
+    # names of our own give way, and come back
+    kept = {c: free_name(df, f"kept_{i}") for i, c in enumerate(df.columns) if c.lower() in OWN}
+    df = df.withColumnsRenamed(kept)
+    id_col, text_col, host_col, path_col = (kept.get(c, c) for c in (id_col, text_col, host_col, path_col))
     path = F.col(path_col) if path_col else F.lit("")
     keyed = df.withColumn("__host", F.xxhash64(F.col(host_col))).withColumn("__path", F.xxhash64(F.col(host_col), path))
     keyed = keyed.withColumn("__logit", F.round(_logit(model, F.col(text_col)), 9))
@@ -182,5 +187,5 @@ def quality(
         .withColumn("q_path", F.round(site_mean, 9))
         .withColumn("q_posterior", F.round(F.when(empty, 0.0).otherwise(1 / (1 + F.exp(-odds))), 9))
         .withColumn("q_keep", F.col("q_posterior") >= threshold)
-        .drop("__host", "__path", "__logit", "__p", "__n", "__s", "__hm")
+        .drop(*OWN).withColumnsRenamed({v: k for k, v in kept.items()})
     )
