@@ -24,17 +24,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates one document stays, that with the least id.
 
-    A row goes by its id and its text, so rows of one id with other texts are judged by their own; of equal rows
-    one stays. Rows without an id or without words are no copies and stay. Only the columns of ``documents`` do.
+    A row goes by its id and its text, so rows of one id with other texts are judged by their own, also where that id is
+    the least of several classes; of equal rows one stays. Rows without an id or without words are no copies and stay. Only the columns
+    of ``documents`` do.
     """
     rows = bagminhash.near_duplicates(docs).where("n > 0 and id is not null")
-    each = rows.groupBy(F.col("id").alias("doc_id"), F.col("h").alias("__h")).agg(F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
-    each = materialize(each, "classes")
-    first = each.where("doc_id = class_id").groupBy("doc_id").agg(F.min("__h").alias("__h"))
+    stays = (F.col("id") == F.col("class_id")) & (F.col("h") == F.col("class_h"))
+    each = rows.groupBy(F.col("id").alias("doc_id"), F.col("h").alias("__h")).agg(F.first(stays).alias("stays"), F.count("*").alias("rows"))
+    each = materialize(each.where("not stays or rows > 1"), "classes")
     key = ["doc_id", "__h"]
-    gone = materialize(each.select(*key).join(first, key, "left_anti"), "gone")
-    kept = docs.withColumn("__h", F.xxhash64("text")).select(*COLUMNS, "__h").join(gone, key, "left_anti")
-    twice = materialize(each.where("rows > 1").join(first, key, "left_semi").select(*key), "twice", 1)
+    kept = docs.withColumn("__h", F.xxhash64("text")).select(*COLUMNS, "__h").join(each.where("not stays").select(*key), key, "left_anti")
+    twice = each.where("stays").select(*key)
     if not twice.isEmpty():
         one = kept.join(twice, key, "left_semi").dropDuplicates(key)
         kept = kept.join(twice, key, "left_anti").unionByName(one)

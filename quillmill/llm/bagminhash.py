@@ -206,7 +206,11 @@ def similar(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``df``: ``id, h`` (xxhash64 of its text), ``n`` words, ``class_id`` (least id of its class), ``copy_of`` (least id with the same words).
+    """One row per row of ``df``: ``id, h`` (xxhash64 of its text), ``n`` words, ``class_id`` (least id of its class), ``copy_of`` (least id with the same words),
+    ``class_h`` (least hash of a text that the least id has in the class).
+
+    Where several texts have one id, classes can have the same least id; ``class_id`` and ``class_h`` together name a class, and
+    the row of that id and hash represents it.
 
     Texts of fewer than five words are one shingle. Null and empty texts are classes of their own, and so
     are rows without an id, whose class is null; of rows of one id, each goes by its own text. Further columns
@@ -218,7 +222,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drawn = materialize(sketch(df, id_col, text_col, p).withColumn("uid", F.monotonically_increasing_id()), "sketches")
     rows = drawn.count()
     known = drawn.where("n > 0 and id is not null")
-    least = F.min(F.struct("id", "uid")).alias("first")
+    least = F.min(F.struct("id", "h", "uid")).alias("first")
     reps = known.groupBy("t1", "t2").agg(least, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     reps = materialize(reps.select("first.*", "t1", "t2", "n", "keys", "sig", "copies"), "texts", rows)
     bands = reps.select("uid", F.explode("keys").alias("key"))
@@ -237,14 +241,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     within = materialize(_within_buckets(members, label, reps, items, threshold, p, rows), "links", rows)
     release(df.sparkSession)
     label = components(near.unionByName(within), rows)
-    classes = reps.select("uid", "t1", "t2", F.col("id").alias("copy_of"), F.col("copies").alias("of_text")).join(label.withColumnRenamed("id", "uid"), "uid", "left")
+    classes = reps.select("uid", "t1", "t2", F.col("id").alias("copy_of"), "h", F.col("copies").alias("of_text")).join(label.withColumnRenamed("id", "uid"), "uid", "left")
     classes = materialize(classes.withColumn("c", F.coalesce("label", "uid")), "classes", rows)
-    least = classes.groupBy("c").agg(F.min("copy_of").alias("class_id"), F.count("*").alias("of_c"))
-    named = materialize(heavy_join(classes, least, ["c"], "of_c").select("t1", "t2", "copy_of", "class_id", "of_text"), "classes", rows)
+    least = classes.groupBy("c").agg(F.min(F.struct("copy_of", "h")).alias("least"), F.count("*").alias("of_c"))
+    least = least.select("c", F.col("least.copy_of").alias("class_id"), F.col("least.h").alias("class_h"), "of_c")
+    named = materialize(heavy_join(classes, least, ["c"], "of_c").select("t1", "t2", "copy_of", "class_id", "class_h", "of_text"), "classes", rows)
     discard(reps, buckets, members, items, pairs, near, within, classes)
     release(df.sparkSession)
-    linked = heavy_join(known.select("id", "h", "n", "t1", "t2"), named, ["t1", "t2"], "of_text").select("id", "h", "n", "class_id", "copy_of")
-    alone = drawn.where("n = 0 or id is null").select("id", "h", "n", F.col("id").alias("class_id"), F.col("id").alias("copy_of"))
+    linked = heavy_join(known.select("id", "h", "n", "t1", "t2"), named, ["t1", "t2"], "of_text").select("id", "h", "n", "class_id", "copy_of", "class_h")
+    alone = drawn.where("n = 0 or id is null").select("id", "h", "n", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.col("h").alias("class_h"))
     return linked.unionByName(alone)
 
 
