@@ -45,6 +45,66 @@ def parse(text: Column) -> Column:
     return out
 
 
+_NAMES = MONTHS.lower().split("|")
+#: Two digits up to this are years of the 2000s.
+PIVOT = 68
+
+
+def fuzzy(text: Column) -> Column:
+    """The date that stands in loose wording, or null.
+
+    Words and numbers go through one fold that keeps the month, the day, the year and the numbers not yet placed: names of months and their
+    beginnings of three letters or more, days with an ordinal's ending, years of four digits, of two behind an apostrophe or in the last
+    place, eight digits at once; everything else is noise, and so are times. Of numbers alone the first is the month unless it cannot be
+    one or the year stands in front. A missing day is the first; where the month or the year is missing, or two of a kind stand there, there is no date.
+    """
+    plain = F.regexp_replace(F.lower(text), r"\d{1,2}:\d{2}(?::\d{2})?(?:\s?[ap]\.?m\b\.?)?", " ")
+    tokens = F.regexp_extract_all(plain, F.lit(r"[a-z]+|\d+|['’]"), F.lit(0))
+    names = F.array(*[F.lit(n[:3]) for n in _NAMES])
+    full = F.array(*map(F.lit, _NAMES))
+    start = F.expr("named_struct('m', cast(null as int), 'd', cast(null as int), 'y', cast(null as int), 'nums', cast(array() as array<int>), 'lead', false, 'before', '', 'bad', false)")
+
+    def state(a, before, **new):
+        fields = {c: a[c] for c in ("m", "d", "y", "nums", "lead", "bad")} | new
+        order = ("m", "d", "y", "nums", "lead")
+        return F.struct(*[fields[c].alias(c) for c in order], before.alias("before"), fields["bad"].alias("bad"))
+
+    def step(a: Column, t: Column) -> Column:
+        number = F.try_to_number(t, F.lit("99999999")).cast("int")
+        digits = F.when(t.rlike("^[0-9]"), F.length(t)).otherwise(0)
+        place = F.array_position(names, F.substring(t, 1, 3)).cast("int")
+        month = (F.length(t) >= 3) & (place > 0) & (F.startswith(F.get(full, place - 1), t) | (t == "sept"))
+        last = F.element_at(F.concat(F.array(F.lit(0)), a["nums"]), -1)
+        ordinal = t.isin("st", "nd", "rd", "th") & a["before"].rlike("^[0-9]{1,2}$")
+        short = F.when(number <= PIVOT, number + 2000).otherwise(number + 1900)
+        return (
+            F.when(month, state(a, t, m=place, bad=a["bad"] | a["m"].isNotNull()))
+            .when(ordinal, state(a, t, d=last, nums=F.slice(a["nums"], F.lit(1), F.greatest(F.size(a["nums"]) - 1, F.lit(0))), bad=a["bad"] | a["d"].isNotNull()))
+            .when(digits == 4, state(a, t, y=number, lead=F.size(a["nums"]) == 0, bad=a["bad"] | a["y"].isNotNull()))
+            .when(digits == 8, state(a, t, y=F.floor(number / 10000).cast("int"), m=(F.floor(number / 100) % 100).cast("int"), d=number % 100, bad=a["bad"] | a["y"].isNotNull()))
+            .when((digits == 2) & a["before"].isin("'", "’"), state(a, t, y=short, bad=a["bad"] | a["y"].isNotNull()))
+            .when(digits.isin(1, 2), state(a, t, nums=F.concat(a["nums"], F.array(number))))
+            .otherwise(state(a, t))
+        )
+
+    def made(a: Column) -> Column:
+        n = F.size(a["nums"])
+        one, two, three = (F.get(a["nums"], F.lit(i)) for i in range(3))
+        short = lambda x: F.when(x <= PIVOT, x + 2000).otherwise(x + 1900)
+        turned = ~a["lead"] & (one > 12)
+        by_name = F.struct(a["m"].alias("m"), F.coalesce(a["d"], F.when(n > 0, one), F.lit(1)).alias("d"), F.coalesce(a["y"], short(F.when(a["d"].isNull(), two).otherwise(one))).alias("y"))
+        by_number = F.struct(
+            F.when(turned & (n >= 2), two).otherwise(one).alias("m"), F.coalesce(a["d"], F.when(turned, one).otherwise(two), F.lit(1)).alias("d"),
+            F.coalesce(a["y"], short(F.when(n == 3, three))).alias("y"),
+        )
+        left = n - F.when(a["m"].isNotNull(), a["d"].isNull().cast("int") + a["y"].isNull().cast("int")).otherwise(F.when(a["y"].isNull(), 3).otherwise(2))
+        x = F.when(a["m"].isNotNull(), by_name).otherwise(by_number)
+        at = _let(x, lambda x: F.try_to_timestamp(F.format_string("%04d-%02d-%02d", x["y"], x["m"], x["d"]), F.lit("yyyy-MM-dd")).cast("date"))
+        return F.when(~a["bad"] & (left <= 0), at)
+
+    return F.aggregate(tokens, start, step, made)
+
+
 def write(style: Column, day: Column, original: Column) -> Column:
     """A date in a style; dots, and zeros in front of slashed numbers, as in the original."""
     fmt = lambda f: F.date_format(day, f)
@@ -64,7 +124,17 @@ def write(style: Column, day: Column, original: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shift(text: Column, days: Column) -> Column:
-    """The text's date that many days later in its own style; a text without a date as it is."""
-    day = F.date_add(parse(text), days)
-    return F.when(day.isNull(), text).otherwise(write(style_of(text), day, text))
+    """The text's date that many days later; a text without a date as it is.
+
+    It is written in the first style that fits, in loose wording as an ISO date. What is no style's by itself is parsed as loose wording
+    first, so a day in front of a month and its year counts.
+    """
+    whole = "|".join(p.replace("(?i)", "") for p, _ in STYLES.values())
+    day = F.when(text.rlike(f"(?i)^(?:{whole})$"), parse(text)).otherwise(F.coalesce(fuzzy(text), parse(text)))
+    return _let(F.date_add(day, days), lambda d: F.when(d.isNull(), text).otherwise(write(style_of(text), d, text)))

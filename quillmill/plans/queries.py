@@ -295,6 +295,36 @@ def date_shift(spark, d):
     return rows.select("doc_id", "found", dates.shift(F.col("found"), F.lit(200)).alias("shifted"))
 
 
+#: Loose wordings: (format of Spark, format of DuckDB, with {o} for the day and its ordinal's ending).
+LOOSE = (
+    ("EEEE, MMMM d, yyyy", "%A, %B %-d, %Y"), ("'the '{o}' of 'MMMM, yyyy", "the {o} of %B, %Y"), ("MMMM {o}, yyyy", "%B {o}, %Y"), ("d-MMM-yyyy", "%-d-%b-%Y"), ("d MMM yy", "%-d %b %y"),
+    ("M/d/yy", "%-m/%-d/%y"), ("yyyy/MM/dd", "%Y/%m/%d"), ("yyyyMMdd", "%Y%m%d"), ("M.d.yyyy", "%-m.%-d.%Y"), ("'on or about 'MMM {o} yyyy' at 10:30 a.m.'", "on or about %b {o} %Y at 10:30 a.m."),
+    ("'dated this '{o}' day of 'MMMM yyyy", "dated this {o} day of %B %Y"), ("EEE d MMMM, yyyy' (noon)'", "%a %-d %B, %Y (noon)"), ("MMMM d ''yy", "%B %-d '%y"), ("'filed: 'yyyy, MMMM d", "filed: %Y, %B %-d"),
+)
+
+
+def _loose_sql() -> str:
+    ending = "CASE WHEN day(d) IN (11, 12, 13) THEN 'th' WHEN day(d) % 10 = 1 THEN 'st' WHEN day(d) % 10 = 2 THEN 'nd' WHEN day(d) % 10 = 3 THEN 'rd' ELSE 'th' END"
+    each = " UNION ALL ".join(f"SELECT doc_id, {k} AS form, replace(strftime(d, {S.q(f)}), '{{o}}', day(d) || {ending}) AS found, d FROM days" for k, (_, f) in enumerate(LOOSE))
+    months = "SELECT doc_id, -1 AS form, strftime(d, '%B, ''%y') AS found, date_trunc('month', d) AS d FROM days UNION ALL SELECT doc_id, -2, left(coalesce(text, ''), 0) || 'no date, room ' || (doc_id % 90), NULL FROM days"
+    return f"""WITH days AS (SELECT doc_id, text, DATE '2005-01-15' + CAST(doc_id * 37 % 9000 AS INT) AS d FROM documents), forms AS ({each} UNION ALL {months})
+SELECT doc_id, form, found, CAST(d AS DATE) AS day, CASE WHEN d IS NULL THEN found WHEN form = 0 THEN strftime(d + to_days(200), '%B %-d, %Y') WHEN form = 10 THEN strftime(d + to_days(200), '%B %Y') ELSE strftime(d + to_days(200), '%Y-%m-%d') END AS shifted FROM forms WHERE form >= 0 OR form = -2
+UNION ALL SELECT doc_id, form, found, CAST(d AS DATE), strftime(d + to_days(200), '%Y-%m-%d') FROM forms WHERE form = -1"""
+
+
+@query(_loose_sql())
+def loose_dates(spark, d):
+    """Dates of all documents in loose wordings, parsed by the grammar and moved."""
+    day = F.date_add(F.lit("2005-01-15").cast("date"), (F.col("doc_id") * 37 % 9000).cast("int"))
+    n = F.dayofmonth("d")
+    ending = F.when(n.isin(11, 12, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
+    forms = [F.struct(F.lit(k).alias("form"), F.replace(F.date_format("d", f.replace("{o}", "'{o}'").replace("''{o}''", "{o}")), F.lit("{o}"), F.concat(n.cast("string"), ending)).alias("found")) for k, (f, _) in enumerate(LOOSE)]
+    forms.append(F.struct(F.lit(-1).alias("form"), F.date_format("d", "MMMM, ''yy").alias("found")))
+    forms.append(F.struct(F.lit(-2).alias("form"), F.concat(F.lit("no date, room "), (F.col("doc_id") % 90).cast("string")).alias("found")))
+    rows = documents(spark, d).withColumn("d", day).select("doc_id", F.inline(F.array(*forms)))
+    return rows.select("doc_id", "form", "found", dates.fuzzy(F.col("found")).alias("day"), dates.shift(F.col("found"), F.lit(200)).alias("shifted"))
+
+
 _FLAGS = """flags AS (SELECT doc_id, i - 1 AS pos, filename AS file, e.entity_type AS entity_type, e.text AS original_text, round_even(e.score, 3) AS confidence,
  substr(clean, greatest(e.start - 60, 0) + 1, least(e."end" + 60, len(clean)) - greatest(e.start - 60, 0)) AS context, 'redacted_pending_review' AS action
  FROM (SELECT doc_id, filename, clean, unnest(m) AS e, unnest(range(1, len(m) + 1)) AS i FROM (SELECT *, list_filter(spans, lambda x: x.score >= 0.5 AND x.score < 0.85) AS m FROM detected))),
