@@ -1,7 +1,7 @@
 """Persons and places that no title announces: a sequence tagger fitted here, as an adapter of the detection.
 
 It is fitted by a distributed fold: lines are dealt to shards, each shard makes one pass of a structured perceptron from
-the same weights, the shards' changes are added up by Spark, and the next pass starts from the sum. The weights kept are the average
+the same weights, the shards' changes are added up by Spark, and the next pass starts from their mean. The weights kept are the average
 over all passes. Everything is whole numbers and the shards are fixed, so one set of lines gives one model.
 """
 
