@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.shared import fresh_dir, small_batches, text_bytes
+from quillmill.llm.shared import fresh_dir, small_batches
 from quillmill.llm.tokens import tokenizer
 
 MAGIC = b"QMREC1"
@@ -92,12 +92,16 @@ def _open(uri: str):
 
 
 def _put(uri: str, data: bytes) -> None:
-    """Whole or not at all: an attempt writes a name of its own, then moves it into place."""
+    """Whole or not at all: an attempt writes a name of its own, then moves it into place, over what an earlier attempt left there."""
     files, path = _open(uri)
     own = f"{path}.{uuid.uuid4().hex}.tmp"
     with files.open_output_stream(own) as out:
         out.write(data)
-    files.move(own, path)
+    try:
+        files.move(own, path)
+    except OSError:  # some stores do not move onto a file that exists
+        files.delete_file(path)
+        files.move(own, path)
 
 
 def _get(uri: str) -> bytes:
@@ -125,7 +129,8 @@ def write_records(
     """
     spark = df.sparkSession
     small_batches(spark)
-    shards = min(SHARDS, max(1, -(-text_bytes(df, text_col) // shard_text_bytes)))
+    size = df.agg(F.sum(F.octet_length(F.col(text_col))), F.count(F.lit(1))).first()
+    shards, rows = min(SHARDS, max(1, -(-int(size[0] or 0) // shard_text_bytes))), size[1]
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cuts: list[int] = []
     if shards > 1:
@@ -135,7 +140,6 @@ def write_records(
     # ids that fill a shard by themselves: no more than shards, and each is a bound or null
     heavy: dict[int | None, int] = {}
     if shards > 1:
-        rows = source.count()
         counts = source.where(F.col("doc_id").isNull() | F.col("doc_id").isin([int(b) for b in bounds[np.flatnonzero(np.bincount(np.searchsorted(bounds, cuts)) > 1)]]))
         for r in counts.groupBy("doc_id").count().where(F.col("count") * shards > 2 * rows).collect():
             heavy[r["doc_id"]] = -(-r["count"] * shards // rows)

@@ -117,11 +117,15 @@ class WordTokenizer:
 
     def _learn(self, cache: dict[str, bytes], keys, prefix: str) -> None:
         other = []
-        ready = self.pieces.get
+        ready, model = self.pieces.get, self.tokenizer.model.tokenize
+        kind = "H" if self.width == 2 else "I"
         for key in keys:
             if prefix == "" and not self.leading_space:  # the usual case without the steps of _plain_word
                 core = key.rstrip(PUNCTUATION)
-                found = ready(core.lower())
+                low = core.lower()
+                found = ready(low)
+                if found is None and self.plain and core.isascii() and core.isalpha():
+                    found = self.pieces[low] = array(kind, [t.id for t in model(low)]).tobytes()
                 if found is not None:
                     if len(core) == len(key):
                         cache[key] = found

@@ -473,6 +473,31 @@ def test_pii_of_nothing(spark, empty):
 # ---- records
 
 
+def test_a_shard_stored_twice_is_the_last_one(tmp_path, monkeypatch):
+    """Also in a store that does not move onto a file that exists."""
+    from pyarrow import fs
+
+    class Store:
+        def __init__(self):
+            self.files = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def move(self, source, target):
+            if self.files.get_file_info(target).type != fs.FileType.NotFound:
+                raise OSError("there is one already")
+            self.files.move(source, target)
+
+    for k, opened in enumerate([records._open, lambda uri: (Store(), uri.removeprefix("file://"))]):
+        monkeypatch.setattr(records, "_open", opened)
+        uri = f"file://{tmp_path}/shard{k}"
+        records._put(uri, b"once")
+        records._put(uri, b"again")
+        assert records._get(uri) == b"again"
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["shard0", "shard1"]
+
+
 def test_records_round_trip(spark, odd, empty, tmp_path):
     folder = f"file://{tmp_path}/r"
     manifest = records.write_records(odd, WORDS, folder, shard_text_bytes=10_000)
