@@ -8,6 +8,8 @@ import sys
 from pyspark.sql import SparkSession
 
 from quillmill import runs
+from quillmill.functions.bytepairs import byte_pairs
+from quillmill.functions.chunks import word_tokens
 from quillmill.operators import names, review
 from quillmill.sources import sinks, tables
 
@@ -21,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--workers", type=int, default=0, help="cores of a local session; a cluster has its own")
     p.add_argument("--sidecar")
+    p.add_argument("--vocabulary", help="count tokens by the byte-pair ranks of this file, which all executors see")
     p.add_argument("--patterns-only", action="store_true", help="without the tagger of names and places")
     p = sub.add_parser("second-pass", help="replace what an assessment found risky")
     p.add_argument("--output", required=True)
@@ -57,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
             if not tables.exists(spark, path):
                 print(f"not found: {path}", file=sys.stderr)
                 return 1
-        results = runs.process_folder(spark, args.input, args.output, args.dry_run, args.sidecar, adapter)
+        results = runs.process_folder(spark, args.input, args.output, args.dry_run, args.sidecar, adapter, byte_pairs(args.vocabulary) if args.vocabulary else word_tokens)
         sinks.show(sinks.result_lines(results, args.dry_run))
     elif args.command == "second-pass":
         if not tables.exists(spark, f"{args.output}/risk/assessments"):

@@ -26,9 +26,9 @@ def register(spark: SparkSession) -> None:
             if text is not None:
                 size, overlap = chunks.CONFIG.get(doc_type, chunks.CONFIG["private"])
                 separators = chunks.LEGAL_SEPARATORS if doc_type == "caselaw" else chunks.COMMON_SEPARATORS
-                parts = chunks.Splitter(size, overlap, separators).split(text) or [text]
-                for i, p in enumerate(parts):
-                    yield p, i, len(parts), chunks.word_tokens(p)
+                parts = chunks.Splitter(size, overlap, separators).places(text) or [(0, len(text), chunks.word_tokens(text))]
+                for i, (a, b, n) in enumerate(parts):
+                    yield text[a:b], i, len(parts), n
 
     spark.udtf.register("detect_pii", F.udtf(DetectPii, returnType="entity_type string, start int, end int, score double, found string"))
     spark.udtf.register("chunk", F.udtf(Chunk, returnType="text string, index int, total int, token_count int"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.functions import caselaw, chunks, classify, dates, naming, spans, text
+from quillmill.functions import bytepairs, caselaw, chunks, classify, dates, naming, spans, text
 from quillmill.functions import targets as T
 from quillmill.operators import dedup, names as name_tagger, process, provenance, review, risk, second_pass
 from quillmill.plans import review_tables as R
@@ -369,6 +369,25 @@ def token_counts(spark, d):
     return documents(spark, d).select("doc_id", chunks.token_count(F.col("text")).cast("long").alias("tokens"))
 
 
+def _ranks() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query()
+def byte_pair_counts(spark, d):
+    return documents(spark, d).select("doc_id", bytepairs.token_count(F.col("text"), _ranks()).alias("tokens"))
+
+
+@query()
+def byte_pair_chunks(spark, d):
+    """Chunks of the cleaned texts, their sizes and overlaps in byte-pair tokens."""
+    clean = process.cleaned(_classified(spark, d)).select("doc_id", "doc_type", F.col("clean").alias("text"))
+    rows = process.chunked(clean, bytepairs.byte_pairs(_ranks())).select("doc_id", "doc_type", F.explode("chunks").alias("c"))
+    return rows.select("doc_id", "doc_type", "c.index", "c.total", "c.token_count", F.sha2("c.text", 256).alias("text_sha256"))
+
+
 @query(f"{S.BASE} SELECT doc_id, {S.META} FROM classified WHERE doc_type = 'caselaw'")
 def caselaw_meta(spark, d):
     rows = process.cleaned(_classified(spark, d)).where("doc_type = 'caselaw'")

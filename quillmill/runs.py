@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions import chunks
 from quillmill.operators import dedup, process, provenance, review, risk, second_pass
 from quillmill.sources import files, sinks, tables
 from quillmill.sources.shared import written
@@ -21,21 +22,21 @@ def now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
-def process_folder(spark: SparkSession, source: str, output: str, dry_run: bool = False, sidecar: str | None = None, adapter=None, **readers) -> DataFrame:
+def process_folder(spark: SparkSession, source: str, output: str, dry_run: bool = False, sidecar: str | None = None, adapter=None, count=chunks.word_tokens, **readers) -> DataFrame:
     """The results of all files, the skipped ones too; unless ``dry_run``, everything is written to ``output``.
 
     ``readers``: adapters for PDF, Outlook mail and scans as :func:`quillmill.sources.files.read` takes them.
-    ``adapter``: further spans, as :func:`quillmill.operators.process.detected` takes them.
+    ``adapter``: further spans, as :func:`quillmill.operators.process.detected` takes them. ``count``: the tokenizer of the chunks.
     Bytes are read twice: once for the hashes, which are kept, and once for the texts of the best versions.
     """
     found = files.scan(spark, source)
     hashes = written(found.drop("content"), "hashes")
     best = dedup.best_versions(hashes).select("path")
     docs = files.read(found.join(best, "path", "left_semi"), **readers).withColumn("doc_id", F.xxhash64("path"))
-    done = process.processed(docs.where("not skipped"), adapter)
+    done = process.processed(docs.where("not skipped"), adapter, count)
     if not dry_run:
         docs = written(docs, "texts")
-        done = written(process.processed(docs.where("not skipped"), adapter), "processed")
+        done = written(process.processed(docs.where("not skipped"), adapter, count), "processed")
     results = process.results(done).unionByName(process.skipped_results(docs.where("skipped")))
     if dry_run:
         return results

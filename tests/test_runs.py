@@ -48,6 +48,8 @@ def test_a_run_its_review_and_its_second_pass(spark, case, tmp_path, capsys):
     assert len(manifest) == 3 and manifest["copy.txt"]["sha256"] and manifest["scan.pdf"]["skip_reason"] == "ocr_confidence_low"
     assert commands.main(["review-pii", "--log", f"{out}/review/log", "--summary"]) == 0 and "PHONE_NUMBER" in capsys.readouterr().out
     assert commands.main(["process", "--input", str(tmp_path / "none"), "--output", out]) == 1
+    ranks = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.tiktoken")
+    assert commands.main(["process", "--input", str(case), "--output", out, "--dry-run", "--patterns-only", "--vocabulary", ranks]) == 0
 
     assert service.answer(spark, out, "GET", "/status")[0] == 200 and "PHONE_NUMBER" in service.answer(spark, out, "GET", "/")[2]
     assert json.loads(service.answer(spark, out, "GET", "/provenance")[2])["total_files"] == 3 and service.answer(spark, out, "GET", "/x")[0] == 404
