@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill import runs
 from quillmill.functions import bytepairs, caselaw, chunks, classify, dates, naming, spans, text
 from quillmill.functions import targets as T
 from quillmill.operators import dedup, names as name_tagger, process, provenance, review, risk, second_pass
@@ -16,7 +17,7 @@ from quillmill.plans.corpus import corpus, documents
 from quillmill.sources import files as source_files
 from quillmill.sources import tables as source_tables
 from quillmill.sources import sinks
-from quillmill.sources.shared import scratch
+from quillmill.sources.shared import scratch, written
 from quillmill.sources.sinks import review_csv
 
 QUERIES: dict = {}
@@ -598,6 +599,21 @@ def patch_finetune(spark, d):
     return review.patched_records(old, new).select(F.substring_index("metadata.source", ":", 1).alias("source"), F.md5("text").alias("text_md5"), F.col("metadata.n").alias("substitutions"))
 
 
+@query(SQL["patch_finetune"])
+def versioned_finetune(spark, d):
+    """The same by versions of a folder of records: files without restored texts stay as they are."""
+    source = F.concat(naming.anonymous_id(F.col("filename")), F.lit(":"), F.col("doc_id").cast("string")).alias("source")
+    known = [F.lit(True).alias("pii_stripped"), F.col("substitutions").cast("int").alias("faker_substitutions")]
+    count = lambda name: F.lit(None).cast("int").alias(name)
+    record = lambda rows: rows.select("text", F.struct(source, F.lit(None).cast("string").alias("doc_type"), *known, count("review_flags"), count("token_count")).alias("metadata"))
+    place = _place(spark, "versions")
+    sinks.write_finetune(record(_redacted(spark, d).where(F.col("doc_type").isin(*process.FINETUNE))), place)
+    new = written(record(_again(spark, d)).select("metadata.source", "text", "metadata"), "restored")
+    runs.patch_records(spark, place, new)
+    got = source_tables.finetune(spark, place)
+    return got.select(F.substring_index("metadata.source", ":", 1).alias("source"), F.md5("text").alias("text_md5"), F.col("metadata.faker_substitutions").cast("long").alias("substitutions"))
+
+
 @query(f"{_EXCL} SELECT CAST(sum(len(list_filter(coalesce(a.left_spans, spans), lambda e: e.score >= 0.5 AND e.score < 0.85))) AS BIGINT) AS pii_review_flags FROM detected LEFT JOIN again a USING (doc_id)")
 def pending_flag_total(spark, d):
     again = _again(spark, d).select("doc_id", F.size("review_flags").alias("new"))

@@ -1,8 +1,9 @@
 """Whole runs over a folder: process it, review it, assess and redact a second time. Each takes what its command line takes.
 
 An output folder holds ``rag``, ``finetune``, ``review/log``, ``review/csv``, ``review/ocr_queue``, ``review/decisions-<time>``,
-``manifest/files``, ``manifest/summary``, ``audit``, ``second_pass`` and ``risk``. What a run rewrites goes to a new
-place first, so no run reads what it writes.
+``manifest/files``, ``manifest/summary``, ``audit`` and ``risk``. A review and a second pass change ``finetune``, ``rag`` and
+``review/log`` by new versions (:mod:`quillmill.sources.snapshots`): only files whose rows change are written anew, older
+versions stay readable, and no run reads what it writes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import chunks
 from quillmill.operators import dedup, process, provenance, review, risk, second_pass
-from quillmill.sources import files, sinks, tables
+from quillmill.sources import files, sinks, snapshots, tables
 from quillmill.sources.shared import written
 
 
@@ -68,15 +69,36 @@ def apply_decisions(spark: SparkSession, output: str, decisions: str, reviewer:
         rows_again = process.detected(process.cleaned(process.classified(docs)), adapter).join(excluded.withColumnRenamed("file", "filename"), "filename")
         done = written(process.chunked(process.redacted(rows_again, excluded_col="excluded")), "again")
         new = process.finetune_records(done).select(F.col("metadata.source").alias("source"), "text", "metadata")
-        old = tables.finetune(spark, f"{output}/finetune").drop("file")
-        sinks.rewritten(review.patched_records(old, new), f"{output}/finetune", f"{output}/finetune-{stamp[:19].replace(':', '')}")
-        log = review.patched_log(tables.review_log(spark, f"{output}/review/log"), process.review_log(done).drop("doc_id", "pos"), excluded)
-        sinks.rewritten(log, f"{output}/review/log", f"{output}/review/log-{stamp[:19].replace(':', '')}")
+        patch_records(spark, f"{output}/finetune", new)
+        patch_log(spark, f"{output}/review/log", process.review_log(done).drop("doc_id", "pos"), excluded)
     entry = review.audit_entry(rows, reviewer, stamp).withColumn("files_reprocessed", F.lit(len(paths)))
     sinks.append_audit(entry, f"{output}/audit/human_reviews")
     return entry
 
 
+def patch_records(spark: SparkSession, folder: str, new: DataFrame) -> int:
+    """The new values of ``new (source, text, metadata)`` in the files that hold those sources; the number of files written anew."""
+    base = snapshots.latest(spark, folder)
+    old = snapshots.paths(snapshots.scan(spark, folder, tables.FINETUNE, base)).withColumn("source", F.col("metadata.source"))
+    hit = snapshots.touched(old.join(new.select("source"), "source", "left_semi"))
+    if hit:
+        rows = snapshots.scan(spark, folder, tables.FINETUNE, base, hit)
+        snapshots.replaced(spark, folder, base, hit, review.patched_records(rows, new))
+    return len(hit)
+
+
+def patch_log(spark: SparkSession, folder: str, again: DataFrame, names: DataFrame) -> int:
+    """The flags of documents processed again in place of their old ones; the number of files written anew. Nothing where no log is."""
+    if not tables.exists(spark, folder):
+        return 0
+    base = snapshots.latest(spark, folder)
+    old = snapshots.paths(snapshots.scan(spark, folder, tables.FLAGS, base))
+    hit = snapshots.touched(old.join(names, "file", "left_semi"))
+    rows = snapshots.scan(spark, folder, tables.FLAGS, base, hit)
+    snapshots.replaced(spark, folder, base, hit, review.patched_log(rows, again, names))
+    return len(hit)
+
+
 def assess(spark: SparkSession, output: str, assessor, samples: int = 0, model: str = "") -> DataFrame:
     """Assess the records of most flags first and write the report; ``assessor`` adds a column ``response``."""
     from quillmill.sources.shared import ordinal
@@ -97,10 +119,15 @@ def second_pass_run(spark: SparkSession, output: str, assessments: DataFrame, bl
     found, parts = written(found, "targets"), []
     for kind, schema in (("finetune", tables.FINETUNE), ("rag", tables.RAG)):
         if tables.exists(spark, f"{output}/{kind}"):
-            done = second_pass.applied(tables.jsonl(spark, f"{output}/{kind}", schema).drop("file"), found)
+            folder = f"{output}/{kind}"
+            base = snapshots.latest(spark, folder)
+            done = second_pass.applied(snapshots.paths(snapshots.scan(spark, folder, schema, base)), found)
             if not dry_run:
                 done = written(done, kind)
-                sinks.rewritten(done.drop("substitutions"), f"{output}/{kind}", f"{output}/second_pass/{kind}")
+                hits = done.where("substitutions > 0").select("path").distinct()
+                if hit := snapshots.touched(hits):
+                    rows = done.join(hits, "path", "left_semi").drop("path", "substitutions", "bucket", "slug")
+                    snapshots.replaced(spark, folder, base, hit, rows)
             parts.append(second_pass.stats(done.withColumn("file", F.lit(kind))))
     stats = parts[0]
     for p in parts[1:]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import html_escape, one_place, thousands, two_places
 from quillmill.operators import review
+from quillmill.sources import snapshots
 
 
 #: Folders that sources are dealt to; one for each source is for small sets.
@@ -26,12 +27,16 @@ def write_rag(records: DataFrame, folder: str, per_source: bool = False) -> None
 
 
 def write_finetune(records: DataFrame, folder: str, mode: str = "append") -> None:
-    records.write.mode(mode).option("ignoreNullFields", False).json(folder)
+    if mode == "append":
+        snapshots.appended(records.sparkSession, folder, records)
+    else:
+        records.write.mode(mode).option("ignoreNullFields", False).json(folder)
 
 
 def write_review_log(flags: DataFrame, folder: str) -> None:
     """Flags hold the original personal data: keep the folder restricted."""
-    flags.select("file", "entity_type", "original_text", "confidence", "context", "action").write.mode("append").json(folder)
+    rows = flags.select("file", "entity_type", "original_text", "confidence", "context", "action")
+    snapshots.appended(flags.sparkSession, folder, rows)
 
 
 def review_csv(flags: DataFrame) -> DataFrame:
@@ -60,13 +65,6 @@ def write_manifest(meta: dict, files: DataFrame, summary: DataFrame, folder: str
     one.write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/summary")
 
 
-def rewritten(records: DataFrame, folder: str, to: str) -> None:
-    """Records go to a new place, never over one that is being read; the caller swaps the names."""
-    if folder.rstrip("/") == to.rstrip("/"):
-        raise ValueError("cannot write over the folder that is read")
-    records.write.mode("overwrite").option("ignoreNullFields", False).json(to)
-
-
 def write_ocr_queue(found: DataFrame, folder: str) -> int:
     """Copies of rejected files (``filename, content``) by their names, a later one of a name over an earlier; their number."""
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.targets import FALLBACK, strip
+from quillmill.sources import snapshots
+from quillmill.sources.snapshots import exists
 
 SIDECAR = "filename string, copyright_status string, source_url_or_collection string, notes string"
 DECISIONS = "flag_id int, file string, entity_type string, original_text string, confidence double, decision string"
@@ -34,9 +36,12 @@ def decisions(spark: SparkSession, path: str) -> DataFrame:
     return csv(spark, path, DECISIONS)
 
 
-def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON object a line; blank lines are skipped; ``file`` names where each came from unless the schema has it."""
-    rows = spark.read.option("mode", "FAILFAST").schema(schema).json(path)
+def jsonl(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
+    """One JSON object a line; blank lines are skipped; ``file`` names where each came from unless the schema has it.
+
+    Of a folder with versions, the latest or the one that is named.
+    """
+    rows = snapshots.scan(spark, path, schema, version)
     return rows if "file" in rows.columns else rows.withColumn("file", F.col("_metadata.file_path"))
 
 
@@ -64,11 +69,6 @@ def blocklist(spark: SparkSession, path: str) -> DataFrame:
     return parse_blocklist(spark.read.text(path))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
-
-
 def manifest(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
     """One row; where the file is absent, one of nulls, or an error if it is ``required``."""
     if not exists(spark, path):

@@ -16,7 +16,7 @@ from quillmill.functions import register, spans
 from quillmill.functions import targets as T
 from quillmill.functions.automaton import Automaton
 from quillmill.operators import second_pass
-from quillmill.sources import tables
+from quillmill.sources import snapshots, tables
 from quillmill.sources.shared import ordinal, spread
 
 LETTER = "To: x\nSSN 123-45-6789 and (312) 555-0100. Passport no. 123456789. Mrs. Ada Byron of 12 Elm Street."
@@ -56,14 +56,16 @@ def test_a_run_its_review_and_its_second_pass(spark, case, tmp_path, capsys):
     restore = {"flag_id": 0, "file": "copy.txt", "entity_type": "PHONE_NUMBER", "original_text": "(312) 555-0100", "confidence": 0.75, "decision": "restore"}
     said = json.loads(service.answer(spark, out, "POST", "/apply", json.dumps({"decisions": [restore], "reviewer": "R"}).encode())[2])
     assert said["restored_original"] == 1 and said["files_reprocessed"] == 1
-    (new,) = (tmp_path / "out").glob("finetune-*")
-    assert "(312) 555-0100" in tables.finetune(spark, str(new)).first()["text"]
+    assert "(312) 555-0100" in tables.finetune(spark, f"{out}/finetune").first()["text"]
+    assert "(312) 555-0100" not in tables.jsonl(spark, f"{out}/finetune", tables.FINETUNE, 0).first()["text"]
+    assert not tables.review_log(spark, f"{out}/review/log").where("entity_type = 'PHONE_NUMBER'").count()
 
     response = json.dumps({"risk_level": "HIGH", "quasi_identifiers": [{"type": "name", "value": "Example Street"}], "additional_redactions": []})
     runs.assess(spark, out, lambda records: records.withColumn("response", F.lit(response)), model="stored")
-    assert commands.main(["second-pass", "--output", out, "--dry-run"]) == 0 and not (tmp_path / "out/second_pass").exists()
+    assert commands.main(["second-pass", "--output", out, "--dry-run"]) == 0 and snapshots.latest(spark, f"{out}/finetune") == 1
     assert commands.main(["second-pass", "--output", out, "--quiet"]) == 0
-    assert "Example Street" not in tables.finetune(spark, f"{out}/second_pass/finetune").first()["text"]
+    assert snapshots.versions(spark, f"{out}/finetune") == [1, 2]
+    assert "Example Street" not in tables.finetune(spark, f"{out}/finetune").first()["text"]
     audit = spark.read.json(f"{out}/audit/second_pass_redactions").first()
     assert audit["terms_applied"] == 1 and audit["files_patched"] == ["finetune"]
 
