@@ -1,7 +1,7 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
-Documents are dealt by a seeded hash to groups of a bounded number of characters; each group packs
-alone, so no task holds more than one group and nothing is exchanged between groups.
+Documents are dealt by a seeded hash of their ids, texts and places to groups of a bounded number of characters, so
+repeated rows spread too; each group packs alone, so no task holds more than one group and nothing is exchanged between groups.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.shared import small_batches, text_bytes
+from quillmill.llm.shared import small_batches
 from quillmill.llm.substrings import give_back
 from quillmill.llm.tokens import tokenizer
 
 GROUP_BYTES = 2_000_000  # of text in a group, on average
+ROW_BYTES = 32  # that a row counts besides its text, so rows without text fill groups too
 SEQUENCE = 1024
 
 
@@ -126,14 +127,18 @@ def pack(
     Returns one row per piece: ``doc_id, start, length, ids`` (binary, little-endian unsigned 32-bit),
     ``doc_tokens, sequence_id, offset``. A null or empty text is a document of only ``end_id``; a null
     id is kept as it is; rows with the same id and text are packed one by one; an empty table gives
-    an empty result. Other columns of ``df`` are ignored, whatever their names.
+    an empty result. Other columns of ``df`` are ignored, whatever their names. Rows are numbered in the order
+    of their content inside each partition, so a partition that is computed again deals equal rows to the same groups.
     """
     small_batches(df.sparkSession)
-    groups = max(1, -(-text_bytes(df, text_col) // group_bytes))
+    size = df.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
     source = df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)))
+    ).sortWithinPartitions("doc_id", "text")
+    place = F.monotonically_increasing_id()
+    source = source.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", place), F.lit(groups)))
 
     def encode(batches):
         tok = tokenizer(tokenizer_path)

@@ -109,8 +109,3 @@ def small_batches(spark: SparkSession) -> None:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table; one too small to have a split for every core is dealt to all."""
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-
-
-def text_bytes(df: DataFrame, text_col: str) -> int:
-    """Bytes of all texts: one narrow aggregation."""
-    return int(df.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0)

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import bagminhash, html_tree, quality
+from quillmill.llm import bagminhash, html_tree, packing, quality
 
 SF = "/root/testdata/sf0.001"
 A, B, C, D = (" ".join(f"{w}{i}" for i in range(12)) for w in "abcd")
@@ -56,3 +56,14 @@ def test_quality_keeps_columns_of_any_name(spark, name):
     rows = {r["doc_id"]: r for r in got.collect()}
     if name != "q_keep":
         assert rows[1][name] == 7 and rows[2][name] == 8
+
+
+@pytest.mark.parametrize("text, rows", [("the same few words of a notice again", 100_000), (None, 200_000)])
+def test_equal_rows_of_one_id_are_packed_in_many_groups(spark, text, rows):
+    ranks = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    df = spark.range(0, rows, 1, 3).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).cast("string").alias("text"))
+    got = packing.pack(df, ranks, group_bytes=100_000).select("start", "length", "doc_tokens", (F.col("sequence_id") / (1 << 24)).cast("long").alias("grp"))
+    groups = got.where("start = 0").groupBy("grp").count().agg(F.sum("count"), F.max("count"), F.count("*")).first()
+    size = (len(text or "") + packing.ROW_BYTES) * rows
+    assert groups[0] == rows and groups[2] == -(-size // 100_000) and groups[1] < 1.5 * rows / groups[2]
+    assert got.agg(F.sum("length")).first()[0] == got.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
