@@ -218,14 +218,10 @@ class _Sql:
         return f"if({w} rlike '^[^\\\\p{{Ll}}]{{2,}}$', upper({made}), {made})"
 
     def given(self, w: str, surname: str) -> str:
-        """A known name moves along the names of its script and gender at the first draw; others end as the person's gender does."""
-        cases = []
-        for (script, g), names in GIVEN.items():
-            step = f"(1 + pmod({self.number(_q('GIVEN' + script + g))}, {len(names) - 1}))"
-            here = f"array_position({_words(names)}, {w})"
-            cases.append(f"when again = 0 and {here} > 0 then element_at({_words(names)}, cast(pmod({here} - 1 + {step}, {len(names)}) as int) + 1)")
+        """A known name takes the next one in the keyed order of its script's and gender's names at the first draw; others end as the person's gender does."""
+        known = f"when again = 0 and element_at(__given, {w}) is not null then element_at(__given, {w})"
         ending = "case gender when 'f' then 'a' when 'm' then 'o' else 'e' end"
-        return f"case {' '.join(cases)} when {self.script(w)} = 'Latin' then concat({surname}, {ending}) else {surname} end"
+        return f"case {known} when {self.script(w)} = 'Latin' then concat({surname}, {ending}) else {surname} end"
 
     def person(self, e: str) -> str:
         """The last word is a surname, so it reads the same with and without given names in front of it."""
@@ -286,6 +282,15 @@ def found(text: str = "text") -> Column:
     return F.expr(f"if({text} rlike {_q(GUARD)} or {text} rlike {_q(NAME_GUARD)}, {whole}, cast(array() as {_SEGMENTS}))")
 
 
+def next_given(key: str) -> dict[str, str]:
+    """Every known given name and the one behind it in the keyed order of its list, the first behind the last."""
+    out = {}
+    for names in GIVEN.values():
+        order = sorted(names, key=lambda name: hmac.new(key.encode(), f"GIVEN {name}".encode(), hashlib.sha256).digest())
+        out |= zip(order, order[1:] + order[:1])
+    return out
+
+
 def surrogates(mentions: DataFrame, key: str) -> DataFrame:
     """``kind, entity, s, n``: one surrogate for each entity of ``mentions (kind, entity, gender)``, and how often it occurs.
 
@@ -299,8 +304,9 @@ def surrogates(mentions: DataFrame, key: str) -> DataFrame:
     people = each.groupBy("kind", same.alias("same")).agg(F.sum("m").alias("m"), F.sum("f").alias("f"), F.collect_list(F.struct("entity", "n")).alias("e"))
     gender = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n")
     table = materialize(people.select("kind", F.explode("e").alias("e"), gender.alias("gender")).select("kind", "e.entity", "e.n", "gender", F.lit(0).alias("again")), "entities")
-    keys = [(k, hmac.new(key.encode(), k.encode(), hashlib.sha256).hexdigest()) for k in PATTERNS]
-    keys = F.broadcast(spark.createDataFrame(keys, "kind string, __key string"))  # one row a kind
+    given = next_given(key)
+    keys = [(k, hmac.new(key.encode(), k.encode(), hashlib.sha256).hexdigest(), given if k == "PERSON" else None) for k in PATTERNS]
+    keys = F.broadcast(spark.createDataFrame(keys, "kind string, __key string, __given map<string,string>"))  # one row a kind
     new = F.expr(_Sql().surrogate())
     columns = ["kind", "entity", "n", "gender", "again", "s"]
     table = materialize(table.join(keys, "kind").withColumn("s", new).select(*columns), "entities")

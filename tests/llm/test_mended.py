@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import bagminhash, html_tree, packing, quality
+from quillmill.llm import bagminhash, html_tree, packing, pii, quality
 
 SF = "/root/testdata/sf0.001"
 A, B, C, D = (" ".join(f"{w}{i}" for i in range(12)) for w in "abcd")
@@ -67,3 +67,18 @@ def test_equal_rows_of_one_id_are_packed_in_many_groups(spark, text, rows):
     size = (len(text or "") + packing.ROW_BYTES) * rows
     assert groups[0] == rows and groups[2] == -(-size // 100_000) and groups[1] < 1.5 * rows / groups[2]
     assert got.agg(F.sum("length")).first()[0] == got.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_given_names_take_a_keyed_order(spark):
+    steps = set()
+    for key in ("one", "two", "three"):
+        new = pii.next_given(key)
+        for names in pii.GIVEN.values():
+            assert {new[n] for n in names} == set(names) and all(new[n] != n for n in names)
+        names = pii.GIVEN["Latin", "m"]
+        steps.add(tuple((names.index(new[n]) - names.index(n)) % len(names) for n in names))
+    assert len(steps) == 3 and min(len(set(s)) for s in steps) > 10  # no one step moves all
+    people = spark.createDataFrame([(n, f"Mr. {n} Oakenshield") for n in pii.GIVEN["Latin", "m"]], "name string, text string")
+    got = {r["name"]: r["text"].split() for r in pii.replace_pii(people, "one").collect()}
+    new = pii.next_given("one")
+    assert all(words[1] == new[n] for n, words in got.items()) and len({words[2] for words in got.values()}) == 1
