@@ -212,7 +212,7 @@ class _Sql:
         of = lambda t: f"element_at({_words(SYLLABLES[t])}, cast(pmod(shiftright(n[i div 12], cast(5 * (i % 12) as int)), 32) as int) + 1)"
         pick = f"case {self.script(w)} when 'Cyrillic' then {of('Cyrillic')} when 'Greek' then {of('Greek')} else {of('Latin')} end"
         word = f"if({w} = initcap(lower({w})) or {w} = upper(lower({w})), lower({w}), {w})"
-        salt = "if(again = 0, '', concat(entity, '\\u0001', again))"
+        salt = "if(again = 0, '', cast(again as string))"
         numbers = f"transform(sequence(0, (4 + 2 * again) div 12), b -> {self.number(_q('NAME'), word, salt, 'cast(b as string)')})"
         made = f"element_at(transform(array({numbers}), n -> initcap(array_join(transform(sequence(0, 4 + 2 * again), i -> {pick}), ''))), 1)"
         return f"if({w} rlike '^[^\\\\p{{Ll}}]{{2,}}$', upper({made}), {made})"
@@ -295,7 +295,7 @@ def surrogates(mentions: DataFrame, key: str) -> DataFrame:
     """``kind, entity, s, n``: one surrogate for each entity of ``mentions (kind, entity, gender)``, and how often it occurs.
 
     No two entities of a kind share a surrogate, and none is an entity that occurs. Those that collide, and only
-    those, are drawn anew until none does; every draw makes them longer or another. The key is a table of a row for each kind.
+    those and persons of the same surname, are drawn anew until none does; every draw makes them longer or another. The key is a table of a row for each kind.
     """
     spark = mentions.sparkSession
     each = mentions.groupBy("kind", "entity").agg(F.count("*").alias("n"), *[F.count_if(F.col("gender") == g).alias(g) for g in "mf"])
@@ -309,14 +309,17 @@ def surrogates(mentions: DataFrame, key: str) -> DataFrame:
     keys = F.broadcast(spark.createDataFrame(keys, "kind string, __key string, __given map<string,string>"))  # one row a kind
     new = F.expr(_Sql().surrogate())
     columns = ["kind", "entity", "n", "gender", "again", "s"]
+    # all persons of a surname are drawn anew together, so they go on sharing one
+    surname = F.when(F.col("kind") == "PERSON", F.lower(F.substring_index("entity", " ", -1))).otherwise(F.col("entity"))
     table = materialize(table.join(keys, "kind").withColumn("s", new).select(*columns), "entities")
     while True:
         hashed = table.where(~F.col("kind").isin(*NUMBERS))
         taken = hashed.groupBy("kind", "s").count().where("count > 1").select("kind", "s").unionByName(hashed.select("kind", F.col("entity").alias("s")))
-        bad = materialize(hashed.join(taken, ["kind", "s"], "left_semi").select("kind", "entity", F.lit(1).alias("bad")), "collisions", 1)
+        bad = hashed.join(taken, ["kind", "s"], "left_semi").select("kind", surname.alias("drawn_by"), F.lit(1).alias("bad"))
+        bad = materialize(bad.dropDuplicates(["kind", "drawn_by"]), "collisions", 1)
         if bad.isEmpty():
             return table.select("kind", "entity", "s", "n")
-        drawn = table.join(bad, ["kind", "entity"], "left").withColumn("again", F.col("again") + F.coalesce("bad", F.lit(0)))
+        drawn = table.withColumn("drawn_by", surname).join(bad, ["kind", "drawn_by"], "left").withColumn("again", F.col("again") + F.coalesce("bad", F.lit(0)))
         table = materialize(drawn.join(keys, "kind").withColumn("s", F.when(F.col("bad") == 1, new).otherwise(F.col("s"))).select(*columns), "entities")
 
 

@@ -82,3 +82,16 @@ def test_given_names_take_a_keyed_order(spark):
     got = {r["name"]: r["text"].split() for r in pii.replace_pii(people, "one").collect()}
     new = pii.next_given("one")
     assert all(words[1] == new[n] for n, words in got.items()) and len({words[2] for words in got.values()}) == 1
+
+
+def test_persons_share_a_surname_when_it_is_drawn_anew(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "Latin", ["ba", "ka"] * 16)  # 32 first draws
+    surnames = [f"Ab{a}{b}ott" for a in "abcdefgh" for b in "klmno"]
+    rows = [(w, f"Mr. {w} met Mr. John {w}; MR. left and Mrs. Anna {w} stayed.") for w in surnames]
+    got = {r["w"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "w string, text string"), "key").collect()}
+    new = {}
+    for w, text in got.items():
+        lone, full, wife = text.removeprefix("Mr. ").split(" ")[0], text.split(" met Mr. ")[1].split(";")[0], text.split("Mrs. ")[1].removesuffix(" stayed.")
+        assert full.split()[-1] == wife.split()[-1] == lone and len(full.split()) == len(wife.split()) == 2 and full != wife
+        new[w] = lone
+    assert len(set(new.values())) == len(surnames) and not set(new.values()) & set(surnames)
