@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.functions.once import let
+
 SAMPLE = 5000
 THRESHOLD = 0.60
 #: Patterns and weights by document type, in the order in which weights are added.
@@ -42,13 +44,17 @@ def fires(text: Column, pattern: str) -> Column:
 
 def raw_scores(text: Column) -> Column:
     """``struct<caselaw, published, private>`` of summed weights."""
-    out = []
-    for kind, signals in SIGNALS.items():
-        total = F.lit(0.0)
-        for pattern, weight in signals:
-            total = total + F.when(fires(text, pattern), weight).otherwise(0.0)
-        out.append(total.alias(kind))
-    return F.struct(*out)
+
+    def scores(sample: Column) -> Column:
+        out = []
+        for kind, signals in SIGNALS.items():
+            total = F.lit(0.0)
+            for pattern, weight in signals:
+                total = total + F.when(sample.rlike(FLAGS + pattern), weight).otherwise(0.0)
+            out.append(total.alias(kind))
+        return F.struct(*out)
+
+    return let(F.substring(text, 1, SAMPLE), scores)
 
 
 def classification(ext: Column, scores: Column) -> Column:

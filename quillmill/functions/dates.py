@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.functions.once import let
+
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 SHORT = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 #: The eight styles in the order in which they are tried: a pattern, and the format it is parsed with.
@@ -99,7 +101,7 @@ def fuzzy(text: Column) -> Column:
         )
         left = n - F.when(a["m"].isNotNull(), a["d"].isNull().cast("int") + a["y"].isNull().cast("int")).otherwise(F.when(a["y"].isNull(), 3).otherwise(2))
         x = F.when(a["m"].isNotNull(), by_name).otherwise(by_number)
-        at = _let(x, lambda x: F.try_to_timestamp(F.format_string("%04d-%02d-%02d", x["y"], x["m"], x["d"]), F.lit("yyyy-MM-dd")).cast("date"))
+        at = let(x, lambda x: F.try_to_timestamp(F.format_string("%04d-%02d-%02d", x["y"], x["m"], x["d"]), F.lit("yyyy-MM-dd")).cast("date"))
         return F.when(~a["bad"] & (left <= 0), at)
 
     return F.aggregate(tokens, start, step, made)
@@ -124,11 +126,6 @@ def write(style: Column, day: Column, original: Column) -> Column:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def shift(text: Column, days: Column) -> Column:
     """The text's date that many days later; a text without a date as it is.
 
@@ -137,4 +134,4 @@ def shift(text: Column, days: Column) -> Column:
     """
     whole = "|".join(p.replace("(?i)", "") for p, _ in STYLES.values())
     day = F.when(text.rlike(f"(?i)^(?:{whole})$"), parse(text)).otherwise(F.coalesce(fuzzy(text), parse(text)))
-    return _let(F.date_add(day, days), lambda d: F.when(d.isNull(), text).otherwise(write(style_of(text), d, text)))
+    return let(F.date_add(day, days), lambda d: F.when(d.isNull(), text).otherwise(write(style_of(text), d, text)))

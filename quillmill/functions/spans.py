@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmill.functions.dates import STYLES, shift
+from quillmill.functions.once import let
 
 HIGH, LOW, CONTEXT = 0.85, 0.50, 60
 #: What stands between the name of a number and the number.
@@ -32,6 +33,10 @@ RECOGNIZERS: dict[str, tuple[str, float, str]] = {
 }
 #: Words near a number that raise its score, by as much, up to 1.
 NEAR = {"US_SSN": ("(?i)social security|ssn", 0.10)}
+#: What every match of a costly pattern holds, looked for first.
+HOLDS = {"EMAIL_ADDRESS": "@", "DATE_TIME": r"[\s/-]\d{4}\b|\b\d{4}-\d{2}-\d{2}\b"}
+#: Types that can be of medium score, so that a person looks at them.
+REVIEWED = tuple(k for k, (_, score, _) in RECOGNIZERS.items() if any(LOW <= s < HIGH for s in (score, min(score + NEAR.get(k, ("", 0.0))[1], 1.0))))
 MARK = "\u0001"
 TYPE = "array<struct<entity_type:string,start:int,end:int,score:double,text:string>>"
 
@@ -60,7 +65,10 @@ def found(text: Column, kinds: tuple[str, ...] = tuple(RECOGNIZERS)) -> Column:
     A pattern's matches are marked and the text is cut at the marks; one fold over the pieces adds up their lengths,
     which are the offsets in code points.
     """
-    text = F.replace(text, F.lit(MARK), F.lit(" "))
+    return let(F.replace(text, F.lit(MARK), F.lit(" ")), lambda t: _found(t, kinds))
+
+
+def _found(text: Column, kinds: tuple[str, ...]) -> Column:
     none = f"cast(array() as {TYPE})"
     parts = []
     for kind in kinds:
@@ -71,7 +79,8 @@ def found(text: Column, kinds: tuple[str, ...] = tuple(RECOGNIZERS)) -> Column:
         cut = F.split(F.regexp_replace(text, groups, f"$1{MARK}$2{MARK}"), MARK, -1)
         start = F.expr(f"named_struct('at', 0, 'even', false, 'out', {none})")
         spans = F.aggregate(cut, start, _step(kind, score), lambda a: a["out"])
-        parts.append(F.when(text.rlike(whole), spans).otherwise(F.expr(none)))
+        hit = text.rlike(HOLDS[kind]) & text.rlike(whole) if kind in HOLDS else text.rlike(whole)
+        parts.append(F.when(hit, spans).otherwise(F.expr(none)))
     return F.concat(*parts)
 
 

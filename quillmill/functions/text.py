@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.functions.once import let
+
 # What a line of a legal database holds, and how a numbered line of a pleading starts.
 ANNOTATION = r"(?md)^[^\n]*(?:Thomson Reuters|LexisNexis|Westlaw)[^\n]*$"
 LINE_NUMBER = r"(?mdU)^\s*\d{1,3}\s{1,3}(?=\S)"
 #: Unicode white space at the ends, as Python's strip() sees it.
 _ENDS = r"(?U)^\s+|\s+$"
+#: The same behind and in front of each line; a run of blanks is tried at its first one only.
+_BLANK = r"[\s&&[^\n]]"
+_BEHIND = rf"(?U){_BLANK}(?<!{_BLANK}{_BLANK}){_BLANK}*+(?=\n|\z)"
+_FRONT = rf"(?Umd)^{_BLANK}++"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _ENDS, "")
+    return let(text, lambda t: F.when(F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1)).rlike(r"(?U)\s"), F.regexp_replace(t, _ENDS, "")).otherwise(t))
 
 
 def newlines(text: Column) -> Column:
@@ -23,7 +29,8 @@ def newlines(text: Column) -> Column:
 
 def blank_annotations(text: Column) -> Column:
     """Lines that name a legal database become empty lines; the names are case-sensitive."""
-    return F.regexp_replace(text, ANNOTATION, "")
+    named = lambda t: F.contains(t, F.lit("Thomson Reuters")) | F.contains(t, F.lit("LexisNexis")) | F.contains(t, F.lit("Westlaw"))
+    return let(text, lambda t: F.when(named(t), F.regexp_replace(t, ANNOTATION, "")).otherwise(t))
 
 
 def strip_line_numbers(text: Column) -> Column:
@@ -33,42 +40,41 @@ def strip_line_numbers(text: Column) -> Column:
 
 def typography(text: Column) -> Column:
     """Typographic quotes, dashes and ellipses become ASCII."""
-    plain = F.translate(text, "‘’“”–", "''\"\"-")
-    return F.replace(F.replace(plain, F.lit("—"), F.lit("--")), F.lit("…"), F.lit("..."))
-
+    def plain(t: Column) -> Column:
+        t = F.translate(t, "‘’“”–", "''\"\"-")
+        return F.replace(F.replace(t, F.lit("—"), F.lit("--")), F.lit("…"), F.lit("..."))
 
-def _short(lines: Column) -> Column:
-    return F.filter(F.transform(lines, strip), lambda s: (F.length(s) > 0) & (F.length(s) < 80))
+    return let(text, lambda t: F.when(t.rlike("[‘’“”–—…]"), plain(t)).otherwise(t))
 
 
 def repeated_lines(lines: Column) -> Column:
-    """The stripped lines of under 80 characters that occur three times or more, sorted.
+    """Of stripped lines those of under 80 characters that occur three times or more, sorted.
 
-    A sorted array holds a third copy two places behind the first, so one pass finds them.
+    A sorted array holds a third copy two places behind the first, so one pass finds them; it is sorted once, and only where lines repeat.
     """
-    ordered = F.array_sort(_short(lines))
-    third = F.transform(ordered, lambda s, i: F.when((i >= 2) & (F.element_at(ordered, F.greatest(i - 1, F.lit(1))) == s), s))
-    return F.array_distinct(F.filter(third, lambda s: s.isNotNull()))
+
+    def thirds(ordered: Column) -> Column:
+        third = F.transform(ordered, lambda s, i: F.when((i >= 2) & (F.get(ordered, i - 2) == s), s))
+        return F.array_distinct(F.filter(third, lambda s: s.isNotNull()))
+
+    short = F.filter(lines, lambda s: (F.length(s) > 0) & (F.length(s) < 80))
+    none = F.expr("cast(array() as array<string>)")
+    return let(short, lambda s: F.when(F.size(F.array_distinct(s)) == F.size(s), none).otherwise(let(F.sort_array(s), thirds)))
 
 
 def drop_repeated_lines(text: Column) -> Column:
     """All occurrences of repeated short lines go; blank lines stay. Trailing white space of lines goes first."""
-    lines = F.transform(F.split(text, "\n", -1), lambda s: F.regexp_replace(s, r"(?U)\s+$", ""))
-    # both arrays are bound once, so the repeats are not counted anew for every line
-    bound = F.transform(F.array(F.struct(lines.alias("lines"))), lambda x: F.struct(x["lines"].alias("lines"), repeated_lines(x["lines"]).alias("gone")))
-    kept = F.transform(
-        bound,
-        lambda x: F.when(F.size(x["gone"]) == 0, F.array_join(x["lines"], "\n")).otherwise(
-            F.array_join(F.filter(x["lines"], lambda s: ~F.array_contains(x["gone"], strip(s))), "\n")
-        ),
-    )
-    return F.element_at(kept, 1)
+    bare = lambda t: F.regexp_replace(t, _FRONT, "")
+    left = lambda t, gone: F.array_join(F.filter(F.split(t, "\n", -1), lambda s: ~F.array_contains(gone, bare(s))), "\n")
+    dropped = lambda t: let(repeated_lines(F.split(bare(t), "\n", -1)), lambda gone: F.when(F.size(gone) == 0, t).otherwise(left(t, gone)))
+    return let(F.regexp_replace(text, _BEHIND, ""), dropped)
 
 
 def collapse(text: Column) -> Column:
     """Three or more line ends become two and runs of blanks one, then line ends again."""
-    once = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(F.regexp_replace(once, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
+    ends = lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)
+    blanks = lambda t: F.when(F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")), F.regexp_replace(t, r"[ \t]{2,}", " ")).otherwise(t)
+    return let(let(let(text, ends), blanks), ends)
 
 
 def clean(text: Column) -> Column:

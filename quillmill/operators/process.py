@@ -15,7 +15,8 @@ STRIPPED, RAG, FINETUNE = ("private", "uncertain"), ("caselaw", "published"), ("
 
 def classified(docs: DataFrame, text_col: str = "raw") -> DataFrame:
     """``docs (filename, ext, raw)`` with ``doc_type`` and ``confidence``, from the text before cleaning."""
-    scored = once(docs, __scores=classify.raw_scores(F.col(text_col)))
+    known = F.coalesce(F.col("ext").isin(*classify.BY_EXTENSION), F.lit(False))
+    scored = once(docs, __scores=F.when(~known, classify.raw_scores(F.col(text_col))))
     found = once(scored, __c=classify.classification(F.col("ext"), F.col("__scores")))
     return found.withColumns({"doc_type": F.col("__c.doc_type"), "confidence": F.col("__c.confidence")}).drop("__c", "__scores")
 
@@ -24,18 +25,19 @@ def cleaned(docs: DataFrame, text_col: str = "raw") -> DataFrame:
     return once(docs, clean=text.clean(F.col(text_col)))
 
 
-def detected(docs: DataFrame, adapter: Callable | None = None) -> DataFrame:
-    """``spans`` of the documents whose type is stripped.
+def detected(docs: DataFrame, adapter: Callable | None = None, kinds: tuple[str, ...] = tuple(spans.RECOGNIZERS)) -> DataFrame:
+    """``spans`` of the documents whose type is stripped; of ``kinds`` only.
 
     ``adapter``: a Column function from a text to further spans, such as :func:`quillmill.operators.names.tagger`; those that overlap
     a span of their own type found by pattern go.
     """
     stripped = F.col("doc_type").isin(*STRIPPED)
     empty = F.expr(f"cast(array() as {spans.TYPE})")
+    patterns = F.when(stripped, spans.segmented(F.col("clean"), find=lambda t: spans.found(t, kinds))).otherwise(empty)
     if not adapter:
-        return once(docs, spans=F.when(stripped, spans.segmented(F.col("clean"))).otherwise(empty))
+        return once(docs, spans=patterns)
     docs = docs.withColumn("__tagged", F.coalesce(adapter(F.when(stripped, F.col("clean"))), empty))
-    out = once(docs, __found=F.when(stripped, spans.segmented(F.col("clean"))).otherwise(empty))
+    out = once(docs, __found=patterns)
     return once(out, spans=spans.beside(F.col("__found"), F.col("__tagged"))).drop("__found", "__tagged")
 
 
@@ -62,9 +64,17 @@ def redacted(docs: DataFrame, excluded_col: str | None = None, mode: str = "fine
     ).drop("__found", "__use", "__kept", "__values")
 
 
-def flagged(docs: DataFrame) -> DataFrame:
-    """``review_flags`` of the detected spans alone, where no text is wanted."""
-    return once(docs, review_flags=spans.review_flags(F.col("clean"), F.col("filename"), F.col("spans")))
+def flagged(docs: DataFrame, excluded_col: str | None = None) -> DataFrame:
+    """``substitutions, review_flags`` of the detected spans, where no text is wanted."""
+    found = spans.without(F.col("spans"), F.col(excluded_col)) if excluded_col else F.col("spans")
+    out = once(docs, __found=found)
+    return once(out, substitutions=F.size(spans.redactable(F.col("__found"))), review_flags=spans.review_flags(F.col("clean"), F.col("filename"), F.col("__found"))).drop("__found")
+
+
+def reviewed(docs: DataFrame, excluded_col: str | None = None) -> DataFrame:
+    """``review_flags`` of ``docs (filename, doc_type, raw)`` that are stripped: the others have none and are not cleaned, and only types that are flagged are looked for."""
+    rows = cleaned(docs.where(F.col("doc_type").isin(*STRIPPED)))
+    return flagged(detected(rows, kinds=spans.REVIEWED), excluded_col).drop("substitutions")
 
 
 def chunked(docs: DataFrame, count: Callable[[str], int] = chunks.word_tokens) -> DataFrame:

@@ -43,8 +43,10 @@ def ordinal(df: DataFrame, name: str, *order) -> DataFrame:
     """``df`` with its rows numbered from 0 in an order, in column ``name``.
 
     Rows are dealt by ranges of the order and written; each range is numbered by itself behind the number of rows
-    before it, so no task sees more than a range. Only a count for each range meets in one place.
+    before it, so no task sees more than a range. Only a count for each range meets in one place. The borders of the ranges
+    come from a pass of their own over the rows, which are written first so that they are not computed twice.
     """
+    df = written(df, "rows")
     ranged = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
