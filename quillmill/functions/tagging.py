@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +27,8 @@ SHAPES = ("border", "lower", "Title", "UPPER", "Initial", "mixed", "number", "st
 NEVER = -(1 << 50)
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in TOKEN.finditer(text)]
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in TOKEN.finditer(text))
 
 
 def shape(word: str) -> int:
@@ -125,9 +126,7 @@ class Model:
 
     def __init__(self, rows: np.ndarray, step: np.ndarray):
         self.rows, self.step = rows, step
-        self.known: dict[str, int] = {}
-        self.tables: list[np.ndarray] = []
-        self.sizes = [0] * len(AROUND)
+        self._forget()
         self.triples = np.stack([self.rows[shape_row(a, b, c)] for a in range(10) for b in range(10) for c in range(10)])
 
     def __getstate__(self):
@@ -136,23 +135,31 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    #: Words that a worker remembers; a full memory starts anew.
-    MEMORY = 500_000
+    #: Words that a worker remembers (about 400 bytes each); a full memory starts anew.
+    MEMORY = 300_000
+    #: Tokens tagged at once, which bounds what a worker holds however many texts it gets; a longer sentence goes by itself.
+    AT_ONCE = 100_000
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table, self.shapes = np.zeros((1024, len(AROUND), len(TAGS)), np.int64), np.zeros(1024, np.int64)
 
     def _places(self, words: list[str]) -> np.ndarray:
         """Numbers of words, whose summed weights at each place around are in ``table``."""
         new = {w for w in words if w not in self.known}
         if len(self.known) + len(new) > self.MEMORY:
-            self.known, self.tables = {}, []
+            self._forget()
             new = set(words)
         if new:
-            at = len(self.known)
+            at, end = len(self.known), len(self.known) + len(new)
             listed = sorted(new)
-            rows = np.array([word_rows(w) for w in listed])
-            more = self.rows[rows].sum(axis=2), np.array([shape(w) for w in listed])
+            if end > len(self.table):  # at least twice as large, so that a growing table is seldom copied
+                room = max(end, 2 * len(self.table)) - len(self.table)
+                self.table, self.shapes = (np.concatenate([old, np.zeros((room, *old.shape[1:]), np.int64)]) for old in (self.table, self.shapes))
+            # the memory of word_rows is for the fit; here a word is asked for once
+            self.table[at:end] = self.rows[np.array([word_rows.__wrapped__(w) for w in listed])].sum(axis=2)
+            self.shapes[at:end] = [shape(w) for w in listed]
             self.known |= {w: at + i for i, w in enumerate(listed)}
-            self.table, self.shapes = (np.concatenate([old, m]) for old, m in zip((self.table, self.shapes), more)) if self.tables else more
-            self.tables = [self.table]
         return np.array([self.known[w] for w in words], dtype=np.int64)
 
     def scores(self, words: list[str], lengths: np.ndarray) -> np.ndarray:
@@ -170,46 +177,53 @@ class Model:
         return viterbi(self.scores(words, lengths), lengths, self.step)
 
     def entities(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
-        """``(kind, start, end)`` of each text's entities."""
+        """``(kind, start, end)`` of each text's entities; sentences of about ``AT_ONCE`` tokens are tagged together."""
+        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         words, places, lengths, owners = [], [], [], []
+
+        def flush() -> None:
+            if not words:
+                return
+            counts = np.array(lengths)
+            tags = self.tag(words, counts)
+            owner = np.repeat(np.array(owners), counts)
+            for i in np.flatnonzero(tags % 2 == 1).tolist():  # where an entity begins
+                j = i + 1
+                while j < len(tags) and tags[j] == tags[i] + 1:
+                    j += 1
+                out[owner[i]].append((KINDS[tags[i] // 2], places[i][0], places[j - 1][1]))
+            for full in (words, places, lengths, owners):
+                full.clear()
+
         for k, text in enumerate(texts):
             for sentence in sentences(text or ""):
+                if len(words) + len(sentence) > self.AT_ONCE:
+                    flush()
                 words += [text[a:b] for a, b in sentence]
                 places += sentence
                 lengths.append(len(sentence))
                 owners.append(k)
-        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        if not words:
-            return out
-        lengths = np.array(lengths)
-        tags = self.tag(words, lengths)
-        owner = np.repeat(np.array(owners), lengths)
-        for i in np.flatnonzero(tags % 2 == 1).tolist():  # where an entity begins
-            j = i + 1
-            while j < len(tags) and tags[j] == tags[i] + 1:
-                j += 1
-            out[owner[i]].append((KINDS[tags[i] // 2], places[i][0], places[j - 1][1]))
+        flush()
         return out
 
 
-def sentences(text: str) -> list[list[tuple[int, int]]]:
+def sentences(text: str) -> Iterator[list[tuple[int, int]]]:
     """Token spans by sentence: to the end of a line, or behind a mark that ends one and is followed by white space."""
-    out, mine = [], []
+    mine = []
     for a, b in tokens(text):
         if text[a] == "\n":
             if mine:
-                out.append(mine)
+                yield mine
             mine = []
             continue
         mine.append((a, b))
         if b - a == 1 and text[a] in ".!?" and (b == len(text) or text[b].isspace()):
             word = text[slice(*mine[-2])] if len(mine) > 1 else ""
             if text[a] != "." or (word.lower() not in SHORT and not (len(word) == 1 and word.isupper())):
-                out.append(mine)
+                yield mine
                 mine = []
     if mine:
-        out.append(mine)
-    return out
+        yield mine
 
 
 def learn(lines: list[tuple[list[str], list[str]]], rows: np.ndarray, step: np.ndarray, unit: int) -> tuple[dict, dict, int]:

@@ -24,6 +24,8 @@ from quillmill.sources.shared import written
 SHARDS, PASSES = 8, 5
 #: As sure as the pattern of a name behind a title.
 SCORE = 0.85
+#: Texts of a batch that are Python strings at once.
+SOME = 64
 LINES = "id long, words array<string>, tags array<string>"
 
 
@@ -85,14 +87,18 @@ def fitted(spark: SparkSession, n: int = 6000) -> G.Model:
 def tagger(spark: SparkSession, model: G.Model | None = None):
     """A Column function from a text to its spans of persons and places; a null or empty text has none."""
     at = spark.sparkContext.broadcast(model or fitted(spark))
+    kind = pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
 
     @arrow_udf(spans.TYPE)
     def tagged(texts: pa.Array) -> pa.Array:
-        listed = texts.to_pylist()
-        rows = [
-            [{"entity_type": k, "start": a, "end": b, "score": SCORE, "text": text[a:b]} for k, a, b in found] for text, found in zip(listed, at.value.entities(listed))
-        ]
-        return pa.array(rows, pa.list_(pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("text", pa.string())])))
+        parts = []
+        for i in range(0, len(texts), SOME):
+            listed = texts.slice(i, SOME).to_pylist()
+            rows = [
+                [{"entity_type": k, "start": a, "end": b, "score": SCORE, "text": text[a:b]} for k, a, b in found] for text, found in zip(listed, at.value.entities(listed))
+            ]
+            parts.append(pa.array(rows, kind))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return tagged
 

@@ -5,7 +5,8 @@ import time
 from pyspark.sql import functions as F
 
 from quillmill.functions import spans, text
-from quillmill.operators import process
+from quillmill.functions import tagging as G
+from quillmill.operators import names, process
 from quillmill.plans.corpus import corpus
 from quillmill.sources.shared import ordinal
 
@@ -49,3 +50,18 @@ def test_flags_without_the_rest_are_the_same(spark):
         lean = process.review_log(process.reviewed(docs, excluded))
         whole = process.review_log(process.redacted(process.detected(process.cleaned(docs)), excluded))
         assert sorted(lean.collect()) == sorted(whole.collect()) != []
+
+
+def test_texts_are_tagged_in_bounded_slices(spark, monkeypatch):
+    model = names.fitted(spark)
+    texts = ["Dear Jane Roe, the court met in Paris. " * 40, None, ""] * 100
+    want = [model.entities([t])[0] for t in texts[:3]]
+    seen, tag = [], model.tag
+    monkeypatch.setattr(model, "tag", lambda words, lengths: seen.append(len(words)) or tag(words, lengths))
+    monkeypatch.setattr(G.Model, "AT_ONCE", 500, raising=False)
+    assert model.entities(texts) == want * 100
+    assert max(seen) <= 500 and sum(seen) == 100 * 40 * 10
+    assert len(model.known) <= len(model.table) == len(model.shapes)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    got = [[(s["entity_type"], s["start"], s["end"]) for s in r["s"]] for r in rows.select(names.tagger(spark, model)(F.col("t")).alias("s")).collect()]
+    assert sorted(map(len, got)) == sorted(map(len, want * 100))
