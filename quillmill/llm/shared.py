@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,7 @@ def materialize(df: DataFrame, name: str, rows: int | None = None, compression:
     df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
+    relieve(df.sparkSession)
     return out
 
 
@@ -63,10 +65,23 @@ def discard(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Give back what finished jobs, whose tables are written, have left: Spark deletes their shuffle files and broadcasts once
-    the driver's collector has run, and it runs late: old plans fill the heap first. Operators of many jobs call this between them."""
+    the driver's collector has run, and it runs late: old plans fill the heap first. Operators of many jobs call this between them.
+    Python's collector goes first, as a frame in a cycle holds its plan in the JVM."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
+#: Part of the driver's largest heap that it may take from the machine before it is asked to give some back.
+TAKEN = 0.5
+
+
+def relieve(spark: SparkSession) -> None:
+    """:func:`release` where the driver's heap has grown; a heap that is seldom collected takes all it may, whatever it needs."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > TAKEN * runtime.maxMemory():
+        release(spark)
+
+
 #: A key of more than this part of all rows is heavy, so there are fewer heavy keys than its inverse.
 HEAVY = 2000
 

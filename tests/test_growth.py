@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import spans, text
 from quillmill.functions import tagging as G
+from quillmill.llm import shared
 from quillmill.operators import names, process
 from quillmill.plans.corpus import corpus
 from quillmill.sources.shared import ordinal
@@ -65,3 +66,12 @@ def test_texts_are_tagged_in_bounded_slices(spark, monkeypatch):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
     got = [[(s["entity_type"], s["start"], s["end"]) for s in r["s"]] for r in rows.select(names.tagger(spark, model)(F.col("t")).alias("s")).collect()]
     assert sorted(map(len, got)) == sorted(map(len, want * 100))
+
+
+def test_a_grown_heap_is_given_back_between_tables(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(shared, "release", lambda s: asked.append(s))
+    monkeypatch.setattr(shared, "TAKEN", 0.0)
+    assert shared.materialize(spark.range(3), "few").count() == 3 and asked == [spark]
+    monkeypatch.setattr(shared, "TAKEN", 1.0)
+    assert shared.materialize(spark.range(3), "few").count() == 3 and asked == [spark]
