@@ -31,6 +31,28 @@ SIGNALS: dict[str, list[tuple[str, float]]] = {
         (r"\b(?:CASE NOTE|CONFIDENTIAL|CLIENT FILE)\b", 0.25),
     ],
 }
+#: What every match of a pattern holds once it is in lower case, looked for first: one of some words, or a cheaper pattern.
+HOLDS: dict[str, list[tuple[str, ...] | str]] = {
+    "caselaw": [
+        r"(?U)\d\s+(?:f\.|u\.s\.|s\.ct\.|n\.e\.|a\.|p\.|cal\.|n\.y\.|ill\.|tex\.)",
+        ("opinion", "held", "affirmed", "reversed", "judgment", "per curiam", "vacated", "remanded"),
+        ("westlaw", "lexisnexis", " thomson reuters", "wl "),
+    ],
+    "published": [
+        ("vol.", "volume"),
+        ("issn", "isbn"),
+        ("cle", "continuing legal education", "law review", "law journal", "bar journal", "bar association"),
+        ("©",),
+    ],
+    "private": [
+        ("to:", "from:", "subject:", "cc:"),
+        ("attorney for", "attorneys for"),
+        ("plaintiff", "defendant", "in the matter of"),
+        ("law division",),
+        ("dear", "sincerely,", "best regards,", "yours truly,", "kind regards,"),
+        ("case note", "confidential", "client file"),
+    ],
+}
 #: Types by extension alone.
 BY_EXTENSION = {".eml": ("private", 0.99), ".msg": ("private", 0.99), ".pptx": ("published", 0.90)}
 TYPES = tuple(SIGNALS)
@@ -45,16 +67,27 @@ def fires(text: Column, pattern: str) -> Column:
 def raw_scores(text: Column) -> Column:
     """``struct<caselaw, published, private>`` of summed weights."""
 
-    def scores(sample: Column) -> Column:
+    def scores(sample: Column, low: Column) -> Column:
+        odd = F.contains(sample, F.lit("İ")) | F.contains(low, F.lit("ı")) | F.contains(low, F.lit("ſ"))
         out = []
         for kind, signals in SIGNALS.items():
             total = F.lit(0.0)
-            for pattern, weight in signals:
-                total = total + F.when(sample.rlike(FLAGS + pattern), weight).otherwise(0.0)
+            for (pattern, weight), held in zip(signals, HOLDS[kind], strict=True):
+                total = total + F.when(may_fire(low, odd, held) & sample.rlike(FLAGS + pattern), weight).otherwise(0.0)
             out.append(total.alias(kind))
         return F.struct(*out)
 
-    return let(F.substring(text, 1, SAMPLE), scores)
+    return let(F.substring(text, 1, SAMPLE), lambda sample: let(F.lower(sample), lambda low: scores(sample, low)))
+
+
+def may_fire(low: Column, odd: Column, held: tuple[str, ...] | str) -> Column:
+    """Whether a text in lower case holds what is looked for; ``odd`` ones hold letters that the patterns take for i and s and ``lower`` does not."""
+    if isinstance(held, str):
+        return odd | low.rlike(held)
+    hit = odd
+    for word in held:
+        hit = hit | F.contains(low, F.lit(word))
+    return hit
 
 
 def classification(ext: Column, scores: Column) -> Column:

@@ -34,7 +34,10 @@ RECOGNIZERS: dict[str, tuple[str, float, str]] = {
 #: Words near a number that raise its score, by as much, up to 1.
 NEAR = {"US_SSN": ("(?i)social security|ssn", 0.10)}
 #: What every match of a costly pattern holds, looked for first.
-HOLDS = {"EMAIL_ADDRESS": "@", "DATE_TIME": r"[\s/-]\d{4}\b|\b\d{4}-\d{2}-\d{2}\b"}
+HOLDS = {
+    "EMAIL_ADDRESS": "@", "DATE_TIME": r"[\s/-]\d{4}\b|\b\d{4}-\d{2}-\d{2}\b", "CREDIT_CARD": r"\d{4}[ -]?\d{4}", "PHONE_NUMBER": r"\(\d{3}\)",
+    "US_BANK_NUMBER": r"\d{8}", "US_PASSPORT": r"\d{8}", "US_DRIVER_LICENSE": r"[A-Z]\d{3}", "MEDICAL_LICENSE": r"[A-Za-z]\d{7}",
+}
 #: Types that can be of medium score, so that a person looks at them.
 REVIEWED = tuple(k for k, (_, score, _) in RECOGNIZERS.items() if any(LOW <= s < HIGH for s in (score, min(score + NEAR.get(k, ("", 0.0))[1], 1.0))))
 MARK = "\u0001"

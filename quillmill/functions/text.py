@@ -41,10 +41,11 @@ def strip_line_numbers(text: Column) -> Column:
 def typography(text: Column) -> Column:
     """Typographic quotes, dashes and ellipses become ASCII."""
     def plain(t: Column) -> Column:
-        t = F.translate(t, "‘’“”–", "''\"\"-")
-        return F.replace(F.replace(t, F.lit("—"), F.lit("--")), F.lit("…"), F.lit("..."))
+        for raw, ascii_ in zip("‘’“”–—…", ("'", "'", '"', '"', "-", "--", "...")):
+            t = F.replace(t, F.lit(raw), F.lit(ascii_))
+        return t
 
-    return let(text, lambda t: F.when(t.rlike("[‘’“”–—…]"), plain(t)).otherwise(t))
+    return let(text, lambda t: F.when(t.rlike("[–-…]"), plain(t)).otherwise(t))  # one range that holds them all is found soonest
 
 
 def repeated_lines(lines: Column) -> Column:

@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from quillmill.functions import spans, text
+from quillmill.functions import classify, spans, text
 from quillmill.functions import tagging as G
 from quillmill.llm import shared
 from quillmill.operators import names, process
@@ -44,6 +44,42 @@ def test_guards_let_every_match_through(spark):
     assert [[k in r["k"] for k in spans.HOLDS] for r in got] == [r["w"] for r in got] and sum(map(sum, (r["w"] for r in got))) == 10
 
 
+def test_reviewed_patterns_are_guarded_too(spark):
+    assert set(spans.REVIEWED) <= set(spans.HOLDS)
+    rows = ["4111 1111-1111 1", "(312) 555-0100", "+44 (312)555-0100", "acct no. 12345678", "ROUTING: #00123456789", "Passport number: A12345678", "passport 123456789", "driver's license D123", "DL X12345678901234", "DEA AB1234567", "medical license no.: ab1234567", "1234", ""]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    want = [F.col("t").rlike(spans.marked(k)[1]) for k in spans.REVIEWED]
+    got = df.select(F.transform(spans.found(F.col("t"), spans.REVIEWED), lambda e: e["entity_type"]).alias("k"), F.array(*want).alias("w")).collect()
+    assert [[k in r["k"] for k in spans.REVIEWED] for r in got] == [r["w"] for r in got] and sum(any(r["w"]) for r in got) == 11
+
+
+def _plain_scores(col):
+    return F.struct(*[sum((F.when(classify.fires(col, p), w).otherwise(0.0) for p, w in ps), F.lit(0.0)).alias(k) for k, ps in classify.SIGNALS.items()])
+
+
+def test_guarded_signals_fire_as_before(spark):
+    rows = [
+        "123 F.3d 456", "٣ f.٣d\u00a0٤", "1\u20285 a.2 7", "1 u.s. 2", "9 S.Ct. 1", "9 N.E.2 1", "9 P.4 1", "8 Cal. 3", "8 N.Y. 3", "8 ill. 3", "8 TEX. 3", "opinion", "OPİNİON", "opınıon", "REVERſED", "per curıam", "judgment",
+        "WL 5", "wl 5", "WESTLAW", "lexiſnexis", "© 2020 Thomson Reuters", "Volume 3, Issue 4", "VOL. 3 no. 4", "ıSSN: 12", "İSBN 12", "cle", "uncle", "Law Revİew", "bar journal", "© 2020 Abc", "to: x", "\nFrom: y", "ſubject: z", "bcc: q",
+        "Attorneys for", "PLAıNTİFF", "in the matter of", "law division", "Dear Bob", "Sincerely,", "\u212aind regards,", "case note", "client file", "CONFİDENTIAL", "İ", "ß ſſ", "", None, "x" * 5000 + " opinion",
+    ]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select("t", classify.raw_scores(F.col("t")).alias("a"), _plain_scores(F.col("t")).alias("b")).collect()
+    assert [r["t"] for r in got if r["a"] != r["b"]] == []
+    assert sum(sum(r["a"]) > 0 for r in got) == 44
+
+
+def test_signals_that_cannot_fire_cost_little(spark):
+    prose = spark.range(0, 4000, 1, 4).select(F.concat(F.repeat(F.lit("The river ran along the old mill while nobody spoke of it. "), 80), F.col("id").cast("string")).alias("t")).cache()
+    prose.count()
+
+    def took(scores):
+        began = time.time()
+        prose.select(F.sum(F.hash(scores).cast("long"))).collect()
+        return time.time() - began
+
+    assert min(took(classify.raw_scores(F.col("t"))) for _ in range(3)) < 0.6 * min(took(_plain_scores(F.col("t"))) for _ in range(2))
+
+
 def test_flags_without_the_rest_are_the_same(spark):
     assert spans.REVIEWED == ("CREDIT_CARD", "PHONE_NUMBER", "US_BANK_NUMBER", "US_PASSPORT", "US_DRIVER_LICENSE", "MEDICAL_LICENSE")
     docs = process.classified(corpus(spark, SF)).withColumn("excluded", F.array(F.lit("(312) 555-0100")))
