@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.shared import fresh_dir, small_batches
-from quillmill.llm.tokens import tokenizer
+from quillmill.llm.tokens import forget, tokenizer
 
 MAGIC = b"QMREC1"
 SHARD_BYTES = 16_000_000  # of text behind a shard, on average
@@ -172,6 +172,7 @@ def write_records(
     def store(key, table):
         import zstandard
 
+        forget(tokenizer_path)
         width, shard, part = table.column("width")[0].as_py(), key[0].as_py(), key[1].as_py()
         open_up = zstandard.ZstdDecompressor()
         rows = [(d is not None, d or 0, open_up.decompress(p)) for d, p in zip(table["doc_id"].to_pylist(), table["packed"].to_pylist())]

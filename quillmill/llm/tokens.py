@@ -34,6 +34,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class _Made(dict):
+    """Values that are made when their key is first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        found = self[key] = self.make(key)
+        return found
+
+
 class WordTokenizer:
     """``encode(texts)`` gives per text the ids as packed unsigned integers of ``width`` bytes.
 
@@ -47,6 +58,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         one = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
@@ -54,10 +66,11 @@ class WordTokenizer:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.cache_size = cache_size
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {} if self.leading_space else _Made(self._word)
         self.heads: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = byte_letters()
+        self.shown = _Made(lambda code: "".join(self.letters[b] for b in chr(code).encode()))
         sample = " Ábc, x.\nDéf!! ß" if self.leading_space else "Ábc, x. Déf!! ß"
         self.plain = True
         by_piece = b"".join(self._plain_word(w, " " if i and self.leading_space else "") or b"?" for i, w in enumerate(sample.split(" ")) if w)
@@ -90,7 +103,7 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            mapped = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+            mapped = piece if piece.isascii() and piece.isalpha() else piece.translate(self.shown)
             found = self.pieces[piece] = self.pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
         return found
 
@@ -115,34 +128,33 @@ class WordTokenizer:
                 out += self._piece(tail)
         return out
 
+    def _word(self, key: str) -> bytes:
+        """The ids of a word where white space goes; the usual case without the steps of _plain_word."""
+        core = key.rstrip(PUNCTUATION)
+        low = core.lower()
+        found = self.pieces.get(low)
+        if found is None and self.plain and core.isalpha() and (core.isascii() or max(core) < "ɐ" and low.isalpha() and unicodedata.is_normalized("NFC", low)):
+            found = self._piece(low)
+        if found is not None:
+            if len(core) == len(key):
+                return found
+            tail = self.pieces.get(key[len(core) :])
+            if tail is not None:
+                return found + tail
+        found = self._plain_word(key, "") if self.plain else None
+        return self.pack(self._batch([key], add_special_tokens=False)[0].ids) if found is None else found
+
     def _learn(self, cache: dict[str, bytes], keys, prefix: str) -> None:
         other = []
-        ready, model = self.pieces.get, self.tokenizer.model.tokenize
-        kind = "H" if self.width == 2 else "I"
         for key in keys:
-            if prefix == "" and not self.leading_space:  # the usual case without the steps of _plain_word
-                core = key.rstrip(PUNCTUATION)
-                low = core.lower()
-                found = ready(low)
-                if found is None and self.plain and core.isascii() and core.isalpha():
-                    found = self.pieces[low] = array(kind, [t.id for t in model(low)]).tobytes()
-                if found is not None:
-                    if len(core) == len(key):
-                        cache[key] = found
-                        continue
-                    tail = ready(key[len(core) :])
-                    if tail is not None:
-                        cache[key] = found + tail
-                        continue
             found = self._plain_word(key, prefix) if self.plain else None
             if found is None:
                 other.append(key)
             else:
                 cache[key] = found
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
-            for key, found in zip(part, batch([prefix + k for k in part], add_special_tokens=False)):
+            for key, found in zip(part, self._batch([prefix + k for k in part], add_special_tokens=False)):
                 cache[key] = self.pack(found.ids)
 
     def _cut(self, text: str) -> list[str]:
@@ -196,17 +208,20 @@ class WordTokenizer:
         return self._by_words(texts)
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
         for cache in (self.words, self.heads, self.pieces):
             if len(cache) > self.cache_size:
                 cache.clear()
+        if not self.leading_space:  # one pass: no word depends on its place
+            known = self.words.__getitem__
+            return [b"".join(map(known, self._cut(t))) for t in texts]
+        cut = [self._cut(t) for t in texts]
         heads = {p[0] for p in cut}.difference(self.heads)
         self._learn(self.heads, heads, "")
         fresh: set[str] = set()
         for p in cut:
             fresh.update(p[1:])
         fresh.difference_update(self.words)
-        self._learn(self.words, fresh, " " if self.leading_space else "")
+        self._learn(self.words, fresh, " ")
         word, head = self.words.__getitem__, self.heads
         return [head[p[0]] + b"".join(map(word, p[1:])) for p in cut]
 
@@ -219,3 +234,8 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
+
+
+def forget(path: str) -> None:
+    """A worker that has done with encoding gives the memory of its words back."""
+    _LOADED.pop(path, None)

@@ -95,3 +95,26 @@ def test_persons_share_a_surname_when_it_is_drawn_anew(spark, monkeypatch):
         assert full.split()[-1] == wife.split()[-1] == lone and len(full.split()) == len(wife.split()) == 2 and full != wife
         new[w] = lone
     assert len(set(new.values())) == len(surnames) and not set(new.values()) & set(surnames)
+
+
+def test_words_of_one_text_at_a_time_are_held():
+    import tracemalloc
+
+    import public_tokenizers
+
+    from quillmill.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = tokens.WordTokenizer(path)
+    odd = ["a-b 12 (x) ... é ÉTÉ, été. K 漢字 don't\nx\ty  z", "", None, "ß ſ İ Éá!? x#", "…"]
+    assert list(tok.encode(odd)) == [tok.pack(tok.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in odd]
+    texts = ["The river ran along the old mill, while nobody spoke of it. " * 80] * 400
+    list(tok.encode(texts[:1]))
+    tracemalloc.start()
+    got = list(tok.encode(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(got)) == 1 and peak < 15_000_000
+    tokens.tokenizer(path)
+    tokens.forget(path), tokens.forget(path)
+    assert path not in tokens._LOADED
