@@ -41,6 +41,10 @@ HOLDS = {
 #: Types that can be of medium score, so that a person looks at them.
 REVIEWED = tuple(k for k, (_, score, _) in RECOGNIZERS.items() if any(LOW <= s < HIGH for s in (score, min(score + NEAR.get(k, ("", 0.0))[1], 1.0))))
 MARK = "\u0001"
+#: What stands between two digits of a text as it comes where one blank or hyphen stands once it is cleaned and searched.
+_GAP = rf"[ \t{MARK}–-]*+"
+#: What a text as it comes holds where a type of :data:`REVIEWED` is found in it once it is cleaned: at three digits, so that one look at each other character does.
+MAY_HOLD_REVIEWED = rf"\d{{3}}(?:(?<=\(\d{{3}})\)|(?<=[A-Z]\d{{3}})|(?<=[A-Za-z]\d{{3}})\d{{4}}|\d{{5}}|\d{_GAP}\d{{4}}{_GAP}\d{{4}}{_GAP}\d)"
 TYPE = "array<struct<entity_type:string,start:int,end:int,score:double,text:string>>"
 
 
@@ -87,6 +91,11 @@ def _found(text: Column, kinds: tuple[str, ...]) -> Column:
     return F.concat(*parts)
 
 
+def may_be_reviewed(raw: Column) -> Column:
+    """Whether a text, before it is cleaned, can have spans of :data:`REVIEWED`; cleaning joins digits over blanks and dashes only."""
+    return raw.rlike(MAY_HOLD_REVIEWED)
+
+
 #: Characters of a text beyond which :func:`segmented` cuts.
 SEGMENT = 900_000
 

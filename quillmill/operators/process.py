@@ -72,8 +72,12 @@ def flagged(docs: DataFrame, excluded_col: str | None = None) -> DataFrame:
 
 
 def reviewed(docs: DataFrame, excluded_col: str | None = None) -> DataFrame:
-    """``review_flags`` of ``docs (filename, doc_type, raw)`` that are stripped: the others have none and are not cleaned, and only types that are flagged are looked for."""
-    rows = cleaned(docs.where(F.col("doc_type").isin(*STRIPPED)))
+    """``review_flags`` of ``docs (filename, doc_type, raw)`` that can have any: those that are stripped and hold what every flagged type does.
+
+    The others go before they are cleaned, and by their text before they are classified, as the optimizer moves that condition down; only types
+    that are flagged are looked for.
+    """
+    rows = cleaned(docs.where(spans.may_be_reviewed(F.col("raw"))).where(F.col("doc_type").isin(*STRIPPED)))
     return flagged(detected(rows, kinds=spans.REVIEWED), excluded_col).drop("substitutions")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.naming import extension, filename
-from quillmill.sources.shared import spread
+from quillmill.sources.shared import dealt
 
 HEADERS = (
     "UNITED STATES COURT OF APPEALS\nSEVENTH CIRCUIT\n\nSmith v. Jones, 123 F.3d 456\n(7th Cir. 2019)\n\nOPINION\n\n",
@@ -43,7 +43,7 @@ def _sql(s: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < least * cores else df
 
 
+#: Bytes of a file that a task gets where rows are dealt anew.
+SHARE = 32 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A scan for costly work on each row: one of few bytes is :func:`spread`, and one whose largest task has more than twice a core's share is dealt to all cores.
+
+    A file of one row group is one task however large it is. Rows of a task are counted by the files' footers; conditions on the rows
+    stay behind the shuffle, as in front of it they would be tested in those few tasks.
+    """
+    small = spread(df)
+    if small is not df:
+        return small
+    spark = df.sparkSession
+    tasks = df.select(F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("n"))
+    largest, rows = tasks.agg(F.max("n"), F.sum("n")).first()
+    cores = spark.sparkContext.defaultParallelism
+    if not rows or largest * cores <= 2 * rows:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(2 * cores, size // SHARE), F.xxhash64(*df.columns)).where(F.spark_partition_id() >= 0)
+
+
 def ordinal(df: DataFrame, name: str, *order) -> DataFrame:
     """``df`` with its rows numbered from 0 in an order, in column ``name``.
 

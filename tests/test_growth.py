@@ -9,7 +9,7 @@ from quillmill.functions import tagging as G
 from quillmill.llm import shared
 from quillmill.operators import names, process
 from quillmill.plans.corpus import corpus
-from quillmill.sources.shared import ordinal
+from quillmill.sources.shared import dealt, ordinal
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,6 +89,39 @@ def test_flags_without_the_rest_are_the_same(spark):
         assert sorted(lean.collect()) == sorted(whole.collect()) != []
 
 
+FLAGGED = [
+    "4111 1111-1111 1", "4111  1111\t 1111 \t 11", "4111–1111–1111–1111", "4111\u00011111\u00011111 1", "4111111111111111", "x 4111 1111 1111 1111\u00a0", "(312) 555-0100", "+44 (312)555-0100", "acct no.  12345678",
+    "ROUTING:\t\t#00123456789", "Passport number: A12345678", "passport 123456789", "driver’s  license D123", "DL X12345678901234", "DEA AB1234567", "medical license no.: ab1234567", "12 \n 7 DL\t\tD123",
+]
+UNFLAGGED = ["", None, "plain words", "2024-03-15", "SSN 123-45-6789", "ISSN: 0019-1876", "4111\n1111\n1111\n1", "312 555-0100", "10.0.0.7", "4111—1111—1111—1", "DL d123", "1234567"]
+
+
+def test_texts_that_cannot_be_flagged_go_first(spark):
+    docs = spark.createDataFrame([("f", "uncertain", t) for t in FLAGGED + UNFLAGGED], "filename string, doc_type string, raw string")
+    lean = {r["raw"]: r["review_flags"] for r in process.reviewed(docs).collect()}
+    whole = {r["raw"]: r["review_flags"] for r in process.redacted(process.detected(process.cleaned(docs))).collect()}
+    assert {t for t in whole if whole[t]} <= set(lean) <= set(FLAGGED)
+    assert all(lean[t] == whole[t] for t in lean) and sum(bool(f) for f in whole.values()) >= 14
+    plan = process.reviewed(process.classified(docs.withColumn("ext", F.lit(".txt"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.rindex("Generate inline") < plan.rindex("Filter")  # tested before texts are classified
+
+
+def test_a_file_of_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    text = F.concat_ws("", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f" {k}")), 256) for k in range(100)])
+    spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert one.select(F.spark_partition_id()).distinct().count() == 1
+    got = dealt(one)
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 4 and max(t["count"] for t in tasks) < 1000
+    assert got.exceptAll(one).isEmpty() and got.count() == 4000
+    plan = dealt(one).where(F.col("text").rlike("abc"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("Repartition")  # the condition is not tested in the one task
+    one.repartition(4).write.parquet(f"{tmp_path}/four")
+    four = spark.read.parquet(f"{tmp_path}/four")
+    assert dealt(four) is four
+
+
 def test_texts_are_tagged_in_bounded_slices(spark, monkeypatch):
     model = names.fitted(spark)
     texts = ["Dear Jane Roe, the court met in Paris. " * 40, None, ""] * 100
