@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,24 +160,34 @@ class Block:
         return self.last - self.first + 1
 
 
-def blocks(batches, *columns: str, at_once: int = 700_000, rows: int = 128):
-    """Rows of the batches in runs of about ``at_once`` characters: a list for each column, the first holding the texts.
+#: What an item of a list counts in :func:`blocks`: about the bytes of a number, or of a claim, as Python objects.
+ITEM, CLAIM = 40, 480
+
+
+def _weights(batch, columns: tuple[str, ...]) -> np.ndarray:
+    """About how many bytes each row's texts and lists take as Python objects."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for c in map(batch.column, columns):
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type) or pa.types.is_large_list(c.type):
+            each = CLAIM if pa.types.is_struct(c.type.value_type) else ITEM
+            total += each * pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return total
+
+
+def blocks(batches, *columns: str, at_once: int = 700_000):
+    """Rows of the batches in runs of about ``at_once`` bytes, lists included: a list for each column, the first holding the texts.
 
     Only the rows of a run are Python objects at a time, and memory goes back to the system after each batch.
     """
     for batch in batches:
-        held: list[list] = [[] for _ in columns]
-        size = 0
-        for at in range(0, batch.num_rows, rows):
-            for into, c in zip(held, columns):
-                into += batch.column(c).slice(at, rows).to_pylist()
-            size += sum(len(t or "") for t in held[0][-min(rows, batch.num_rows - at) :])
-            if size >= at_once:
-                yield held
-                held, size = [[] for _ in columns], 0
-        if held[0]:
-            yield held
-        del held
+        upto = np.cumsum(_weights(batch, columns))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + at_once, side="right")))
+            yield [batch.column(c).slice(at, end - at).to_pylist() for c in columns]
+            at = end
         give_back()
 
 

@@ -3,10 +3,11 @@
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import bagminhash, html_tree, packing, pii, quality
+from quillmill.llm import bagminhash, html_tree, packing, pii, quality, substrings
 
 SF = "/root/testdata/sf0.001"
 A, B, C, D = (" ".join(f"{w}{i}" for i in range(12)) for w in "abcd")
@@ -118,3 +119,14 @@ def test_words_of_one_text_at_a_time_are_held():
     tokens.tokenizer(path)
     tokens.forget(path), tokens.forget(path)
     assert path not in tokens._LOADED
+
+
+def test_blocks_count_lists_as_well_as_texts():
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("digest", pa.binary())]))
+    claims = pa.array([[{"start": i, "length": 20, "digest": b"d" * 16} for i in range(5_000)]] * 6 + [None, []], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", None] * 4), claims], ["text", "claims"])
+    parts = list(substrings.blocks([batch], "text", "claims"))
+    assert max(sum(len(c or []) for c in asked) for _, asked in parts) == 5_000
+    assert [t for texts, _ in parts for t in texts] == ["x", None] * 4 and [c for _, asked in parts for c in asked] == claims.to_pylist()
+    texts = [None, "a" * 400, "b" * 400, "c" * 5_000, ""]
+    assert [part for (part,) in substrings.blocks([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])], "text", at_once=1_000)] == [texts[:3], texts[3:4], texts[4:]]
